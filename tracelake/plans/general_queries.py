@@ -76,3 +76,6 @@ FROM states c LEFT JOIN states p ON p.n = c.n - 1 AND p.record_kind = c.record_k
 WHERE c.n > 1 AND (p.record_key IS NULL OR NOT CASE WHEN c.record_kind = 'document' THEN c.content = p.content
   ELSE starts_with(c.content, p.content) OR starts_with(p.content, c.content) END)
 """
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
+SQL = {"p1_found": P1_SQL, "p5_found": P5_SQL}
