@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import looks, setjoin
-from tracelake.runtime import table
+from tracelake.llm import canonical, cooccur, leaks, looks, mixing, setjoin, truncation
+from tracelake.runtime import cut, table
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,9 +31,121 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return setjoin.expand_pairs(pairs, members).toDF("case_id_a", "case_id_b")
 
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found}
+def _service_baskets(spark: SparkSession, folder: str) -> DataFrame:
+    """The services changed in each trusted or candidate case."""
+    usable = table(spark, folder, "cases").where(F.col("knowledge_tier").isin("trusted", "candidate")).select("case_id").distinct()
+    changes = table(spark, folder, "service_changes").select("case_id", "service").join(usable, "case_id", "left_semi")
+    return cooccur.baskets(changes, "case_id", "service")
+
+
+def _cochange_stripes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "service_cochange").select(
+        "batch_no", F.col("service_a").alias("item_a"), F.col("service_b").alias("item_b"),
+        F.col("case_count").cast("long").alias("n"), F.from_json("case_ids_json", "array<string>").alias("ids"),
+    )
+    return cooccur.partial_count_stripes(rows)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    entries = cooccur.merged_entries(_cochange_stripes(spark, folder)).where("c >= 5")
+    rated = cooccur.significance(entries, _service_baskets(spark, folder))
+    return rated.where("lift >= 3.7D").select(F.col("item_a").alias("service_a"), F.col("item_b").alias("service_b"))
+
+
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of services changed together, counted from the cases themselves."""
+    baskets = _service_baskets(spark, folder)
+    rated = cooccur.significance(cooccur.merged_entries(cooccur.basket_stripes(baskets)), baskets)
+    return rated.select(
+        F.col("item_a").alias("service_a"), F.col("item_b").alias("service_b"), "c",
+        F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"),
+    )
+
+
+_P4_BASKETS = """
+usable AS (SELECT DISTINCT case_id FROM cases WHERE knowledge_tier IN ('trusted', 'candidate')),
+baskets AS (SELECT DISTINCT case_id, lower(trim(service)) AS service FROM service_changes SEMI JOIN usable USING (case_id)),
+total AS (SELECT count(DISTINCT case_id) AS n FROM baskets),
+single AS (SELECT service, count(*) AS k FROM baskets GROUP BY 1),
+pairs AS (
+  SELECT a.service AS service_a, b.service AS service_b, count(*) AS c
+  FROM baskets a JOIN baskets b ON a.case_id = b.case_id AND a.service < b.service GROUP BY 1, 2),
+rated AS (
+  SELECT service_a, service_b, c, x.k AS n_a, y.k AS n_b, n, c * n / (x.k * y.k)::DOUBLE AS lift
+  FROM pairs JOIN single x ON x.service = service_a JOIN single y ON y.service = service_b, total)
+"""
+
+
+def _xlx(x: str) -> str:
+    return f"(CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END)"
+
+
+_LLR = (
+    f"greatest(0, 2 * ({_xlx('c')} + {_xlx('n_a - c')} + {_xlx('n_b - c')} + {_xlx('n - n_a - n_b + c')} + {_xlx('n')}"
+    f" - ({_xlx('n_a')} + {_xlx('n - n_a')} + {_xlx('n_b')} + {_xlx('n - n_b')})))"
+)
+
+def _mapped_terms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    reference = table(spark, folder, "canonical_terms").select("ref_id", F.col("canonical").alias("name"))
+    terms = table(spark, folder, "case_terms").select("term_id", "term", "normalized")
+    return canonical.map_values(terms, "term", reference), reference
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    mapped, reference = _mapped_terms(spark, folder)
+    named = mapped.where("ref_id IS NOT NULL")
+    # equal to an entry already: nothing to map
+    return named.join(reference.select(F.col("name").alias("normalized")), "normalized", "left_anti").select("term_id", "ref_id")
+
+
+def p6_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """How many terms name an entry, by how they were matched; `none` are those to report."""
+    mapped, _ = _mapped_terms(spark, folder)
+    return mapped.groupBy(F.coalesce("how", F.lit("none")).alias("how")).agg(F.count(F.lit(1)).alias("n_terms"))
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "heldout_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).where(F.col("run") >= leaks.MIN_RUN).select("doc_id", "item_id").distinct()
+
+
+def p7_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Edited and paraphrased copies too: alignments that reach a third of the item's greatest score."""
+    return _leaks(spark, folder).where("score >= 1 / 3D").select("doc_id", "item_id", F.round("score", 4).alias("score"), "run")
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used."""
+    documents = cut(mixing.sized(table(spark, folder, "documents"), "doc_id", "source", "text"), "mixing-sized")
+    mixed = mixing.mix(documents, table(spark, folder, "source_targets"))
+    return mixed.select(F.col("doc").alias("doc_id"), "source", "tokens", "copies")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share each source gets in the mix."""
+    documents = cut(mixing.sized(table(spark, folder, "documents"), "doc_id", "source", "text"), "mixing-sized")
+    targets = table(spark, folder, "source_targets")
+    return mixing.shares(cut(mixing.mix(documents, targets), "mixing-mix"), targets)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_texts(table(spark, folder, "documents"))
+
+
+def p9_sources(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return truncation.cut_shares(documents, truncation.cut_texts(documents))
+
+
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p7_found": p7_found, "p7_copies": p7_copies, "p9_found": p9_found, "p9_sources": p9_sources, "p6_found": p6_found, "p6_coverage": p6_coverage, "p4_found": p4_found, "p4_pairs": p4_pairs, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found}
 
 SQL = {
+    "p4_found": f"WITH {_P4_BASKETS} SELECT service_a, service_b FROM rated WHERE c >= 5 AND lift >= 3.7::DOUBLE",
+    "p4_pairs": f"""WITH {_P4_BASKETS} SELECT service_a, service_b, c, round(lift, 6) AS lift,
+      round(CASE WHEN lift < 1 THEN -{_LLR} ELSE {_LLR} END, 4) AS llr FROM rated""",
     "p3_found": """
 WITH items AS (SELECT DISTINCT case_id, term_type, normalized FROM case_terms WHERE trim(normalized) <> ''),
 sizes AS (SELECT case_id, count(*) AS n FROM items GROUP BY 1 HAVING count(*) >= 4),

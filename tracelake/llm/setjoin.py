@@ -107,25 +107,21 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, bands: Bands) -> set[in
 
 
 def allot(costs: list[tuple[float, float]], need: int) -> list[int]:
-    """v + 1 of each segment, at least need in sum, for the least cost. costs: (for 0, for 1)."""
-    best: list[tuple[float, list[int]] | None] = [(0.0, [])] + [None] * need
-    for equal, near in costs:
-        new: list[tuple[float, list[int]] | None] = [None] * (need + 1)
-        for got, entry in enumerate(best):
-            if entry is None:
-                continue
-            for take, cost in ((0, 0.0), (1, equal), (2, near)):
-                to, total = min(need, got + take), entry[0] + cost
-                if new[to] is None or total < new[to][0]:
-                    new[to] = total, [*entry[1], take]
-        best = new
-    return best[need][1]
+    """v + 1 of each segment, need in sum, for the least cost. costs: (of the first step, of the second, not less).
+
+    As second steps cost no less than first ones, the cheapest steps of all are the best choice.
+    """
+    steps = sorted((cost, second, s) for s, pair in enumerate(costs) for second, cost in enumerate(pair))[:need]
+    out = [0] * len(costs)
+    for _, _, s in steps:
+        out[s] += 1
+    return out
 
 
 def probe_keys(tokens: np.ndarray, shares: np.ndarray, frequent: np.ndarray, bands: Bands) -> set[int]:
     """Keys that meet every set as long or longer that is similar enough."""
     size, out = len(tokens), set()
-    logs = np.log(shares)
+    odds = shares.tolist()
     for band in bands.partners(size):
         low, high, count = bands.lengths(band)
         high = min(high, math.floor(size / bands.threshold + 1e-9))
@@ -133,11 +129,9 @@ def probe_keys(tokens: np.ndarray, shares: np.ndarray, frequent: np.ndarray, ban
         inside = _segments(tokens, frequent, count)
         costs = []
         for part in inside:
-            total = logs[part].sum() if part else 0.0
-            equal = math.exp(total)
-            # one side without one of its tokens; the other way round is about as rare as equality
-            near = 2 * equal + sum(math.exp(total - x) for x in logs[part].tolist()) if part else 1.0
-            costs.append((equal if part else 0.5, near))
+            # the share of sets expected to be equal in the segment, and to be so but for one token
+            equal = math.prod(odds[i] for i in part) if part else 0.5
+            costs.append((equal, equal + sum(equal / odds[i] for i in part) if part else 0.5))
         for s, take in enumerate(allot(costs, need)):
             if not take:
                 continue
@@ -199,6 +193,11 @@ def _signatures(threshold: float):
     return run
 
 
+def _tasks(df: DataFrame, rows: int, each: int = 2000) -> int:
+    """Tasks for work that the rows' bytes do not show: each rows to a task, and all cores in use."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / each))
+
+
 def _enough(a: Column, b: Column, threshold: float) -> Column:
     """Exact test of the threshold on two arrays of distinct values."""
     common = F.size(F.array_intersect(a, b))
@@ -211,7 +210,8 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     A pair of classes is listed once. Sets must not be empty. No classes give no pairs.
     """
     classes = cut(classes, "setjoin-classes")
-    weighted = cut(_with_shares(classes, classes.count()), "setjoin-tokens")
+    count = classes.count()
+    weighted = _with_shares(classes, count).repartition(_tasks(classes, count), "rep")
     kind = dict(weighted.dtypes)["rep"]
     signatures = weighted.mapInPandas(_signatures(threshold), f"rep {kind}, role int, sig long, tokens array<bigint>")
     signatures = cut(signatures, "setjoin-signatures", ["role"])
