@@ -8,8 +8,8 @@ units stop there too, it is complete, as headings, list items, table rows, code,
 signatures and references are.
 
 The look-up is a self-join by hashed prefixes of a fixed number of tokens. The longest
-prefix counts that any other unit shares: up to LONGEST tokens back, to the start of the
-unit, and where no unit has it, the last few tokens only. Numbers count as equal. Units
+prefix counts that a few other units share: up to 16 tokens back, to the start of the
+unit, and where they do not, the last few tokens only. Numbers count as equal. Units
 are reduced to distinct ones with their counts, and contexts to those that are in question,
 before they are joined.
 """
@@ -27,7 +27,11 @@ from pyspark.sql import functions as F
 from tracelake.runtime import cut
 
 #: Lengths of prefixes in tokens, the longest first; only the first may begin at the start of a unit.
-LENGTHS = (16, 6, 4, 3)
+LENGTHS = (16, 6, 4, 3, 2)
+#: A context this short shows a cut only inside a word that is never whole there.
+SHORT = 2
+#: Other units a prefix should be met in; where no prefix is, the longest one met at all counts.
+WITNESSES = 3
 #: Units a task counts before it passes them on.
 HELD_UNITS = 100_000
 START = "\u0002"
@@ -39,22 +43,26 @@ MARKS = re.compile(
     rf"(?:\s|�|…|\.{{2,}}|[-–—>»~]{{2,}}|[\[(<{{]\s*(?:(?:{CUT_WORDS})\b[^\])>}}]*|…|\.{{2,}})[\])>}}])+$", re.IGNORECASE
 )
 _UNITS = re.compile(r"(?<=[.!?])\s+|(?<=[。？！])|[\r\n]+")
-_TOKENS = re.compile(r"[⺀-鿿]|[^\W\d_]+|\d+|[^\w\s]|_+")
+_TOKENS = re.compile(r"[⺀-鿿]|[^\W\d_⺀-鿿]+|\d+|[^\w\s]|_+")
+#: A line that opens or closes a block of code.
+_FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.MULTILINE)
 _CLOSED = tuple(".!?。？！")
 
 
 def tokens(unit: str) -> str:
-    """The unit's tokens, one blank between; numbers are 0, letters lower case, ideographs tokens of their own."""
-    return " ".join("0" if t.isdigit() else t.lower() for t in _TOKENS.findall(unit))
+    """The unit's tokens, one blank between; numbers are 0, ideographs tokens of their own."""
+    return " ".join("0" if t.isdigit() else t for t in _TOKENS.findall(unit))
 
 
-def units(text: str) -> tuple[list[str], str | None, bool]:
-    """(units before the last, the last one, whether it is in question)."""
+def units(text: str) -> tuple[list[str], str | None, bool, bool]:
+    """(units before the last, the last one, whether it is in question, whether a mark of a cut was behind it)."""
     body = MARKS.sub("", text)
+    marked = bool(text[len(body) :].strip())
     parts = [p for p in map(tokens, _UNITS.split(body)) if p]
     if not parts:
-        return [], None, False
-    return parts[:-1], parts[-1], not parts[-1].endswith(_CLOSED)
+        return [], None, False, False
+    fenced = set(parts[-1]) <= set("`~ ") and len(_FENCE.findall(body)) % 2 == 0
+    return parts[:-1], parts[-1], not fenced and not parts[-1].endswith(_CLOSED), marked
 
 
 def _split(key: str):
@@ -62,12 +70,12 @@ def _split(key: str):
         held: Counter = Counter()
 
         def passed() -> pd.DataFrame:
-            return pd.DataFrame({key: pd.array([None] * len(held), dtype="Int64"), "unit": list(held), "n": list(held.values())})
+            return pd.DataFrame({key: pd.array([None] * len(held), dtype="Int64"), "unit": list(held), "n": list(held.values()), "marked": False})
 
         for batch in batches:
-            keys, last = [], []
+            keys, last, marks = [], [], []
             for k, body, counts in zip(batch[key], batch["text"], batch["counts"], strict=True):
-                before, end, open_ = units(body)
+                before, end, open_, mark = units(body)
                 if counts:
                     held.update(before)
                     if end and not open_:
@@ -75,7 +83,8 @@ def _split(key: str):
                 if end and open_:
                     keys.append(k)
                     last.append(end)
-            yield pd.DataFrame({key: pd.array(keys, dtype="Int64"), "unit": last, "n": 0})
+                    marks.append(mark)
+            yield pd.DataFrame({key: pd.array(keys, dtype="Int64"), "unit": last, "n": 0, "marked": marks})
             if len(held) > HELD_UNITS:
                 yield passed()
                 held.clear()
@@ -85,10 +94,13 @@ def _split(key: str):
 
 
 def _contexts(unit_rows: DataFrame) -> DataFrame:
-    """(*, k, ctx, token, ends): every token of each unit with the hash of what comes before it, for each length."""
-    x = unit_rows.withColumn("t", F.split(F.concat(F.lit(START + " "), F.col("unit")), " "))
-    positions = F.explode(F.sequence(F.lit(1), F.size("t") - 1)).alias("i")
-    x = x.select("*", positions)
+    """(*, k, ctx, token, next): every token of each unit with the hash of what comes before it, for each length.
+
+    next is 'stop' at the end of the unit, 'start' where what follows could begin a unit
+    of its own that was put on the same line, else 'on'. Letter case does not count.
+    """
+    x = unit_rows.withColumn("t", F.split(F.concat(F.lit(START + " "), F.lower("unit")), " ")).withColumn("raw", F.split("unit", " "))
+    x = x.select("*", F.explode(F.sequence(F.lit(1), F.size("t") - 1)).alias("i"))
     # i counts from 0 in t: t[i] is the token, slices before it make the context
     by_length = [
         F.struct(
@@ -99,38 +111,49 @@ def _contexts(unit_rows: DataFrame) -> DataFrame:
         )
         for j, k in enumerate(LENGTHS)
     ]
-    token = F.element_at("t", F.col("i") + 1)
-    x = x.select(*unit_rows.columns, token.alias("token"), (F.col("i") == F.size("t") - 1).alias("ends"), F.explode(F.array(*by_length)).alias("c"))
-    return x.select(*unit_rows.columns, "token", "ends", "c.k", "c.ctx").where("ctx IS NOT NULL")
+    token, after = F.element_at("t", F.col("i") + 1), F.get("raw", F.col("i"))
+    follows = F.when(F.col("i") == F.size("t") - 1, "stop").when(after.rlike(r"^[\p{Lu}#*•=|\[`(>-]"), "start").otherwise("on")
+    x = x.select(*unit_rows.columns, token.alias("token"), follows.alias("next"), F.explode(F.array(*by_length)).alias("c"))
+    return x.select(*unit_rows.columns, "token", "next", "c.k", "c.ctx").where("ctx IS NOT NULL")
 
 
 def cut_units(counted: DataFrame, questions: DataFrame) -> DataFrame:
-    """The units of questions (unit) that other units show to be cut.
+    """(unit, verdict): cut or complete, for the units of questions (unit, own) that other units tell something about.
 
-    counted: unit, n_before (times it is followed or closed) and n_last (times it ends a
-    text unclosed). A unit is not a witness for itself.
+    counted: unit, n_before (times it is followed or closed) and n_last (texts it ends
+    unclosed). One of the texts that end with the unit is not a witness: it is the one in
+    question. own is how often the unit is found in all.
     """
-    asked = _contexts(questions).where("ends").select("unit", "k", "ctx", F.col("token").alias("piece"))
-    wanted = asked.select("ctx").distinct()
-    seen = _contexts(counted).join(wanted, "ctx", "left_semi")
-    weight = F.when(F.col("ends"), F.col("n_before") + F.col("n_last")).otherwise(F.col("n_before"))
+    asked = _contexts(questions).where("next = 'stop'").select("unit", "own", "k", "ctx", F.col("token").alias("piece"))
+    seen = _contexts(counted).join(asked.select("ctx").distinct(), "ctx", "left_semi")
+    total = lambda kind, n: F.sum(F.when(F.col("next") == kind, n).otherwise(0))
     seen = seen.groupBy("k", "ctx", "token").agg(
-        F.sum(F.when(F.col("ends"), weight).otherwise(0)).alias("stops"), F.sum(F.when(~F.col("ends"), weight).otherwise(0)).alias("goes_on")
+        total("stop", F.col("n_before") + F.col("n_last")).alias("stops"),
+        total("on", F.col("n_before")).alias("goes_on"),
+        total("start", F.col("n_before")).alias("maybe"),
     )
     # a token is met as a whole, and by each of its beginnings
-    whole = seen.select("k", "ctx", F.col("token").alias("piece"), "stops", "goes_on")
-    begun = seen.where(F.col("token").rlike(r"^[^\W\d_]{2,64}$")).select(
-        "k", "ctx",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda n: F.substring("token", F.lit(1), n))).alias("piece"),
-        F.lit(0).cast("long").alias("stops"), (F.col("stops") + F.col("goes_on")).alias("goes_on"),
+    whole = seen.select("k", "ctx", F.col("token").alias("piece"), "stops", "goes_on", "maybe", F.lit(True).alias("whole"))
+    beginnings = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda n: F.substring("token", F.lit(1), n))
+    none = F.lit(0).cast("long")
+    begun = seen.where(F.col("token").rlike(r"^\p{L}{2,64}$")).select(
+        "k", "ctx", F.explode(beginnings).alias("piece"), none.alias("stops"),
+        (F.col("stops") + F.col("goes_on") + F.col("maybe")).alias("goes_on"), none.alias("maybe"), F.lit(False).alias("whole"),
     )
-    pieces = whole.unionByName(begun).groupBy("k", "ctx", "piece").agg(F.sum("stops").alias("stops"), F.sum("goes_on").alias("goes_on"))
-    own = counted.select("unit", (F.col("n_before") + F.col("n_last")).alias("own"))
-    judged = asked.join(pieces, ["k", "ctx", "piece"]).join(own, "unit", "left")
-    judged = judged.withColumn("stops", F.greatest(F.col("stops") - F.coalesce("own", F.lit(0)), F.lit(0))).where("stops + goes_on > 0")
-    by = Window.partitionBy("unit").orderBy(F.col("k").desc())
+    met = F.col("stops") + F.col("goes_on") + F.col("maybe")
+    pieces = whole.unionByName(begun).groupBy("k", "ctx", "piece").agg(
+        *[F.sum(c).alias(c) for c in ("stops", "goes_on", "maybe")], F.sum(F.when(F.col("whole"), met).otherwise(0)).alias("whole")
+    )
+    judged = asked.join(pieces, ["k", "ctx", "piece"])
+    judged = judged.withColumn("stops", F.greatest(F.col("stops") - 1, none)).withColumn("whole", F.col("whole") - F.col("own"))
+    unsure = (F.col("k") <= SHORT) & (F.col("whole") > 0)
+    for c in ("goes_on", "maybe"):
+        judged = judged.withColumn(c, F.when(unsure, none).otherwise(F.col(c)))
+    judged = judged.withColumn("met", met).where("met > 0")
+    by = Window.partitionBy("unit").orderBy((F.col("met") >= WITNESSES).desc(), F.col("k").desc())
     first = judged.withColumn("rank", F.row_number().over(by)).where("rank = 1")
-    return first.where("goes_on > stops").select("unit")
+    verdict = F.when(F.expr(f"goes_on > stops OR (stops = 0 AND met >= {WITNESSES})"), "cut").when(F.expr("stops > goes_on + maybe"), "complete")
+    return first.select("unit", verdict.alias("verdict")).where("verdict IS NOT NULL")
 
 
 def cut_texts(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,14 +166,12 @@ def cut_texts(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     digest = F.xxhash64("text")
     first = rows.groupBy(digest.alias("digest")).agg(F.min(key).alias(key), F.lit(True).alias("counts"))
     marked = rows.withColumn("digest", digest).join(first, ["digest", key], "left").select(key, "text", F.coalesce("counts", F.lit(False)).alias("counts"))
-    split = cut(marked.mapInPandas(_split(key), f"`{key}` bigint, unit string, n bigint"), "truncation-units")
-    last = split.where(F.col(key).isNotNull())
-    counted = (
-        split.groupBy("unit").agg(F.sum("n").alias("n_before"), F.count(key).alias("n_last"))
-    )
-    counted = cut(counted, "truncation-counts")
-    found = cut_units(counted, counted.where("n_last > 0").select("unit"))
-    return last.join(found, "unit", "left_semi").select(key).distinct()
+    split = cut(marked.mapInPandas(_split(key), f"`{key}` bigint, unit string, n bigint, marked boolean"), "truncation-units")
+    counted = cut(split.groupBy("unit").agg(F.sum("n").alias("n_before"), F.count(key).alias("n_last")), "truncation-counts")
+    verdicts = cut_units(counted, counted.where("n_last > 0").select("unit", (F.col("n_before") + F.col("n_last")).alias("own")))
+    last = split.where(F.col(key).isNotNull()).join(verdicts, "unit", "left")
+    # behind a mark, only what others show to be complete is no cut
+    return last.where("verdict = 'cut' OR (marked AND verdict IS NULL)").select(key).distinct()
 
 
 def cut_shares(rows: DataFrame, found: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
