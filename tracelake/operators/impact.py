@@ -35,14 +35,14 @@ def ordered_distinct(order: list[str], value: str) -> Column:
 def merge_scenarios(scenarios: DataFrame, matched: DataFrame, key=match_key, canonical=lambda k: k) -> DataFrame:
     """One row per spec and scenario name: distinct preconditions, triggers, behaviours, cases and evidence, in order.
 
-    scenarios: case_id, name, precondition, trigger_text, expected_behavior,
+    scenarios: scenario_id, case_id, name, precondition, trigger_text, expected_behavior,
     knowledge_tier, evidence_json. Names that share a key are one scenario, shown as the
-    first by (name, case_id). Items of propagated cases are candidates. Rows without name
-    or case are left out.
+    first by (name, case_id, scenario_id). Items of propagated cases are candidates. Rows
+    without name or case are left out; repeated rows count once.
     """
     rows = scenarios.where("name IS NOT NULL AND case_id IS NOT NULL").join(matched.select("spec_id", "case_id", "propagated"), "case_id")
     rows = rows.withColumn("scenario_key", canonical(key("name"))).withColumn("tier", effective_tier(F.col("knowledge_tier"), F.col("propagated"))).distinct()
-    order = ["name", "case_id"]
+    order = ["name", "case_id", "scenario_id"]
     merged = rows.groupBy("spec_id", "scenario_key").agg(
         F.min("name").alias("scenario"),
         ordered_distinct(order, "precondition").alias("preconditions"),
@@ -50,7 +50,7 @@ def merge_scenarios(scenarios: DataFrame, matched: DataFrame, key=match_key, can
         ordered_distinct(order, "expected_behavior").alias("expected_behaviors"),
         ordered_distinct(order, "case_id").alias("case_ids"),
         F.count(F.lit(1)).alias("n_evidence"),
-        F.sort_array(F.collect_list(F.struct("name", "case_id", "tier", "evidence_json"))).alias("evidence"),
+        F.sort_array(F.collect_list(F.struct(*order, "tier", "evidence_json"))).alias("evidence"),
         prevailing_tier(F.col("tier")).alias("knowledge_tier"),
     )
     return merged.withColumn("requires_confirmation", requires_confirmation(F.col("knowledge_tier")))
@@ -133,7 +133,7 @@ def score_cochange(pairs: DataFrame, direct_services: DataFrame, scores: DataFra
     )
     s = s.withColumn("frequency", capped_third(F.col("case_count").cast("double")))
     total = sum((F.col(k) * w for k, w in PARTS.items()), F.lit(0.0))
-    s = s.withColumn("score", F.round(total, 4))
+    s = s.withColumn("score", F.round(F.round(total, 8), 4))
     least, score, best = EXPAND
     expanded = (F.col("case_count") >= least) & (F.col("score") >= score) & (F.greatest("business_similarity", "change_similarity") >= best)
     return s.withColumn("expanded", expanded).select(

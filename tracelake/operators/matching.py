@@ -144,7 +144,8 @@ def case_scores(fields: DataFrame) -> DataFrame:
     order = F.array(*[F.lit(f) for f in WEIGHTS])
     parts = F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("field")).alias("o"), "contribution")))
     total = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x["contribution"])
-    return fields.groupBy("spec_id", "case_id").agg(F.round(total, 4).alias("score"))
+    # the inner rounding takes off what binary fractions leave behind, so halves round up everywhere
+    return fields.groupBy("spec_id", "case_id").agg(F.round(F.round(total, 8), 4).alias("score"))
 
 
 def direct_matches(scores: DataFrame, cases: DataFrame, min_score: float = 1.0) -> DataFrame:
