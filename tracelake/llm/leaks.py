@@ -127,7 +127,8 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
                     keys.append(k)
                     texts.append(" ".join(tokens))
                     found.append(sorted(hits))
-            yield pd.DataFrame({key: keys, "words": texts, "grams": found})
+            if keys:
+                yield pd.DataFrame({key: keys, "words": texts, "grams": found})
 
     with_grams = documents.where(F.col(text).isNotNull()).select(key, text).mapInPandas(find, f"`{key}` {kind}, words string, grams array<int>")
     with_grams = cut(with_grams, "leaks")
@@ -159,7 +160,8 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
                         a, b = align(numbers[low:high], wanted)
                         best, longest = max(best, a), max(longest, b)
                     out.append((k, item, best / (MATCH * len(wanted)), longest))
-            yield pd.DataFrame(out, columns=[key, "item_id", "score", "run"])
+            if out:
+                yield pd.DataFrame(out, columns=[key, "item_id", "score", "run"])
 
     item_kind = dict(items.dtypes)["item_id"]
     return with_grams.select(key, "words").mapInPandas(score, f"`{key}` {kind}, item_id {item_kind}, score double, run int").distinct()

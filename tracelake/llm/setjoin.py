@@ -188,7 +188,8 @@ def _signatures(threshold: float):
                 if len(keys) > 20_000:
                     yield pd.DataFrame({"rep": reps, "role": roles, "sig": keys, "tokens": sets})
                     reps, roles, keys, sets = [], [], [], []
-            yield pd.DataFrame({"rep": reps, "role": roles, "sig": keys, "tokens": sets})
+            if keys:
+                yield pd.DataFrame({"rep": reps, "role": roles, "sig": keys, "tokens": sets})
 
     return run
 

@@ -84,11 +84,13 @@ def _split(key: str):
                     keys.append(k)
                     last.append(end)
                     marks.append(mark)
-            yield pd.DataFrame({key: pd.array(keys, dtype="Int64"), "unit": last, "n": 0, "marked": marks})
+            if keys:
+                yield pd.DataFrame({key: pd.array(keys, dtype="Int64"), "unit": last, "n": 0, "marked": marks})
             if len(held) > HELD_UNITS:
                 yield passed()
                 held.clear()
-        yield passed()
+        if held:
+            yield passed()
 
     return run
 
