@@ -123,11 +123,10 @@ def first_reached_by(paths: DataFrame, impacts: DataFrame) -> DataFrame:
 
 
 def code_services(impacts: DataFrame, entities: DataFrame, key=match_key) -> DataFrame:
-    """(spec_id, service_key, service, entity_types, entity_ids): impacted entities by service; those without one are left out."""
+    """(spec_id, service_key, service, n_types, n_entities): impacted entities by service, shown as the first entity's; those without one are left out."""
     rows = impacts.select("spec_id", "entity_id").join(entities.select("entity_id", "service", "entity_type"), "entity_id")
     rows = rows.withColumn("service_key", key("service")).where("service_key <> ''")
     return rows.groupBy("spec_id", "service_key").agg(
         F.min(F.struct(F.lower("entity_id").alias("o"), "service")).getField("service").alias("service"),
-        F.sort_array(F.collect_set("entity_type")).alias("entity_types"),
-        F.sort_array(F.collect_set("entity_id")).alias("entity_ids"),
-    )
+        F.count_distinct("entity_type").alias("n_types"), F.count_distinct("entity_id").alias("n_entities"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import match_key
@@ -22,103 +22,119 @@ def matched_cases(direct: DataFrame, propagated: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def ordered_distinct(order: list[str], value: str) -> Column:
-    """Aggregate: distinct non-empty values in order of their first row.
+def merged_items(rows: DataFrame, key: str, display: str, order: list[str]) -> DataFrame:
+    """(spec_id, key, display, n_cases, n_evidence, direct, knowledge_tier, requires_confirmation): one row per item.
 
-    Values are reduced to their first row per task before they meet, so repeated rows do
-    not make the group longer.
+    The item is shown as its first row by order shows it; its tier is the one that prevails.
     """
-    pairs = F.collect_set(F.when(F.col(value) != "", F.struct(*order, F.col(value).alias("_v"))))
-    return F.array_distinct(F.transform(F.array_sort(pairs), lambda x: x["_v"]))
+    merged = rows.groupBy("spec_id", key).agg(
+        F.min(F.struct(*order, F.col(display).alias("_d"))).getField("_d").alias(display),
+        F.count_distinct("case_id").alias("n_cases"),
+        F.count(F.lit(1)).alias("n_evidence"),
+        F.bool_or(~F.col("propagated")).alias("direct"),
+        prevailing_tier(F.col("tier")).alias("knowledge_tier"),
+    )
+    return merged.withColumn("requires_confirmation", requires_confirmation(F.col("knowledge_tier")))
+
+
+def merged_values(rows: DataFrame, key: str, order: list[str], fields: dict[str, Column]) -> DataFrame:
+    """(spec_id, key, field, value, first): the distinct values of each merged item, with the order of their first row.
+
+    fields: name -> array<string> column. One row per value: an item found in a third of
+    all cases has as many rows as it has values, and none of them has to hold the others.
+    """
+    lists = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), v.alias("values")) for n, v in fields.items()]))
+    flat = rows.select("spec_id", key, *order, lists.alias("f")).select("spec_id", key, *order, "f.field", F.posexplode("f.values").alias("pos", "value"))
+    return flat.where("value <> ''").groupBy("spec_id", key, "field", "value").agg(F.min(F.struct(*order, "pos")).alias("first"))
 
 
-def merge_scenarios(scenarios: DataFrame, matched: DataFrame, key=match_key, canonical=lambda k: k) -> DataFrame:
-    """One row per spec and scenario name: distinct preconditions, triggers, behaviours, cases and evidence, in order.
+def in_order(values: DataFrame, key: str) -> DataFrame:
+    """(spec_id, key, field, values): the values of merged_values as lists in order, for a report that people read."""
+    listed = values.groupBy("spec_id", key, "field").agg(F.array_sort(F.collect_list(F.struct("first", "value"))).alias("x"))
+    return listed.select("spec_id", key, "field", F.transform("x", lambda v: v["value"]).alias("values"))
+
+
+SCENARIO_ORDER = ["name", "case_id", "scenario_id"]
+SERVICE_ORDER = ["normalized_service", "case_id", "service_change_id"]
+
+
+def scenario_rows(scenarios: DataFrame, matched: DataFrame, key=match_key, canonical=lambda k: k) -> DataFrame:
+    """Scenarios of matched cases with spec_id, scenario_key and tier.
 
     scenarios: scenario_id, case_id, name, precondition, trigger_text, expected_behavior,
-    knowledge_tier, evidence_json. Names that share a key are one scenario, shown as the
-    first by (name, case_id, scenario_id). Items of propagated cases are candidates. Rows
-    without name or case are left out; repeated rows count once.
+    knowledge_tier, evidence_json. Items of propagated cases are candidates. Rows without
+    name or case are left out; repeated rows count once.
     """
     rows = scenarios.where("name IS NOT NULL AND case_id IS NOT NULL").join(matched.select("spec_id", "case_id", "propagated"), "case_id")
-    rows = rows.withColumn("scenario_key", canonical(key("name"))).withColumn("tier", effective_tier(F.col("knowledge_tier"), F.col("propagated"))).distinct()
-    order = ["name", "case_id", "scenario_id"]
-    merged = rows.groupBy("spec_id", "scenario_key").agg(
-        F.min("name").alias("scenario"),
-        ordered_distinct(order, "precondition").alias("preconditions"),
-        ordered_distinct(order, "trigger_text").alias("triggers"),
-        ordered_distinct(order, "expected_behavior").alias("expected_behaviors"),
-        ordered_distinct(order, "case_id").alias("case_ids"),
-        F.count(F.lit(1)).alias("n_evidence"),
-        F.sort_array(F.collect_list(F.struct(*order, "tier", "evidence_json"))).alias("evidence"),
-        prevailing_tier(F.col("tier")).alias("knowledge_tier"),
-    )
-    return merged.withColumn("requires_confirmation", requires_confirmation(F.col("knowledge_tier")))
+    return rows.withColumn("scenario_key", canonical(key("name"))).withColumn("tier", effective_tier(F.col("knowledge_tier"), F.col("propagated"))).distinct()
 
 
-def merge_services(changes: DataFrame, matched: DataFrame, key=match_key, canonical=lambda k: k) -> DataFrame:
-    """One row per spec and service: distinct responsibilities, asset types, modifications, cases and evidence, in order.
+def merge_scenarios(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, values) of scenario_rows, merged by name; see merged_items and merged_values."""
+    fields = {"preconditions": F.array("precondition"), "triggers": F.array("trigger_text"), "expected_behaviors": F.array("expected_behavior"), "case_ids": F.array("case_id")}
+    items = merged_items(rows, "scenario_key", "name", SCENARIO_ORDER).withColumnRenamed("name", "scenario")
+    return items, merged_values(rows, "scenario_key", SCENARIO_ORDER, fields)
+
+
+def service_rows(changes: DataFrame, matched: DataFrame, key=match_key, canonical=lambda k: k) -> DataFrame:
+    """Service changes of matched cases with spec_id, service_key and tier.
 
     changes: service_change_id, case_id, service, normalized_service, responsibility,
     asset_types_json, modification, knowledge_tier, evidence_json.
     """
     rows = changes.where("service IS NOT NULL AND case_id IS NOT NULL").join(matched.select("spec_id", "case_id", "propagated"), "case_id")
-    rows = rows.withColumn("service_key", canonical(key("service"))).withColumn("tier", effective_tier(F.col("knowledge_tier"), F.col("propagated"))).distinct()
-    rows = rows.withColumn("types", F.coalesce(F.from_json("asset_types_json", "array<string>"), F.array().cast("array<string>")))
-    order = ["normalized_service", "case_id", "service_change_id"]
-    typed = F.array_sort(F.collect_set(F.struct(*order, "types")))
-    merged = rows.groupBy("spec_id", "service_key").agg(
-        F.min(F.struct(*order, "service")).getField("service").alias("service"),
-        ordered_distinct(order, "responsibility").alias("responsibilities"),
-        F.array_distinct(F.flatten(F.transform(typed, lambda x: x["types"]))).alias("asset_types"),
-        ordered_distinct(order, "modification").alias("modifications"),
-        ordered_distinct(order, "case_id").alias("case_ids"),
-        F.count(F.lit(1)).alias("n_evidence"),
-        F.bool_or(~F.col("propagated")).alias("direct"),
-        F.sort_array(F.collect_list(F.struct(*order, "tier", "evidence_json"))).alias("evidence"),
-        prevailing_tier(F.col("tier")).alias("knowledge_tier"),
-    )
-    return merged.withColumn("requires_confirmation", requires_confirmation(F.col("knowledge_tier"))).withColumn("source", F.lit("matched-history"))
+    return rows.withColumn("service_key", canonical(key("service"))).withColumn("tier", effective_tier(F.col("knowledge_tier"), F.col("propagated"))).distinct()
+
+
+def merge_services(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, values) of service_rows, merged by service."""
+    types = F.coalesce(F.from_json("asset_types_json", "array<string>"), F.array().cast("array<string>"))
+    fields = {"responsibilities": F.array("responsibility"), "asset_types": types, "modifications": F.array("modification"), "case_ids": F.array("case_id")}
+    items = merged_items(rows, "service_key", "service", SERVICE_ORDER).withColumn("source", F.lit("matched-history"))
+    return items, merged_values(rows, "service_key", SERVICE_ORDER, fields)
 
 
 def add_code_services(services: DataFrame, code: DataFrame) -> DataFrame:
-    """History services with the entity_ids of code that belongs to them; services only code knows are candidates."""
-    c = code.select("spec_id", "service_key", F.col("service").alias("c_service"), "entity_types", "entity_ids")
+    """History services with the number of code entities that belong to them; services only code knows are candidates.
+
+    services as merge_services gives its items; code: spec_id, service_key, service, n_entities.
+    """
+    c = code.select("spec_id", "service_key", F.col("service").alias("c_service"), "n_entities")
     both = services.join(c, ["spec_id", "service_key"], "full_outer")
     new = F.col("service").isNull()
-    empty = F.array().cast("array<string>")
-    filled = {
-        "service": F.coalesce("service", "c_service"),
-        "asset_types": F.when(new, F.col("entity_types")).otherwise(F.col("asset_types")),
-        "knowledge_tier": F.when(new, "candidate").otherwise(F.col("knowledge_tier")),
-        "requires_confirmation": F.when(new, True).otherwise(F.col("requires_confirmation")),
-        "source": F.when(new, "offline-code-candidate").otherwise(F.col("source")),
-        "direct": F.coalesce("direct", F.lit(False)),
-        "n_evidence": F.coalesce("n_evidence", F.lit(0).cast("long")) + F.when(F.col("entity_ids").isNotNull(), 1).otherwise(0),
-    } | {k: F.coalesce(k, empty) for k in ("responsibilities", "modifications", "case_ids")}
-    return both.select("spec_id", "service_key", *[filled.get(k, F.col(k)).alias(k) for k in services.columns[2:]], "entity_ids")
-
-
-def build_cochange(changes: DataFrame, cases: DataFrame) -> DataFrame:
-    """(service_a, service_b, case_count, case_ids): services that change in one trusted or candidate case, a < b."""
+    none = F.lit(0).cast("long")
+    return both.select(
+        "spec_id", "service_key", F.coalesce("service", "c_service").alias("service"), F.coalesce("n_cases", none).alias("n_cases"),
+        (F.coalesce("n_evidence", none) + F.when(F.col("n_entities").isNotNull(), 1).otherwise(0)).alias("n_evidence"), F.coalesce("direct", F.lit(False)).alias("direct"),
+        F.when(new, "candidate").otherwise(F.col("knowledge_tier")).alias("knowledge_tier"), F.when(new, True).otherwise(F.col("requires_confirmation")).alias("requires_confirmation"),
+        F.when(new, "offline-code-candidate").otherwise(F.col("source")).alias("source"), F.coalesce("n_entities", none).alias("n_entities"),
+    )
+
+
+def cochange_cases(changes: DataFrame, cases: DataFrame) -> DataFrame:
+    """(service_a, service_b, case_id): services that change in one trusted or candidate case, a < b, once per case."""
     usable = cases.where("knowledge_tier IN ('trusted', 'candidate')").select("case_id").distinct()
     rows = changes.where("normalized_service <> ''").select("case_id", "normalized_service").distinct().join(usable, "case_id", "left_semi")
-    lists = rows.groupBy("case_id").agg(F.array_sort(F.collect_list("normalized_service")).alias("s"))
-    tails = F.transform(F.col("s"), lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(a.alias("service_a"), b.alias("service_b"))))
-    pairs = lists.where(F.size("s") > 1).select("case_id", F.explode(F.flatten(tails)).alias("p")).select("case_id", "p.*")
-    return pairs.groupBy("service_a", "service_b").agg(F.count("case_id").alias("case_count"), F.sort_array(F.collect_list("case_id")).alias("case_ids"))
+    a, b = rows.withColumnRenamed("normalized_service", "service_a"), rows.withColumnRenamed("normalized_service", "service_b")
+    return a.join(b, "case_id").where("service_a < service_b").select("service_a", "service_b", "case_id")
 
 
-def score_cochange(pairs: DataFrame, direct_services: DataFrame, scores: DataFrame, fields: DataFrame, cases: DataFrame, canonical=lambda k: k) -> DataFrame:
+def build_cochange(pair_cases: DataFrame) -> DataFrame:
+    """(service_a, service_b, case_count)."""
+    return pair_cases.groupBy("service_a", "service_b").agg(F.count("case_id").alias("case_count"))
+
+
+def score_cochange(pair_cases: DataFrame, direct_services: DataFrame, scores: DataFrame, fields: DataFrame, cases: DataFrame, canonical=lambda k: k) -> DataFrame:
     """Pairs with a service that matches directly, scored: spec_id, service_a, service_b, case_count, parts, score, expanded.
 
-    pairs: service_a, service_b, case_count, case_ids; direct_services: spec_id,
-    service_key; scores and fields as in matching; cases: case_id, knowledge_tier. A pair's
-    context and similarities are the best of its cases; cases not scored count 0.
+    pair_cases: service_a, service_b, case_id; direct_services: spec_id, service_key;
+    scores and fields as in matching; cases: case_id, knowledge_tier. A pair's context and
+    similarities are the best of its cases; cases not scored count 0.
     """
-    sides = pairs.select("service_a", "service_b", "case_count", "case_ids", F.explode(F.array(canonical(F.col("service_a")), canonical(F.col("service_b")))).alias("service_key"))
-    kept = sides.join(direct_services, "service_key").select("spec_id", "service_a", "service_b", "case_count", "case_ids").distinct()
-    flat = kept.select("spec_id", "service_a", "service_b", "case_count", F.explode_outer("case_ids").alias("case_id"))
+    pairs = build_cochange(pair_cases)
+    sides = pairs.select("service_a", "service_b", "case_count", F.explode(F.array(canonical(F.col("service_a")), canonical(F.col("service_b")))).alias("service_key"))
+    kept = sides.join(direct_services, "service_key").select("spec_id", "service_a", "service_b", "case_count").distinct()
+    flat = kept.join(pair_cases, ["service_a", "service_b"])
     tiers = cases.groupBy("case_id").agg(F.max("knowledge_tier").alias("tier"))
     wide = fields.where("field IN ('business_objects', 'change_types')").groupBy("spec_id", "case_id").agg(
         F.max(F.when(F.col("field") == "business_objects", F.col("best"))).alias("o"), F.max(F.when(F.col("field") == "change_types", F.col("best"))).alias("t")
@@ -169,8 +185,3 @@ def items_of_matched(items: DataFrame, matched: DataFrame) -> DataFrame:
     if "knowledge_tier" in items.columns:
         x = x.withColumn("knowledge_tier", effective_tier(F.col("knowledge_tier"), F.col("propagated")))
     return x.drop("propagated")
-
-
-def ranked(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """df with `rank` 1..n within keys."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

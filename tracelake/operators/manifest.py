@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import path_key
@@ -108,15 +108,14 @@ def pending_validation(manifest: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def document_index(cases: DataFrame) -> DataFrame:
-    """(path_key, n_cases, case_ids): the cases of each document, in order."""
-    rows = cases.where("doc_path IS NOT NULL").select(path_key("doc_path").alias("path_key"), "case_id").distinct()
-    return rows.groupBy("path_key").agg(F.count("case_id").alias("n_cases"), F.sort_array(F.collect_list("case_id")).alias("case_ids"))
+    """(path_key, case_id): the cases of each document, as rows; a document may have any number."""
+    return cases.where("doc_path IS NOT NULL").select(path_key("doc_path").alias("path_key"), "case_id").distinct()
 
 
 def first_documents(cases: DataFrame, order: str) -> DataFrame:
     """(doc_path, title, version): the first case's of each document, in the order given."""
-    by = Window.partitionBy("doc_path").orderBy(order)
-    return cases.where("doc_path IS NOT NULL").withColumn("_n", F.row_number().over(by)).where("_n = 1").select("doc_path", "title", "version")
+    first = cases.where("doc_path IS NOT NULL").groupBy("doc_path").agg(F.min_by(F.struct("title", "version"), order).alias("x"))
+    return first.select("doc_path", "x.title", "x.version")
 
 
 def needs_compile(store_time: Column, latest_case_time: Column, n_removed: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import lexical_tokens, match_key, similarity
@@ -75,8 +75,13 @@ def spec_terms(spark: SparkSession, specs: dict[str, dict[str, list]], aliases:
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    by = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(by)).where("_rank = 1").drop("_rank")
+    """The first row of each key; order must tell the rows of a key apart.
+
+    An aggregate with map-side combination, so a frequent key is never in one place.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_x"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_x.{c}").alias(c) for c in rows.columns])
 
 
 def case_keys(terms: DataFrame, key: Column, pos: str) -> DataFrame:

@@ -125,7 +125,7 @@ def conflicts(cases: DataFrame) -> DataFrame:
 
 def history_tables(cases: DataFrame) -> dict[str, DataFrame]:
     """The store's tables by name."""
-    from tracelake.operators.impact import build_cochange
+    from tracelake.operators.impact import build_cochange, cochange_cases
 
     changes = service_changes(cases)
     order = F.struct("file_ord", "case_ord")
@@ -138,7 +138,7 @@ def history_tables(cases: DataFrame) -> dict[str, DataFrame]:
         "relations": relations(cases),
         "historical_omissions": omissions(cases),
         "conflicts": conflicts(cases),
-        "service_cochange": build_cochange(changes, cases),
+        "service_cochange": build_cochange(cochange_cases(changes, cases)),
     }
 
 

@@ -21,18 +21,12 @@ SPECS = {
     },
     "refund": {"business_objects": ["refund licence", "预付押金"], "change_types": ["reversal channel"], "states": ["warehouse overdue"], "actions": ["replay refund"]},
 }
-_COL = F.col
 
 
 def _low(c):
     return F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
 
 
-def _s(*columns: str):
-    """The columns' arrays as text."""
-    return [F.concat_ws("|", c).alias(c) for c in columns]
-
-
 # ---- tables -----------------------------------------------------------------------------
 
 
@@ -153,7 +147,7 @@ def r_pending_validation(spark, d):
 
 def r_document_index(spark, d):
     """SK7: the cases of each document."""
-    return manifest.document_index(_cases(spark, d)).select("path_key", "n_cases", *_s("case_ids"))
+    return manifest.document_index(_cases(spark, d))
 
 
 def r_documents_first(spark, d):
@@ -244,34 +238,48 @@ def r_item_tiers(spark, d):
     return rows.select("scenario_id", tier.alias("item_tier"), tiers.requires_confirmation(tier).alias("requires_confirmation"))
 
 
+def _first(*columns):
+    return [F.col(f"first.{c}").alias(f"first_{c}") for c in columns]
+
+
 def r_scenario_merge(spark, d):
-    """AG2, AG4, JN: scenarios of matched cases, merged by name."""
-    m = impact.merge_scenarios(table(spark, d, "scenarios"), _matched(spark, d), key=_low)
-    return m.select("spec_id", "scenario_key", "scenario", *_s("preconditions", "triggers", "expected_behaviors", "case_ids"), "n_evidence", "knowledge_tier", "requires_confirmation")
+    """AG2, AG4: scenarios of matched cases, merged by name."""
+    items, _ = impact.merge_scenarios(impact.scenario_rows(table(spark, d, "scenarios"), _matched(spark, d), key=_low))
+    return items.select("spec_id", "scenario_key", "scenario", "n_cases", "n_evidence", "knowledge_tier", "requires_confirmation")
+
+
+def r_scenario_values(spark, d):
+    """AG2, WN3: what the merged scenarios hold, in order of first appearance."""
+    _, values = impact.merge_scenarios(impact.scenario_rows(table(spark, d, "scenarios"), _matched(spark, d), key=_low))
+    return values.select("spec_id", "scenario_key", "field", "value", *_first("name", "case_id", "scenario_id"))
 
 
 def _services(spark, d):
-    return impact.merge_services(_changes(spark, d), _matched(spark, d), key=_low)
+    return impact.merge_services(impact.service_rows(_changes(spark, d), _matched(spark, d), key=_low))
 
 
 def r_service_merge(spark, d):
     """AG3, AG4: services of matched cases, merged by name."""
-    return _services(spark, d).select(
-        "spec_id", "service_key", "service", *_s("responsibilities", "asset_types", "modifications", "case_ids"), "n_evidence", "knowledge_tier", "requires_confirmation"
-    )
+    return _services(spark, d)[0].select("spec_id", "service_key", "service", "n_cases", "n_evidence", "knowledge_tier", "requires_confirmation")
+
+
+def r_service_values(spark, d):
+    """AG3: what the merged services hold, in order of first appearance."""
+    return _services(spark, d)[1].select("spec_id", "service_key", "field", "value", *_first("normalized_service", "case_id", "service_change_id"))
 
 
 def r_cochange_build(spark, d):
     """JN13, AG5: services that change in one case."""
-    return impact.build_cochange(_changes(spark, d), _cases(spark, d)).select("service_a", "service_b", "case_count", *_s("case_ids"))
+    return impact.build_cochange(impact.cochange_cases(_changes(spark, d), _cases(spark, d)))
 
 
 def _cochange_scored(spark, d):
     fields, scores = _scored(spark, d)
-    services = impact.merge_services(_changes(spark, d), impact.matched_cases(matching.direct_matches(scores, _cases(spark, d), 6.0), scores.select("spec_id", "case_id").limit(0)), key=_low)
-    services = cut(services.select("spec_id", "service_key", "direct"), "reference-services")
-    pairs = impact.build_cochange(_changes(spark, d), _cases(spark, d))
-    return impact.score_cochange(pairs, services.where("direct").select("spec_id", "service_key"), scores, fields, _cases(spark, d)), services
+    strong = matching.direct_matches(scores, _cases(spark, d), 3.0)
+    matched = impact.matched_cases(strong, strong.select("spec_id", "case_id").limit(0))
+    services = cut(impact.service_rows(_changes(spark, d), matched, key=_low).select("spec_id", "service_key").distinct(), "reference-services")
+    pairs = impact.cochange_cases(_changes(spark, d), _cases(spark, d))
+    return impact.score_cochange(pairs, services, scores, fields, _cases(spark, d)), services
 
 
 def r_cochange_score(spark, d):
@@ -332,7 +340,16 @@ def r_code_services(spark, d):
     """AG13: impacted services."""
     edges, entities, _ = _code(spark, d)
     impacts, _ = graph.code_walk(edges, entities, _seeds(spark, d), 1)
-    return graph.code_services(impacts, entities, key=_low).select("spec_id", "service_key", *_s("entity_types", "entity_ids"))
+    return graph.code_services(impacts, entities, key=_low)
+
+
+def r_all_services(spark, d):
+    """JN11: services of history and code, merged."""
+    _, entities, _ = _code(spark, d)
+    items, _ = _services(spark, d)
+    impacts = entities.select(F.lit("freeze").alias("spec_id"), "entity_id")
+    code = graph.code_services(impacts, entities, key=_low)
+    return impact.add_code_services(items, code).select("spec_id", "service_key", "n_evidence", "knowledge_tier", "source", "n_entities")
 
 
 def _predictions(spark, d):

@@ -98,13 +98,10 @@ _RANK = "CASE {0} WHEN 'conflict' THEN 0 WHEN 'trusted' THEN 1 WHEN 'candidate'
 _TIER = "(['conflict', 'trusted', 'candidate', 'rejected'])[min({0}) + 1]".format(_RANK.format("knowledge_tier"))
 
 
-def _listed(value: str, order: str) -> str:
-    """Distinct values in order of first appearance, as text."""
-    return f"(SELECT coalesce(string_agg(v, '|' ORDER BY o), '') FROM (SELECT x.v AS v, min(x.o) AS o FROM (SELECT unnest(list({{'v': {value}, 'o': {order}}})) AS x) WHERE x.v IS NOT NULL AND x.v <> '' GROUP BY 1))"
-
-
 _LOW = "lower(trim({0}))".format
 _CHANGES = "chg AS (SELECT DISTINCT * FROM service_changes)"
+_SCENES = f"scenes AS (SELECT DISTINCT d.spec_id, {_LOW('s.name')} AS scenario_key, s.* FROM scenarios s JOIN direct d USING (case_id) WHERE s.name IS NOT NULL)"
+_TOUCHED = f"touched AS (SELECT DISTINCT d.spec_id, {_LOW('s.service')} AS service_key, s.* FROM chg s JOIN direct d USING (case_id) WHERE s.service IS NOT NULL)"
 _COCHANGE = f"""
 {_CHANGES},
 members AS (SELECT DISTINCT case_id, normalized_service AS s FROM chg WHERE normalized_service <> ''
@@ -114,7 +111,7 @@ cochange AS (SELECT service_a, service_b, count(*) AS case_count FROM pair_cases
 """
 _CO_SCORE = f"""
 {_MATCH}, {_COCHANGE},
-strong AS (SELECT * FROM scores WHERE score >= 6 AND case_id IN (SELECT case_id FROM usable)),
+strong AS (SELECT * FROM scores WHERE score >= 3 AND case_id IN (SELECT case_id FROM usable)),
 direct_services AS (SELECT DISTINCT spec_id, {_LOW('service')} AS service_key FROM chg JOIN strong USING (case_id) WHERE service IS NOT NULL),
 kept AS (SELECT DISTINCT spec_id, service_a, service_b, case_count FROM cochange JOIN direct_services ON service_key IN (service_a, service_b)),
 parts AS (
@@ -203,8 +200,7 @@ SQL = {
       AND NOT EXISTS (SELECT 1 FROM sourced s WHERE lower(s.doc_path) = c.path_key AND s.source_sha = c.sha256)""",
     "r_pending_validation": f"""WITH {_DOCS} SELECT path FROM cur c WHERE EXISTS (SELECT 1 FROM sourced s WHERE lower(s.doc_path) = c.path_key
       AND s.source_sha = c.sha256 AND coalesce(s.validation_status, 'unverified') = 'unverified')""",
-    "r_document_index": """SELECT lower(doc_path) AS path_key, count(*) AS n_cases, string_agg(case_id, '|' ORDER BY case_id) AS case_ids
-      FROM (SELECT DISTINCT doc_path, case_id FROM cases WHERE doc_path IS NOT NULL) GROUP BY 1""",
+    "r_document_index": "SELECT DISTINCT lower(doc_path) AS path_key, case_id FROM cases WHERE doc_path IS NOT NULL",
     "r_documents_first": "SELECT doc_path, title FROM (SELECT DISTINCT * FROM cases) WHERE doc_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_path ORDER BY case_id) = 1",
     "r_discovery": f"""
 WITH docs AS (SELECT DISTINCT path, relative_path, extension FROM manifest),
@@ -237,13 +233,27 @@ FROM near QUALIFY row_number() OVER (PARTITION BY name ORDER BY capture_no DESC)
     "r_item_tiers": """SELECT scenario_id, t AS item_tier, t <> 'trusted' AS requires_confirmation FROM (
       SELECT scenario_id, CASE WHEN c.knowledge_tier = 'trusted' AND json_extract_string(evidence_json, '$.kind') = 'inferred' THEN 'candidate' ELSE c.knowledge_tier END AS t
       FROM (SELECT DISTINCT * FROM scenarios) s JOIN (SELECT DISTINCT * FROM cases) c USING (case_id))""",
-    "r_scenario_merge": f"""WITH {_MATCH},
-      rows AS (SELECT DISTINCT d.spec_id, {_LOW('s.name')} AS scenario_key, s.* FROM scenarios s JOIN direct d USING (case_id) WHERE s.name IS NOT NULL)
-      SELECT spec_id, scenario_key, min(name) AS scenario, {_listed('precondition', '(name, case_id, scenario_id)')} AS preconditions, {_listed('trigger_text', '(name, case_id, scenario_id)')} AS triggers,
-        {_listed('expected_behavior', '(name, case_id, scenario_id)')} AS expected_behaviors, {_listed('case_id', '(name, case_id, scenario_id)')} AS case_ids, count(*) AS n_evidence,
-        {_TIER} AS knowledge_tier, {_TIER} <> 'trusted' AS requires_confirmation
-      FROM rows GROUP BY spec_id, scenario_key""",
-    "r_cochange_build": f"WITH {_COCHANGE} SELECT service_a, service_b, count(*) AS case_count, string_agg(case_id, '|' ORDER BY case_id) AS case_ids FROM pair_cases GROUP BY 1, 2",
+    "r_scenario_merge": f"""WITH {_MATCH}, {_SCENES} SELECT spec_id, scenario_key, min(name) AS scenario, count(DISTINCT case_id) AS n_cases, count(*) AS n_evidence,
+        {_TIER} AS knowledge_tier, {_TIER} <> 'trusted' AS requires_confirmation FROM scenes GROUP BY spec_id, scenario_key""",
+    "r_scenario_values": f"""WITH {_MATCH}, {_SCENES},
+      flat AS (SELECT *, 'preconditions' AS field, precondition AS value FROM scenes UNION ALL SELECT *, 'triggers', trigger_text FROM scenes
+        UNION ALL SELECT *, 'expected_behaviors', expected_behavior FROM scenes UNION ALL SELECT *, 'case_ids', case_id FROM scenes)
+      SELECT spec_id, scenario_key, field, value, name AS first_name, case_id AS first_case_id, scenario_id AS first_scenario_id FROM flat WHERE value <> ''
+      QUALIFY row_number() OVER (PARTITION BY spec_id, scenario_key, field, value ORDER BY name, case_id, scenario_id) = 1""",
+    "r_service_merge": f"""WITH {_MATCH}, {_CHANGES}, {_TOUCHED} SELECT spec_id, service_key, arg_min(service, (normalized_service, case_id, service_change_id)) AS service,
+        count(DISTINCT case_id) AS n_cases, count(*) AS n_evidence, {_TIER} AS knowledge_tier, {_TIER} <> 'trusted' AS requires_confirmation FROM touched GROUP BY spec_id, service_key""",
+    "r_service_values": f"""WITH {_MATCH}, {_CHANGES}, {_TOUCHED},
+      flat AS (SELECT *, 'responsibilities' AS field, responsibility AS value FROM touched UNION ALL SELECT *, 'modifications', modification FROM touched UNION ALL SELECT *, 'case_ids', case_id FROM touched
+        UNION ALL SELECT *, 'asset_types', unnest(from_json(asset_types_json, '["VARCHAR"]')) FROM touched)
+      SELECT spec_id, service_key, field, value, normalized_service AS first_normalized_service, case_id AS first_case_id, service_change_id AS first_service_change_id FROM flat WHERE value <> ''
+      QUALIFY row_number() OVER (PARTITION BY spec_id, service_key, field, value ORDER BY normalized_service, case_id, service_change_id) = 1""",
+    "r_all_services": f"""WITH {_MATCH}, {_CHANGES}, {_TOUCHED}, {_CODE},
+      h AS (SELECT spec_id, service_key, count(*) AS n_evidence, {_TIER} AS knowledge_tier FROM touched GROUP BY 1, 2),
+      c AS (SELECT 'freeze' AS spec_id, entity_id AS service_key FROM entities)
+      SELECT coalesce(h.spec_id, c.spec_id) AS spec_id, coalesce(h.service_key, c.service_key) AS service_key, coalesce(n_evidence, 0) + (c.service_key IS NOT NULL)::INT AS n_evidence,
+        coalesce(knowledge_tier, 'candidate') AS knowledge_tier, CASE WHEN h.spec_id IS NULL THEN 'offline-code-candidate' ELSE 'matched-history' END AS source, (c.service_key IS NOT NULL)::BIGINT AS n_entities
+      FROM h FULL JOIN c ON h.spec_id = c.spec_id AND h.service_key = c.service_key""",
+    "r_cochange_build": f"WITH {_COCHANGE} SELECT * FROM cochange",
     "r_cochange_score": f"WITH {_CO_SCORE} SELECT * FROM rated",
     "r_service_expansion": f"""WITH {_CO_SCORE},
       sides AS (SELECT spec_id, score, service_a, service_b, 0 AS side, service_a AS service FROM rated WHERE expanded UNION ALL SELECT spec_id, score, service_a, service_b, 1, service_b FROM rated WHERE expanded)
@@ -267,7 +277,7 @@ UNION ALL SELECT 'review_queue', count(*) FROM c WHERE knowledge_tier IN ('candi
     "r_code_walk": f"""WITH {_CODE} SELECT 'code' AS spec_id, entity_id, 0 AS depth, score, 'offline-code-mapping' AS source FROM seed
       UNION ALL SELECT 'code', entity_id, 1, 0.7, 'offline-code-propagation' FROM reach1 UNION ALL SELECT 'code', entity_id, 2, 0.49, 'offline-code-propagation' FROM reach2""",
     "r_code_paths": f"WITH {_CODE} SELECT 'code' AS spec_id, 1 AS depth, a AS source_id, b AS target_id FROM path1",
-    "r_code_services": f"""WITH {_CODE} SELECT 'code' AS spec_id, entity_id AS service_key, entity_type AS entity_types, entity_id AS entity_ids
+    "r_code_services": f"""WITH {_CODE} SELECT 'code' AS spec_id, entity_id AS service_key, entity_id AS service, 1::BIGINT AS n_types, 1::BIGINT AS n_entities
       FROM entities WHERE entity_id IN (SELECT entity_id FROM seed UNION SELECT entity_id FROM reach1)""",
     "r_replay_metrics": f"WITH {_PREDICTED} SELECT case_id, tp, fp, fn, {_METRICS} FROM counts",
     "r_replay_overall": f"WITH {_OVERALL} SELECT * FROM rated",
@@ -310,12 +320,3 @@ UNION ALL SELECT case_id, 'case_terms', count(DISTINCT (term_type, regexp_replac
 UNION ALL SELECT case_id, 'scenarios', count(*) FROM (SELECT DISTINCT * FROM scenarios) WHERE name <> '' AND case_id IN (SELECT case_id FROM live) GROUP BY 1
 UNION ALL SELECT case_id, 'service_changes', count(*) FROM (SELECT DISTINCT * FROM service_changes) WHERE service <> '' AND case_id IN (SELECT case_id FROM live) GROUP BY 1""",
 }
-_ORDER = "(normalized_service, case_id, service_change_id)"
-SQL["r_service_merge"] = f"""WITH {_MATCH}, {_CHANGES},
-  rows AS (SELECT DISTINCT d.spec_id, {_LOW('s.service')} AS service_key, s.* FROM chg s JOIN direct d USING (case_id) WHERE s.service IS NOT NULL),
-  typed AS (SELECT spec_id, service_key, t, min(({_ORDER}, i)) AS o FROM (
-      SELECT spec_id, service_key, normalized_service, case_id, service_change_id, unnest(from_json(asset_types_json, '["VARCHAR"]')) AS t, generate_subscripts(from_json(asset_types_json, '["VARCHAR"]'), 1) AS i FROM rows) GROUP BY 1, 2, 3),
-  types_of AS (SELECT spec_id, service_key, string_agg(t, '|' ORDER BY o) AS asset_types FROM typed GROUP BY 1, 2),
-  merged AS (SELECT spec_id, service_key, arg_min(service, {_ORDER}) AS service, {_listed('responsibility', _ORDER)} AS responsibilities, {_listed('modification', _ORDER)} AS modifications,
-    {_listed('case_id', _ORDER)} AS case_ids, count(*) AS n_evidence, {_TIER} AS knowledge_tier, {_TIER} <> 'trusted' AS requires_confirmation FROM rows GROUP BY spec_id, service_key)
-  SELECT m.*, coalesce(asset_types, '') AS asset_types FROM merged m LEFT JOIN types_of USING (spec_id, service_key)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,8 +85,9 @@ def union_roots(scans: list[DataFrame], fold_case: bool = False) -> DataFrame:
 
 
 def first_root_wins(rows: DataFrame, key: Column, root_order: str) -> DataFrame:
-    by = Window.partitionBy(key).orderBy(root_order, "path")
-    return rows.withColumn("_rank", F.row_number().over(by)).where("_rank = 1").drop("_rank")
+    """One row per key: that of the first root (ties: the least path)."""
+    best = rows.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*rows.columns), F.struct(root_order, "path")).alias("x"))
+    return best.select("x.*")
 
 
 def load_manifest(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
