@@ -38,8 +38,9 @@ def stored_key(col: Column | str) -> Column:
     """The key a store keeps: letter case and blanks do not count, compatibility forms do.
 
     Upper then lower case folds nearly as case folding does (ss for sharp s); null stays null.
+    Blanks are collapsed in between, else the optimizer takes the upper case away.
     """
-    return collapse(F.lower(F.upper(_col(col))))
+    return F.lower(collapse(F.upper(_col(col))))
 
 
 @F.pandas_udf(T.StringType())

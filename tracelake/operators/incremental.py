@@ -21,11 +21,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FAN_BITS = 4
 #: Records a leaf should hold on average.
 LEAF_RECORDS = 16
 MAX_LEVELS = 12
+#: Columns of a saved tree.
+TREE = "level int, node bigint, h1 bigint, h2 bigint, n bigint"
 
 
 def levels_for(records: int, leaf_records: int = LEAF_RECORDS) -> int:
@@ -180,10 +183,11 @@ class Store:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.folder}/versions/{version}/{name}")
-        return self.read(version, name)
+        return self.read(version, name, df.schema)
 
-    def read(self, version: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/versions/{version}/{name}")
+    def read(self, version: str, name: str, schema: StructType | str | None = None) -> DataFrame:
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(f"{self.folder}/versions/{version}/{name}")
 
     def publish(self, version: str, about: dict) -> None:
         """Make version current: its commit file gets the next number, under a name only one writer can take."""
@@ -249,7 +253,7 @@ def run_once(
         levels = levels_for(records.count(), leaf_records)
         saved = build_tree(store.read(last["version"], "state"), levels)
     else:
-        saved = store.read(last["version"], "tree") if last else None
+        saved = store.read(last["version"], "tree", TREE) if last else None
     tree = store.write(version, "tree", build_tree(records, levels), partition_by=["level"])
     records = records.withColumn("node", node_at(levels))
     if saved is None:

@@ -64,10 +64,12 @@ def case_lifecycle(cases: DataFrame, manifest: DataFrame) -> DataFrame:
 
     cases: doc_path and source_sha among any columns; manifest: path_key, path, sha256. A
     case without path or content is invalid. It has moved if its path is gone and its
-    content is at exactly one path, which is then new_path.
+    content is at exactly one path, which is then new_path. Columns of cases that have one
+    of the two names are replaced.
     """
     by_path = manifest.select(F.col("path_key").alias("_key"), F.lower("sha256").alias("_sha"), F.lit(True).alias("_here"))
     by_content = manifest.where("sha256 IS NOT NULL").groupBy(F.lower("sha256").alias("_sha2")).agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("_to"))
+    cases = cases.drop("status", "new_path")
     x = cases.withColumn("_key", path_key("doc_path")).withColumn("_sha2", F.lower("source_sha"))
     x = x.join(by_path, "_key", "left").join(by_content, "_sha2", "left")
     status = (

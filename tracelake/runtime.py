@@ -54,7 +54,8 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    # with its schema, as a table without rows and with partitions has no file to take it from
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -96,7 +96,7 @@ def raw_responses(spark: SparkSession, capture_dir: str) -> DataFrame:
     """(response_path, actual_sha256) of the files below a capture's folder, relative to it."""
     root = os.path.realpath(capture_dir)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{root}")
-    path = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\+", "%2B"), "^file:/*", "/"))
+    path = F.regexp_replace("path", "^file:/*", "/")
     return files.select(F.substring(path, F.lit(len(root) + 2), F.length(path)).alias("response_path"), F.sha2("content", 256).alias("actual_sha256"))
 
 

@@ -64,7 +64,7 @@ def scan_root(spark: SparkSession, root: str, suffixes: list[str] | None = None,
         return None, [f"Document root does not exist or is not a directory: {root}"]
     root = os.path.realpath(root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{root}")
-    path = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\+", "%2B"), "^file:/*", "/"))
+    path = F.regexp_replace("path", "^file:/*", "/")
     relative = F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))
     rows = files.select(
         F.lit(root).alias("root"), path.alias("path"), relative.alias("relative_path"), X.extension(path).alias("extension"),
