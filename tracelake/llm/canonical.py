@@ -28,6 +28,8 @@ from functools import lru_cache
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.llm.looks import consistent
 
@@ -35,6 +37,7 @@ from tracelake.llm.looks import consistent
 MAX_ENTRIES = 200_000
 #: Values whose result a task remembers.
 REMEMBERED = 1 << 17
+RESULT = T.StructType([T.StructField("ref_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("how", T.StringType())])
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -189,10 +192,9 @@ def map_values(rows: DataFrame, value: str, reference: DataFrame, aliases: DataF
     reference and aliases: ref_id, name. The list is read to the driver after its size is
     checked (MAX_ENTRIES). Null, empty and blank values name nothing; of entries that fold
     to the same name the least ref_id counts. Rows are neither moved nor dropped, so a
-    frequent value costs no more than a rare one. An empty list maps nothing.
+    frequent value costs no more than a rare one. Columns of rows that have one of the
+    three names are replaced. An empty list maps nothing.
     """
-    if {"ref_id", "similarity", "how"} & set(rows.columns):
-        raise ValueError("rows have a column of the result already")
     listed = reference.where("ref_id IS NOT NULL AND name IS NOT NULL").select("ref_id", "name")
     extra = aliases.where("ref_id IS NOT NULL AND name IS NOT NULL").select("ref_id", "name") if aliases is not None else None
     if listed.count() + (extra.count() if extra is not None else 0) > MAX_ENTRIES:
@@ -201,17 +203,19 @@ def map_values(rows: DataFrame, value: str, reference: DataFrame, aliases: DataF
     others = [(r.ref_id, r.name) for r in extra.collect()] if extra is not None else []
     shared, name = rows.sparkSession.sparkContext.broadcast((entries, others)), uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = _matcher(name, shared)
-        match = lru_cache(REMEMBERED)(matcher.match)
+    @F.pandas_udf(RESULT)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        match = lru_cache(REMEMBERED)(_matcher(name, shared).match)
         for batch in batches:
-            found = [match(v) if isinstance(v, str) else None for v in batch[value]]
-            batch["ref_id"] = pd.array([f[0] if f else None for f in found], dtype="Int64")
-            batch["similarity"] = [f[1] if f else None for f in found]
-            batch["how"] = [f[2] if f else None for f in found]
-            yield batch
+            found = [match(v) if isinstance(v, str) else None for v in batch]
+            yield pd.DataFrame({
+                "ref_id": pd.array([f[0] if f else None for f in found], dtype="Int64"),
+                "similarity": pd.array([f[1] if f else None for f in found], dtype="Float64"),
+                "how": pd.array([f[2] if f else None for f in found], dtype="string"),
+            })
 
-    return rows.mapInPandas(run, f"{_ddl(rows.schema)}, ref_id bigint, similarity double, how string")
+    kept = [c for c in rows.columns if c not in RESULT.names]
+    return rows.select(*kept, run(F.col(value)).alias("_match")).select(*kept, "_match.*")
 
 
 _prepared: dict[str, Matcher] = {}
@@ -223,7 +227,3 @@ def _matcher(key: str, shared) -> Matcher:
         _prepared.clear()
         _prepared[key] = Matcher(*shared.value)
     return _prepared[key]
-
-
-def _ddl(schema) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)

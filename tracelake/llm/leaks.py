@@ -104,8 +104,9 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
 
     items: item_id, text. score is the alignment's score as a share of the greatest one
     the item can reach, run the longest run of equal words. Items are read to the driver
-    after their size is checked. Null and blank texts hold nothing. Repeated keys give
-    repeated rows only if their texts differ in result. No items or documents: no rows.
+    after their size is checked. Rows with null key or text,
+    and blank texts, hold nothing. Repeated keys give repeated rows only if their texts
+    differ in result. No items or documents: no rows.
     """
     listed = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     size = listed.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
@@ -120,7 +121,7 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
         look = number.value
         for batch in batches:
             keys, texts, found = [], [], []
-            for k, body in zip(batch[key], batch[text], strict=True):
+            for k, body in zip(batch["id"], batch["text"], strict=True):
                 tokens = words(body)
                 hits = {n for n in map(look.get, grams(tokens)) if n is not None}
                 if hits:
@@ -128,9 +129,10 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
                     texts.append(" ".join(tokens))
                     found.append(sorted(hits))
             if keys:
-                yield pd.DataFrame({key: keys, "words": texts, "grams": found})
+                yield pd.DataFrame({"id": keys, "words": texts, "grams": found})
 
-    with_grams = documents.where(F.col(text).isNotNull()).select(key, text).mapInPandas(find, f"`{key}` {kind}, words string, grams array<int>")
+    rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    with_grams = rows.mapInPandas(find, f"id {kind}, words string, grams array<int>")
     with_grams = cut(with_grams, "leaks")
     # as many rows as the items have n-grams
     counts = {r.g: r.n for r in with_grams.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -141,7 +143,7 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
         item_words, seed, places = shared.value
         for batch in batches:
             out: list[tuple] = []
-            for k, body in zip(batch[key], batch["words"], strict=True):
+            for k, body in zip(batch["id"], batch["words"], strict=True):
                 tokens = body.split(" ")
                 met: dict[int, list[tuple[int, int]]] = defaultdict(list)
                 for at, gram in enumerate(grams(tokens)):
@@ -161,7 +163,8 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
                         best, longest = max(best, a), max(longest, b)
                     out.append((k, item, best / (MATCH * len(wanted)), longest))
             if out:
-                yield pd.DataFrame(out, columns=[key, "item_id", "score", "run"])
+                yield pd.DataFrame(out, columns=["id", "item_id", "score", "run"])
 
     item_kind = dict(items.dtypes)["item_id"]
-    return with_grams.select(key, "words").mapInPandas(score, f"`{key}` {kind}, item_id {item_kind}, score double, run int").distinct()
+    scored = with_grams.select("id", "words").mapInPandas(score, f"id {kind}, item_id {item_kind}, score double, run int").distinct()
+    return scored.withColumnRenamed("id", key)

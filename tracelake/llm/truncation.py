@@ -65,16 +65,16 @@ def units(text: str) -> tuple[list[str], str | None, bool, bool]:
     return parts[:-1], parts[-1], not fenced and not parts[-1].endswith(_CLOSED), marked
 
 
-def _split(key: str):
+def _split():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
 
         def passed() -> pd.DataFrame:
-            return pd.DataFrame({key: pd.array([None] * len(held), dtype="Int64"), "unit": list(held), "n": list(held.values()), "marked": False})
+            return pd.DataFrame({"id": pd.array([None] * len(held), dtype="Int64"), "unit": list(held), "n": list(held.values()), "marked": False})
 
         for batch in batches:
             keys, last, marks = [], [], []
-            for k, body, counts in zip(batch[key], batch["text"], batch["counts"], strict=True):
+            for k, body, counts in zip(batch["id"], batch["text"], batch["counts"], strict=True):
                 before, end, open_, mark = units(body)
                 if counts:
                     held.update(before)
@@ -85,7 +85,7 @@ def _split(key: str):
                     last.append(end)
                     marks.append(mark)
             if keys:
-                yield pd.DataFrame({key: pd.array(keys, dtype="Int64"), "unit": last, "n": 0, "marked": marks})
+                yield pd.DataFrame({"id": pd.array(keys, dtype="Int64"), "unit": last, "n": 0, "marked": marks})
             if len(held) > HELD_UNITS:
                 yield passed()
                 held.clear()
@@ -164,21 +164,21 @@ def cut_texts(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     Null and blank texts, and null keys, are no cases. Copies of a text count as one
     witness. key must be a whole number.
     """
-    rows = rows.where(F.col(key).isNotNull() & F.col(text).rlike(r"\S")).select(F.col(key).cast("long").alias(key), F.col(text).alias("text"))
+    rows = rows.where(F.col(key).isNotNull() & F.col(text).rlike(r"\S")).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     digest = F.xxhash64("text")
-    first = rows.groupBy(digest.alias("digest")).agg(F.min(key).alias(key), F.lit(True).alias("counts"))
-    marked = rows.withColumn("digest", digest).join(first, ["digest", key], "left").select(key, "text", F.coalesce("counts", F.lit(False)).alias("counts"))
-    split = cut(marked.mapInPandas(_split(key), f"`{key}` bigint, unit string, n bigint, marked boolean"), "truncation-units")
-    counted = cut(split.groupBy("unit").agg(F.sum("n").alias("n_before"), F.count(key).alias("n_last")), "truncation-counts")
+    first = rows.groupBy(digest.alias("digest")).agg(F.min("id").alias("id"), F.lit(True).alias("counts"))
+    marked = rows.withColumn("digest", digest).join(first, ["digest", "id"], "left").select("id", "text", F.coalesce("counts", F.lit(False)).alias("counts"))
+    split = cut(marked.mapInPandas(_split(), "id bigint, unit string, n bigint, marked boolean"), "truncation-units")
+    counted = cut(split.groupBy("unit").agg(F.sum("n").alias("n_before"), F.count("id").alias("n_last")), "truncation-counts")
     verdicts = cut_units(counted, counted.where("n_last > 0").select("unit", (F.col("n_before") + F.col("n_last")).alias("own")))
-    last = split.where(F.col(key).isNotNull()).join(verdicts, "unit", "left")
+    last = split.where("id IS NOT NULL").join(verdicts, "unit", "left")
     # behind a mark, only what others show to be complete is no cut
-    return last.where("verdict = 'cut' OR (marked AND verdict IS NULL)").select(key).distinct()
+    return last.where("verdict = 'cut' OR (marked AND verdict IS NULL)").select(F.col("id").alias(key)).distinct()
 
 
 def cut_shares(rows: DataFrame, found: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
     """(source, n_texts, n_cut, cut_share) per source, compared trimmed and in lower case; null is a source of its own."""
-    named = rows.select(key, F.lower(F.trim(source)).alias("source")).join(found.select(key, F.lit(1).alias("hit")), key, "left")
+    named = rows.select(F.col(key).cast("long").alias("id"), F.lower(F.trim(source)).alias("source")).join(found.select(F.col(key).alias("id"), F.lit(1).alias("hit")), "id", "left")
     return named.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_texts"), F.count("hit").alias("n_cut"), (F.count("hit") / F.count(F.lit(1))).alias("cut_share")
     )
