@@ -60,13 +60,16 @@ class Items:
                 self.places[n].append((item, at))
 
     def seeds(self, counts: dict[int, int]) -> set[int]:
-        """Numbers of the rarest n-gram of each window of MIN_RUN words (of the whole item where it is shorter)."""
+        """Numbers of the rarest n-gram of each window of MIN_RUN words (of the whole item where it is shorter).
+
+        Those the corpus has come first; of a window that a document has whole, it has them all.
+        """
         out = set()
         for tokens in self.words.values():
             numbers = [self.number[g] for g in grams(tokens)]
             width = min(MIN_RUN - GRAM + 1, len(numbers))
             for i in range(len(numbers) - width + 1 if numbers else 0):
-                out.add(min(numbers[i : i + width], key=lambda n: (counts.get(n, 0), n)))
+                out.add(min(numbers[i : i + width], key=lambda n: (n not in counts, counts.get(n, 0), n)))
         return out
 
 

@@ -113,9 +113,13 @@ def _base(char: str) -> tuple[str, str]:
 
 def _one_script(match: re.Match) -> str:
     """The run in one script: the one with letters that have no look-alike, else that of most letters, else Latin."""
-    run = match.group()
-    if run.isascii():
-        return run
+    run, before = match.group(), ""
+    while run != before and not run.isascii():
+        run, before = _nearer_one_script(run), run
+    return run
+
+
+def _nearer_one_script(run: str) -> str:
     own = [script(c) for c in run]
     present = {s for s in own if s}
     if len(present) < 2:

@@ -5,8 +5,8 @@ to the documents as they are, in relative entropy, have the form exp(lambda_s *
 cut at the source's cap. The multipliers lambda_s solve the convex dual; each Newton step
 is one distributed sum over a histogram (source, tokens) -> documents, which is exact as
 documents of one size in one source have one rate. Rates become whole copies by systematic
-rounding along a random order, in blocks, so that the copies of a block add up to its
-rates within one.
+rounding along the order of sizes (random among equals), in blocks, so that copies add up
+to rates within one at every size, and tokens within the greatest size of a block.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def mix(sized_documents: DataFrame, targets: DataFrame, total: float | None = No
     blocks = rated.withColumn("draw", draw).withColumn(
         "block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc"), _per_source(sizes, F.col("source"), float(BLOCK)).cast("long"))
     )
-    by = Window.partitionBy("source", "block").orderBy("draw", "doc", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    by = Window.partitionBy("source", "block").orderBy("tokens", "draw", "doc").rowsBetween(Window.unboundedPreceding, 0)
     start = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "block"), F.lit(1_000_000)) / 1_000_000.0
     reached = F.sum("rate").over(by) + start
     before = reached - F.col("rate")
