@@ -58,5 +58,14 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many tasks as there are cores at least, for work that its bytes do not show.
+
+    Only a small input, of fewer splits than cores, is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
