@@ -76,11 +76,16 @@ def test_edited_copies_score(rows):
     assert (row.doc_id, row.item_id) == (1, 9) and row.score > 0.7 and row.run < 13
 
 
-def test_every_window_has_a_seed():
-    items = K.Items([(1, " ".join(random.Random(7).choices(WORDS, k=100)))])
-    seeds = items.seeds({n: n % 7 for n in range(200)})
+def test_every_window_that_can_occur_has_a_seed():
+    text = " ".join(random.Random(7).choices(WORDS[:60], k=100))
+    items = K.Items([(1, text), (2, text)])
+    width = K.MIN_RUN - K.GRAM + 1
+    counts = {n: n % 7 + 1 for n in range(200) if n % 11}
+    seeds = items.seeds(counts)
     numbers = [items.number[g] for g in K.grams(items.words[1])]
-    assert all(set(numbers[i : i + K.MIN_RUN - K.GRAM + 1]) & seeds for i in range(100 - K.MIN_RUN + 1))
+    windows = [set(numbers[i : i + width]) for i in range(len(numbers) - width + 1)]
+    assert all(w & seeds for w in windows if w <= counts.keys())
+    assert seeds <= counts.keys() and len(seeds) < len(counts) / 2
 
 
 def test_no_rows(rows):

@@ -2,8 +2,8 @@
 
 Both sides are words in consistent form without case. Of the word n-grams of the items,
 those that occur in the corpus are counted over all documents; in every window of
-MIN_RUN words of an item the rarest n-gram becomes a seed, so no run of that length can be
-without one. Documents with a seed are aligned to the seed's item by Smith-Waterman, in
+MIN_RUN words of an item that can occur the rarest n-gram becomes a seed, so no run of that
+length can be without one, and so do the n-grams that only one item has. Documents with a seed are aligned to the seed's item by Smith-Waterman, in
 the parts of the document an alignment through the seed can reach. The alignment scores
 edited and paraphrased copies; the longest run of equal words decides on verbatim ones.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.looks import consistent
-from tracelake.runtime import cut
+from tracelake.runtime import cut, spread
 
 #: Words of an n-gram.
 GRAM = 5
@@ -60,16 +60,20 @@ class Items:
                 self.places[n].append((item, at))
 
     def seeds(self, counts: dict[int, int]) -> set[int]:
-        """Numbers of the rarest n-gram of each window of MIN_RUN words (of the whole item where it is shorter).
+        """Numbers of the n-grams to join by, from the documents that have each (none: not in the corpus).
 
-        Those the corpus has come first; of a window that a document has whole, it has them all.
+        Of each window of MIN_RUN words (of the whole item where it is shorter) that the
+        corpus can have, the rarest: a document with the window has all its n-grams. To
+        find edited copies, every n-gram that the corpus has and no other item shares.
         """
-        out = set()
+        out = {n for n, places in self.places.items() if n in counts and len({item for item, _ in places}) == 1}
         for tokens in self.words.values():
             numbers = [self.number[g] for g in grams(tokens)]
             width = min(MIN_RUN - GRAM + 1, len(numbers))
             for i in range(len(numbers) - width + 1 if numbers else 0):
-                out.add(min(numbers[i : i + width], key=lambda n: (n not in counts, counts.get(n, 0), n)))
+                window = numbers[i : i + width]
+                if all(n in counts for n in window):
+                    out.add(min(window, key=lambda n: (counts[n], n)))
         return out
 
 
@@ -135,7 +139,7 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
                 yield pd.DataFrame({"id": keys, "words": texts, "grams": found})
 
     rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    with_grams = rows.mapInPandas(find, f"id {kind}, words string, grams array<int>")
+    with_grams = spread(rows).mapInPandas(find, f"id {kind}, words string, grams array<int>")
     with_grams = cut(with_grams, "leaks")
     # as many rows as the items have n-grams
     counts = {r.g: r.n for r in with_grams.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -169,5 +173,5 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
                 yield pd.DataFrame(out, columns=["id", "item_id", "score", "run"])
 
     item_kind = dict(items.dtypes)["item_id"]
-    scored = with_grams.select("id", "words").mapInPandas(score, f"id {kind}, item_id {item_kind}, score double, run int").distinct()
+    scored = spread(with_grams.select("id", "words")).mapInPandas(score, f"id {kind}, item_id {item_kind}, score double, run int").distinct()
     return scored.withColumnRenamed("id", key)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.runtime import cut
+from tracelake.runtime import cut, spread
 
 #: A tokenizer file of the `tokenizers` library; every function takes another path.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -55,7 +55,7 @@ def token_count(text: Column | str, path: str = TOKENIZER) -> Column:
 def sized(documents: DataFrame, key: str, source: str, text: str, path: str = TOKENIZER) -> DataFrame:
     """(doc, source, tokens): the source trimmed and in lower case, null as ''."""
     name = F.coalesce(F.lower(F.trim(source)), F.lit(""))
-    return documents.select(F.col(key).alias("doc"), name.alias("source"), token_count(text, path).alias("tokens"))
+    return spread(documents.select(key, source, text)).select(F.col(key).alias("doc"), name.alias("source"), token_count(text, path).alias("tokens"))
 
 
 def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
