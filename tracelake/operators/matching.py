@@ -3,7 +3,7 @@
 Many specs are matched at once. Keys of case terms are reduced to distinct ones first, so a
 term that nearly every case has is compared once per spec term. Spec terms are the small
 side: they are broadcast after their number is checked, and beyond that candidates come
-from an equi-join on the pieces that any two similar keys must share.
+from equi-joins on the rarest pieces that any two similar keys must share.
 """
 
 from __future__ import annotations
@@ -94,9 +94,24 @@ def case_keys(terms: DataFrame, key: Column, pos: str) -> DataFrame:
 
 
 def pieces(key: Column, tokens: Column) -> Column:
-    """What two keys share if they are similar at all: a token, the whole, or a pair of letters where one is in the other."""
+    """array<struct<kind, piece>>: the tokens of a key, its pairs of letters, and itself."""
+    tagged = lambda kind, values: F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("piece")))
     pairs = F.when(F.length(key) > 1, F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substring(key, i, F.lit(2))))
-    return F.array_distinct(F.concat(tokens, F.array(key), F.coalesce(pairs, F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    return F.concat(tagged("token", tokens), tagged("pair", F.array_distinct(F.coalesce(pairs, none))), tagged("whole", F.array(key)))
+
+
+def _rare_pieces(flat: DataFrame, counts: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    """(*on, key, kind, piece): of each key the pieces one of which a similar key that is no smaller must have.
+
+    A key inside another has its rarest pair there; keys of a lexical similarity share
+    threshold times the tokens of the smaller one, so one of its rarest tokens.
+    """
+    x = flat.join(counts, [*on, "kind", "piece"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    lists = x.groupBy(*on, "key", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("l"))
+    size = F.size("l")
+    keep = F.when(F.col("kind") == "token", size - F.ceil(size * threshold - 1e-9) + 1).otherwise(1).cast("int")
+    return lists.select(*on, "key", "kind", F.explode(F.slice("l", F.lit(1), keep)).alias("p")).select(*on, "key", "kind", "p.piece")
 
 
 def similar_keys(wanted: DataFrame, actual: DataFrame, on: list[str], threshold: float = MATCH, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -110,10 +125,13 @@ def similar_keys(wanted: DataFrame, actual: DataFrame, on: list[str], threshold:
     if left.limit(max_broadcast + 1).count() <= max_broadcast:
         pairs = right.join(F.broadcast(left), on)
     else:
-        a = left.withColumn("piece", F.explode(pieces(F.col("wanted_key"), F.col("wanted_tokens"))))
-        b = right.withColumn("piece", F.explode(pieces(F.col("key"), F.col("tokens"))))
-        met = a.join(b, [*on, "piece"]).select(*on, "wanted_key", "key").distinct()
-        pairs = met.join(left, [*on, "wanted_key"]).join(right, [*on, "key"])
+        flat = lambda df: df.select(*on, "key", F.explode(pieces(F.col("key"), F.col("tokens"))).alias("p")).select(*on, "key", "p.*")
+        w, a = flat(left.withColumnsRenamed({"wanted_key": "key", "wanted_tokens": "tokens"})), flat(right)
+        counts = a.groupBy(*on, "kind", "piece").agg(F.count(F.lit(1)).alias("n"))
+        by = [*on, "kind", "piece"]
+        met = _rare_pieces(w, counts, on, threshold).withColumnRenamed("key", "wanted_key").join(a, by).select(*on, "wanted_key", "key")
+        met = met.unionByName(w.withColumnRenamed("key", "wanted_key").join(_rare_pieces(a, counts, on, threshold), by).select(*on, "wanted_key", "key"))
+        pairs = met.distinct().join(left, [*on, "wanted_key"]).join(right, [*on, "key"])
     scored = pairs.withColumn("s", similarity(F.col("wanted_key"), F.col("key"), F.col("wanted_tokens"), F.col("tokens")))
     return scored.where(F.col("s.score") >= threshold).select(*on, "wanted_key", "key", F.col("s.score").alias("score"), F.col("s.match_type").alias("match_type"))
 

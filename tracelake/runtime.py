@@ -59,13 +59,20 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many tasks as there are cores at least, for work that its bytes do not show.
+    """df, a scan or a map over one, in as many tasks as there are cores at least, for work that its bytes do not show.
 
-    Only a small input, of fewer splits than cores, is moved.
+    Only a small input, of fewer splits than cores, is moved. Behind a shuffle, asking for
+    the number of splits would run it: there use tasks() in a repartition.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def tasks(df: DataFrame) -> int:
+    """Partitions for a shuffle before costly work: as set, but no fewer than cores, and not to be coalesced."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
