@@ -27,7 +27,7 @@ GRAM = 5
 #: Words in a row that make a verbatim copy.
 MIN_RUN = 13
 #: Words all items may have together; their n-grams are sent to all tasks.
-MAX_ITEM_WORDS = 5_000_000
+MAX_ITEM_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _WORD = re.compile(r"[^\W_]+")

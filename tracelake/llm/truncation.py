@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.runtime import cut, spread
+from tracelake.runtime import cut, tasks
 
 #: Lengths of prefixes in tokens, the longest first; only the first may begin at the start of a unit.
 LENGTHS = (16, 6, 4, 3, 2)
@@ -167,8 +167,9 @@ def cut_texts(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = rows.where(F.col(key).isNotNull() & F.col(text).rlike(r"\S")).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     digest = F.xxhash64("text")
     first = rows.groupBy(digest.alias("digest")).agg(F.min("id").alias("id"), F.lit(True).alias("counts"))
-    marked = rows.withColumn("digest", digest).join(first, ["digest", "id"], "left").select("id", "text", F.coalesce("counts", F.lit(False)).alias("counts"))
-    split = cut(spread(marked).mapInPandas(_split(), "id bigint, unit string, n bigint, marked boolean"), "truncation-units")
+    placed = rows.withColumn("digest", digest).repartition(tasks(rows), "digest", "id")
+    marked = placed.join(first, ["digest", "id"], "left").select("id", "text", F.coalesce("counts", F.lit(False)).alias("counts"))
+    split = cut(marked.mapInPandas(_split(), "id bigint, unit string, n bigint, marked boolean"), "truncation-units")
     counted = cut(split.groupBy("unit").agg(F.sum("n").alias("n_before"), F.count("id").alias("n_last")), "truncation-counts")
     verdicts = cut_units(counted, counted.where("n_last > 0").select("unit", (F.col("n_before") + F.col("n_last")).alias("own")))
     last = split.where("id IS NOT NULL").join(verdicts, "unit", "left")
