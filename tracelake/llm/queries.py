@@ -142,7 +142,14 @@ def p9_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p7_found": p7_found, "p7_copies": p7_copies, "p9_found": p9_found, "p9_sources": p9_sources, "p6_found": p6_found, "p6_coverage": p6_coverage, "p4_found": p4_found, "p4_pairs": p4_pairs, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found}
 
+_ODD = (
+    r"[\x{ff01}-\x{ff5e}]|[\x{fb00}-\x{fb06}]|[\x{200b}-\x{200f}\x{2060}\x{feff}\x{ad}]|[\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]|[\x{300}-\x{36f}]"
+    r"|\p{Latin}[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}]\p{Latin}|\p{Cyrillic}\p{Greek}|\p{Greek}\p{Cyrillic}"
+)
+
 SQL = {
+    "p2_found": f"""SELECT DISTINCT 'case_terms.term' AS field_name, term_id AS record_id FROM case_terms WHERE regexp_matches(term, '{_ODD}')
+      UNION ALL SELECT DISTINCT 'scenarios.name', scenario_id FROM scenarios WHERE regexp_matches(name, '{_ODD}')""",
     "p4_found": f"WITH {_P4_BASKETS} SELECT service_a, service_b FROM rated WHERE c >= 5 AND lift >= 3.7::DOUBLE",
     "p4_pairs": f"""WITH {_P4_BASKETS} SELECT service_a, service_b, c, round(lift, 6) AS lift,
       round(CASE WHEN lift < 1 THEN -{_LLR} ELSE {_LLR} END, 4) AS llr FROM rated""",
