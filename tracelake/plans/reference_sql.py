@@ -77,9 +77,9 @@ _MATCH = f"""
 spec AS (SELECT *, lower(display) AS wanted_key, {_tokens('lower(display)')} AS wt FROM (VALUES {_SPEC_ROWS}) v(spec_id, field, pos, display)),
 types AS (SELECT * FROM (VALUES {_TYPE_ROWS}) v(field, term_type, weight)),
 keys AS (
-  SELECT case_id, field, trim(normalized) AS key, term_id AS actual_pos, trim(term) AS actual
-  FROM case_terms JOIN types USING (term_type) WHERE trim(normalized) <> ''
-  QUALIFY row_number() OVER (PARTITION BY case_id, field, trim(normalized) ORDER BY term_id, trim(term)) = 1),
+  SELECT case_id, field, trim(normalized, ' ') AS key, term_id AS actual_pos, trim(term, ' ') AS actual
+  FROM case_terms JOIN types USING (term_type) WHERE trim(normalized, ' ') <> ''
+  QUALIFY row_number() OVER (PARTITION BY case_id, field, trim(normalized, ' ') ORDER BY term_id, trim(term, ' ')) = 1),
 dim AS (SELECT *, {_tokens('key')} AS kt FROM (SELECT DISTINCT field, key FROM keys)),
 pairs AS (
   SELECT s.spec_id, s.field, s.pos, s.display AS wanted, wanted_key, key, {_similar('wanted_key', 'key', 'wt', 'kt')} AS score
@@ -98,7 +98,7 @@ _RANK = "CASE {0} WHEN 'conflict' THEN 0 WHEN 'trusted' THEN 1 WHEN 'candidate'
 _TIER = "(['conflict', 'trusted', 'candidate', 'rejected'])[min({0}) + 1]".format(_RANK.format("knowledge_tier"))
 
 
-_LOW = "lower(trim({0}))".format
+_LOW = "lower(trim({0}, ' '))".format
 _CHANGES = "chg AS (SELECT DISTINCT * FROM service_changes)"
 _SCENES = f"scenes AS (SELECT DISTINCT d.spec_id, {_LOW('s.name')} AS scenario_key, s.* FROM scenarios s JOIN direct d USING (case_id) WHERE s.name IS NOT NULL)"
 _TOUCHED = f"touched AS (SELECT DISTINCT d.spec_id, {_LOW('s.service')} AS service_key, s.* FROM chg s JOIN direct d USING (case_id) WHERE s.service IS NOT NULL)"
@@ -266,7 +266,7 @@ SELECT 'status:' || coalesce(validation_status, 'none') AS metric, count(*) AS v
 UNION ALL SELECT 'tier:' || coalesce(knowledge_tier, 'none'), count(*) FROM c GROUP BY 1
 UNION ALL SELECT 'cases', count(*) FROM c
 UNION ALL SELECT 'scenarios', count(*) FROM (SELECT DISTINCT * FROM scenarios) WHERE case_id IN (SELECT case_id FROM live)
-UNION ALL SELECT 'services', count(DISTINCT trim(service)) FROM service_changes WHERE case_id IN (SELECT case_id FROM live)
+UNION ALL SELECT 'services', count(DISTINCT trim(service, ' ')) FROM service_changes WHERE case_id IN (SELECT case_id FROM live)
 UNION ALL SELECT 'conflicts', 0
 UNION ALL SELECT 'review_queue', count(*) FROM c WHERE knowledge_tier IN ('candidate', 'conflict')""",
     "r_review_queue": "SELECT case_id, title, validation_status, confidence FROM (SELECT DISTINCT * FROM cases) WHERE knowledge_tier IN ('candidate', 'conflict')",
