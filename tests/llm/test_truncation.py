@@ -26,6 +26,15 @@ def test_cases(rows):
     assert got(found) == [(100 + i,) for i in range(len(CUT))]
 
 
+@pytest.mark.parametrize("copies", [3, 1000])
+@pytest.mark.parametrize("marks", [("",), (" [cut]",), ("…",), ("", "…", " [cut]", "  ")])
+def test_copies_of_a_cut_text_are_no_witnesses(rows, copies, marks):
+    data = [(i, t) for i, t in enumerate(WHOLE)]
+    cuts = [(1000 + i, "Fine. Older clients still send the invo" + marks[i % len(marks)]) for i in range(copies)]
+    cuts += [(5000 + i, "Call log 5 was marked as truncated, so its" + marks[i % len(marks)]) for i in range(copies)]
+    assert got(K.cut_texts(rows(data + cuts, "doc_id long, text string"))) == [(i,) for i, _ in cuts]
+
+
 @pytest.mark.parametrize(
     "text, last, open_, marked",
     [

@@ -16,6 +16,7 @@ before they are joined.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -56,7 +57,10 @@ def tokens(unit: str) -> str:
 
 def units(text: str) -> tuple[list[str], str | None, bool, bool]:
     """(units before the last, the last one, whether it is in question, whether a mark of a cut was behind it)."""
-    body = MARKS.sub("", text)
+    return _body_units(text, MARKS.sub("", text))
+
+
+def _body_units(text: str, body: str) -> tuple[list[str], str | None, bool, bool]:
     marked = bool(text[len(body) :].strip())
     parts = [p for p in map(tokens, _UNITS.split(body)) if p]
     if not parts:
@@ -70,12 +74,13 @@ def _split():
         held: Counter = Counter()
 
         def passed() -> pd.DataFrame:
-            return pd.DataFrame({"id": pd.array([None] * len(held), dtype="Int64"), "unit": list(held), "n": list(held.values()), "marked": False})
+            return pd.DataFrame({"id": pd.array([None] * len(held), dtype="Int64"), "unit": list(held), "n": list(held.values()), "marked": False, "body": pd.array([None] * len(held), dtype="Int64")})
 
         for batch in batches:
-            keys, last, marks = [], [], []
-            for k, body, counts in zip(batch["id"], batch["text"], batch["counts"], strict=True):
-                before, end, open_, mark = units(body)
+            keys, last, marks, bodies = [], [], [], []
+            for k, text, counts in zip(batch["id"], batch["text"], batch["counts"], strict=True):
+                body = MARKS.sub("", text)
+                before, end, open_, mark = _body_units(text, body)
                 if counts:
                     held.update(before)
                     if end and not open_:
@@ -84,8 +89,9 @@ def _split():
                     keys.append(k)
                     last.append(end)
                     marks.append(mark)
+                    bodies.append(int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True))
             if keys:
-                yield pd.DataFrame({"id": pd.array(keys, dtype="Int64"), "unit": last, "n": 0, "marked": marks})
+                yield pd.DataFrame({"id": pd.array(keys, dtype="Int64"), "unit": last, "n": 0, "marked": marks, "body": pd.array(bodies, dtype="Int64")})
             if len(held) > HELD_UNITS:
                 yield passed()
                 held.clear()
@@ -122,8 +128,8 @@ def _contexts(unit_rows: DataFrame) -> DataFrame:
 def cut_units(counted: DataFrame, questions: DataFrame) -> DataFrame:
     """(unit, verdict): cut or complete, for the units of questions (unit, own) that other units tell something about.
 
-    counted: unit, n_before (times it is followed or closed) and n_last (texts it ends
-    unclosed). One of the texts that end with the unit is not a witness: it is the one in
+    counted: unit, n_before (times it is followed or closed) and n_last (distinct texts it
+    ends unclosed). One of the texts that end with the unit is not a witness: it is the one in
     question. own is how often the unit is found in all.
     """
     asked = _contexts(questions).where("next = 'stop'").select("unit", "own", "k", "ctx", F.col("token").alias("piece"))
@@ -162,15 +168,15 @@ def cut_texts(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """(key) of the rows whose text was cut, each key once.
 
     Null and blank texts, and null keys, are no cases. Copies of a text count as one
-    witness. key must be a whole number.
+    witness, whatever mark of a cut is behind each. key must be a whole number.
     """
     rows = rows.where(F.col(key).isNotNull() & F.col(text).rlike(r"\S")).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     digest = F.xxhash64("text")
     first = rows.groupBy(digest.alias("digest")).agg(F.min("id").alias("id"), F.lit(True).alias("counts"))
     placed = rows.withColumn("digest", digest).repartition(tasks(rows), "digest", "id")
     marked = placed.join(first, ["digest", "id"], "left").select("id", "text", F.coalesce("counts", F.lit(False)).alias("counts"))
-    split = cut(marked.mapInPandas(_split(), "id bigint, unit string, n bigint, marked boolean"), "truncation-units")
-    counted = cut(split.groupBy("unit").agg(F.sum("n").alias("n_before"), F.count("id").alias("n_last")), "truncation-counts")
+    split = cut(marked.mapInPandas(_split(), "id bigint, unit string, n bigint, marked boolean, body bigint"), "truncation-units")
+    counted = cut(split.groupBy("unit").agg(F.sum("n").alias("n_before"), F.count_distinct("body").alias("n_last")), "truncation-counts")
     verdicts = cut_units(counted, counted.where("n_last > 0").select("unit", (F.col("n_before") + F.col("n_last")).alias("own")))
     last = split.where("id IS NOT NULL").join(verdicts, "unit", "left")
     # behind a mark, only what others show to be complete is no cut
