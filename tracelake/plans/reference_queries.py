@@ -381,7 +381,7 @@ def r_replay_differences(spark, d):
 def r_replay_evidence(spark, d):
     """JN17: evidence of scenarios that were predicted."""
     rows = table(spark, d, "scenarios").where("name IS NOT NULL").select(F.lower("name").alias("scenario"), "case_id", "knowledge_tier").join(_cases(spark, d).select("case_id", F.coalesce("domain", F.lit("none")).alias("replay_id")), "case_id")
-    return replay.evidence_counts(rows.where("knowledge_tier = 'trusted'").drop("knowledge_tier"), rows.where("knowledge_tier <> 'rejected' AND length(case_id) > 0 AND substr(case_id, -1) IN ('1', '3', '5', '7')").drop("knowledge_tier"))
+    return replay.evidence_counts(rows.where("knowledge_tier = 'trusted'").drop("knowledge_tier"), rows.where("knowledge_tier <> 'rejected'").drop("knowledge_tier"))
 
 
 def r_rule_errors(spark, d):
