@@ -332,14 +332,14 @@ def r_code_walk(spark, d):
 def r_code_paths(spark, d):
     """GR4: every edge walked, with its depth."""
     edges, entities, _ = _code(spark, d)
-    _, paths = graph.code_walk(edges, entities, _seeds(spark, d), 1)
+    _, paths = graph.code_walk(edges, entities, _seeds(spark, d), 2)
     return paths.select("spec_id", "depth", "source_id", "target_id")
 
 
 def r_code_services(spark, d):
     """AG13: impacted services."""
     edges, entities, _ = _code(spark, d)
-    impacts, _ = graph.code_walk(edges, entities, _seeds(spark, d), 1)
+    impacts, _ = graph.code_walk(edges, entities, _seeds(spark, d), 2)
     return graph.code_services(impacts, entities, key=_low)
 
 
