@@ -17,8 +17,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
-    """Every term in its consistent form."""
-    return table(spark, folder, "case_terms").select("term_id", looks.consistent_form("term").alias("term_form"))
+    """Every term and scenario name in its consistent form, repeated rows once."""
+    texts = table(spark, folder, "case_terms").select(F.lit("case_terms.term").alias("field_name"), F.col("term_id").alias("record_id"), F.col("term").alias("text"))
+    names = table(spark, folder, "scenarios").select(F.lit("scenarios.name").alias("field_name"), F.col("scenario_id").alias("record_id"), F.col("name").alias("text"))
+    return texts.unionByName(names).distinct().select("field_name", "record_id", looks.consistent_form("text").alias("form"))
 
 
 def _case_sets(spark: SparkSession, folder: str) -> DataFrame:
