@@ -24,6 +24,22 @@ def test_values(value, name):
     assert (found[0] if found else None) == name
 
 
+UMLAUTS = K.Matcher([(1, "Lieferschein Prüfstück"), (2, "überfällige Rückläufer"), (3, "ueberpruefte maengel"), (4, "grösse")])
+
+
+@pytest.mark.parametrize(
+    "value, ref",
+    [
+        ("lieferschein pruefstueck", 1), ("Pruefstueck-Lieferschein", 1), ("lieferscheinpruefstueck", 1), ("lieferscheinpruefsteuck", 1), ("lieferschein pruefsteuck", 1), ("lieferschein pruefstuecks", 1),
+        ("lieferschein prüfstueck", 1), ("lieferschein pru\u0308fstu\u0308ck", 1), ("ueberfaellige ruecklaeufer", 2), ("überprüfte mängel", 3), ("uberfallige rucklaufer", 2), ("groesse", 4),
+        ("lieferschein", None), ("pruefstueck", None), ("lieferschein pruefstuecke neu", None), ("lieferschein prooofstuck", None),
+    ],
+)
+def test_umlauts_written_out(value, ref):
+    found = UMLAUTS.match(value)
+    assert (found[0] if found else None) == ref
+
+
 def test_mentions_are_the_longest_that_do_not_overlap():
     found = MATCHER.mentions("xcustomerorderwithdrawals")
     assert [(m[2], m[3]) for m in found] == [(None, 0), ("withdrawal", None)]

@@ -1,7 +1,8 @@
 """Free-entered values mapped to the entries of a reference list.
 
 The reference list is a checked, small table; it goes to every task, the values stay where
-they are. A value is folded (consistent characters, no letter case, no accents), then
+they are. A value is folded (consistent characters, no letter case, no accents; umlauts
+may be written ae, oe and ue on either side), then
 
 1. a multi-pattern automaton over the names and their aliases, and over the words of the
    names with their plural forms, finds the mentions in the value written without blanks;
@@ -39,6 +40,7 @@ MAX_ENTRIES = 200_000
 REMEMBERED = 1 << 17
 RESULT = T.StructType([T.StructField("ref_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("how", T.StringType())])
 _WORDS = re.compile(r"[^\W_]+")
+_UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue"})
 
 
 def fold(text: str) -> str:
@@ -49,6 +51,11 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
 
+def spelled(text: str) -> str:
+    """text folded with its umlauts written ae, oe and ue; fold() writes ß as ss."""
+    return fold(unicodedata.normalize("NFC", consistent(text).casefold()).translate(_UMLAUTS))
+
+
 def words(folded: str) -> list[str]:
     return _WORDS.findall(folded)
 
@@ -97,14 +104,27 @@ class Matcher:
         self.by_words: dict[tuple[str, ...], int] = {}
         self.near_whole: dict[str, set[str]] = defaultdict(set)
         self.forms: dict[str, str] = {}
+        spellings: dict[str, set[str]] = defaultdict(set)
+        names: list[tuple[str, int]] = []
         for ref, name in sorted(entries) + sorted(aliases):
             parts = words(fold(name))
             if parts:
                 self.whole.setdefault("".join(parts), ref)
                 self.by_words.setdefault(tuple(sorted(parts)), ref)
+                other = words(spelled(name))
+                if other != parts:
+                    names.append(("".join(other), ref))
+                    for word, spelling in zip(parts, other, strict=True):
+                        if spelling != word:
+                            spellings[word].add(spelling)
+        for name, ref in names:
+            self.whole.setdefault(name, ref)
         vocabulary = {w for key in self.by_words for w in key}
+        for word, forms in sorted(spellings.items()):
+            for form in sorted(forms - vocabulary):
+                self.forms.setdefault(form, word)
         for word in sorted(vocabulary):
-            for form in plurals(word):
+            for form in [p for w in [word, *sorted(spellings.get(word, ()))] for p in plurals(w)]:
                 if form not in vocabulary:
                     self.forms.setdefault(form, word)
         self.forms |= {w: w for w in vocabulary}
@@ -112,9 +132,10 @@ class Matcher:
         for form in self.forms:
             for key in shorter(form) | {form}:
                 self.near_forms[key].add(form)
-        self.by_initial: dict[str, list[str]] = defaultdict(list)
+        self.by_initial: dict[str, list[tuple[str, str]]] = defaultdict(list)
         for word in vocabulary:
-            self.by_initial[word[0]].append(word)
+            for form in {word} | spellings.get(word, set()):
+                self.by_initial[form[0]].append((form, word))
         for name in self.whole:
             for key in shorter(name) | {name}:
                 self.near_whole[key].add(name)
@@ -148,14 +169,21 @@ class Matcher:
                 if one_slip(word, form):
                     base = self.forms[form]
                     out[base] = max(out.get(base, 0.0), 1 - 1 / max(len(word), len(form)) if word != form else 0.95)
-        for base in self.by_initial.get(word[:1], ()):
-            if abbreviates(word, base):
-                out[base] = max(out.get(base, 0.0), 0.5 + 0.3 * len(word) / len(base))
+        for form, base in self.by_initial.get(word[:1], ()):
+            if abbreviates(word, form):
+                out[base] = max(out.get(base, 0.0), 0.5 + 0.3 * len(word) / len(form))
         return sorted(((s, w) for w, s in out.items()), reverse=True)
 
     def match(self, value: str) -> tuple[int, float, str] | None:
         """(ref_id, similarity, how) of the entry that value names, or None."""
         parts = words(fold(value))
+        found = self._match(parts)
+        if found is not None or value.isascii():
+            return found
+        other = words(spelled(value))
+        return self._match(other) if other != parts else None
+
+    def _match(self, parts: list[str]) -> tuple[int, float, str] | None:
         if not parts:
             return None
         run = "".join(parts)
