@@ -93,3 +93,10 @@ def test_no_rows(rows):
     some = rows([(1, "a b c d e f g")], "doc_id long, text string")
     assert K.leaked(docs, items).count() == 0 and K.leaked(some, items).count() == 0
     assert K.leaked(docs, rows([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_every_text_of_an_item_is_searched(rows):
+    one, two = (" ".join(f"{p}{i}" for i in range(20)) for p in ("left", "right"))
+    items = rows([(1, one), (1, two), (1, None)], "item_id long, text string")
+    docs = rows([(10, one), (11, two), (12, one + " " + two), (13, "none of these words")], "doc_id long, text string")
+    assert got(K.leaked(docs, items), "doc_id", "item_id", "score", "run") == [(d, 1, 1.0, 20) for d in (10, 11, 12)]

@@ -48,16 +48,17 @@ def grams(tokens: list[str]) -> list[str]:
 
 
 class Items:
-    """The items' words and the numbers of their n-grams."""
+    """The words of the items' texts, by row, as an item may have several texts, and the numbers of their n-grams."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.words = {item: words(text) for item, text in rows}
+        self.item = [item for item, _ in rows]
+        self.words = {row: words(text) for row, (_, text) in enumerate(rows)}
         self.number: dict[str, int] = {}
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, tokens in sorted(self.words.items()):
+        for row, tokens in self.words.items():
             for at, gram in enumerate(grams(tokens)):
                 n = self.number.setdefault(gram, len(self.number))
-                self.places[n].append((item, at))
+                self.places[n].append((row, at))
 
     def seeds(self, counts: dict[int, int]) -> set[int]:
         """Numbers of the n-grams to join by, from the documents that have each (none: not in the corpus).
@@ -66,7 +67,7 @@ class Items:
         corpus can have, the rarest: a document with the window has all its n-grams. To
         find edited copies, every n-gram that the corpus has and no other item shares.
         """
-        out = {n for n, places in self.places.items() if n in counts and len({item for item, _ in places}) == 1}
+        out = {n for n, places in self.places.items() if n in counts and len({self.item[row] for row, _ in places}) == 1}
         for tokens in self.words.values():
             numbers = [self.number[g] for g in grams(tokens)]
             width = min(MIN_RUN - GRAM + 1, len(numbers))
@@ -109,7 +110,8 @@ def _reach(places: list[tuple[int, int]], item_length: int, document_length: int
 def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item_id, score, run) of the document and item pairs that share a seed.
 
-    items: item_id, text. score is the alignment's score as a share of the greatest one
+    items: item_id, text; an item with several texts is found by any of them, with the
+    greatest score and run. score is the alignment's score as a share of the greatest one
     the item can reach, run the longest run of equal words. Items are read to the driver
     after their size is checked. Rows with null key or text,
     and blank texts, hold nothing. Repeated keys give repeated rows only if their texts
@@ -120,7 +122,7 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     if size > MAX_ITEM_WORDS:
         raise ValueError(f"the items have more than {MAX_ITEM_WORDS} words")
     spark = documents.sparkSession
-    known = Items([(r.item_id, r.text) for r in listed.distinct().collect()])
+    known = Items(sorted((r.item_id, r.text) for r in listed.distinct().collect()))
     number = spark.sparkContext.broadcast(known.number)
     kind = dict(documents.dtypes)[key]
 
@@ -144,10 +146,10 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     # as many rows as the items have n-grams
     counts = {r.g: r.n for r in with_grams.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     seeds = known.seeds(counts)
-    shared = spark.sparkContext.broadcast((known.words, {g: n for g, n in known.number.items() if n in seeds}, {n: known.places[n] for n in seeds}))
+    shared = spark.sparkContext.broadcast((known.item, known.words, {g: n for g, n in known.number.items() if n in seeds}, {n: known.places[n] for n in seeds}))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        item_words, seed, places = shared.value
+        item_of, row_words, seed, places = shared.value
         for batch in batches:
             out: list[tuple] = []
             for k, body in zip(batch["id"], batch["words"], strict=True):
@@ -156,19 +158,22 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
                 for at, gram in enumerate(grams(tokens)):
                     n = seed.get(gram)
                     if n is not None:
-                        for item, where in places[n]:
-                            met[item].append((at, where))
+                        for row, where in places[n]:
+                            met[row].append((at, where))
                 if not met:
                     continue
                 ids: dict[str, int] = {}
                 numbers = np.fromiter((ids.setdefault(w, len(ids)) for w in tokens), dtype=np.int64, count=len(tokens))
-                for item, pairs in met.items():
-                    wanted = np.array([ids.get(w, -1) for w in item_words[item]], dtype=np.int64)
+                of_item: dict = {}
+                for row, pairs in met.items():
+                    wanted = np.array([ids.get(w, -1) for w in row_words[row]], dtype=np.int64)
                     best = longest = 0
                     for low, high in _reach(pairs, len(wanted), len(tokens)):
                         a, b = align(numbers[low:high], wanted)
                         best, longest = max(best, a), max(longest, b)
-                    out.append((k, item, best / (MATCH * len(wanted)), longest))
+                    share, run = of_item.get(item_of[row], (0.0, 0))
+                    of_item[item_of[row]] = max(share, best / (MATCH * len(wanted))), max(run, longest)
+                out.extend((k, item, share, run) for item, (share, run) in of_item.items())
             if out:
                 yield pd.DataFrame(out, columns=["id", "item_id", "score", "run"])
 
