@@ -54,14 +54,84 @@ def test_replay_of_nothing(spark, rows):
     assert got(I.replay(spark, rows(arrivals(1, 20), ARRIVALS), [], byte_wise, scratch(spark, "t"))) == []
 
 
-def test_descends_only_where_trees_differ(spark, rows):
+def tree_of(df, levels, saved=None):
+    """The tree over df beside the saved one, both as (level, node, h1, h2, n, segment)."""
+    leaves = I.leaf_digests(df.withColumn("key_hash", I.key_hash()), levels)
+    old = saved.where(F.col("level") == levels) if saved is not None else None
+    return I.tree_above(I._beside(leaves, old, "full" if saved is not None else "left"), levels, saved).withColumn("segment", F.lit(1))
+
+
+def test_descends_only_where_trees_differ(rows):
     data = [("d", f"k{i}", b"x", "") for i in range(500)]
-    old = rows(data, RECORDS).withColumn("key_hash", I.key_hash())
-    new = rows([*data[:-1], ("d", "k499", b"y", "")], RECORDS).withColumn("key_hash", I.key_hash())
-    leaves = I.changed_leaves(I.build_tree(new, 3), I.build_tree(old, 3), 3)
-    assert leaves.count() == 1
-    assert leaves.first().node == new.where("key = 'k499'").select(I.node_at(3)).first()[0]
-    assert I.changed_leaves(I.build_tree(old, 3), I.build_tree(old.orderBy(F.rand()), 3), 3).count() == 0
+    old = tree_of(rows(data, RECORDS), 3)
+    new = rows([*data[:-1], ("d", "k499", b"y", "")], RECORDS)
+    leaves = I.changed_leaves(tree_of(new, 3, old), 3).collect()
+    assert len(leaves) == 1
+    assert leaves[0].node == new.withColumn("key_hash", I.key_hash()).where("key = 'k499'").select(I.node_at(3)).first()[0]
+    assert I.changed_leaves(tree_of(rows(data, RECORDS).orderBy(F.rand()), 3, old), 3).count() == 0
+
+
+def test_updating_gives_the_tree_built_anew(rows):
+    """A tree brought up to date from touched leaves only is the tree built over all records."""
+    data = [("d", f"k{i}", b"x", "") for i in range(300)]
+    old = tree_of(rows(data, RECORDS), 2)
+    changed = data[5:] + [("d", "new", None, "")]
+    columns = ["level", "node", "h1", "h2", "n"]
+    anew, updated = tree_of(rows(changed, RECORDS), 2), tree_of(rows(changed, RECORDS), 2, old)
+    assert got(updated.where("n > 0"), *columns) == got(anew, *columns)
+    assert got(old.where("level = 0"), "n") == [(300,)]
+
+
+def test_rows_come_through_the_tree(spark, rows, monkeypatch):
+    """Records are found in the leaves that the comparison reaches, and nowhere else."""
+    data = arrivals(3)
+    starts = [T0 + timedelta(hours=h) for h in (0, 90, 200)]
+    whole = I.changed_leaves
+    monkeypatch.setattr(I, "changed_leaves", lambda tree, levels: whole(tree, levels).where("node % 2 = 0"))
+    half = got(I.replay(spark, rows(data, ARRIVALS), starts, byte_wise, scratch(spark, "t"), 4))
+    assert set(half) < set(brute(data, starts)) and half
+    monkeypatch.setattr(I, "changed_leaves", lambda tree, levels: whole(tree, levels).limit(0))
+    assert got(I.replay(spark, rows(data, ARRIVALS), starts, byte_wise, scratch(spark, "t"), 4)) == []
+
+
+def test_late_rows_and_growth(spark, rows, monkeypatch):
+    """Rows of an older version do not undo a newer one, whatever segments are merged and however the tree grows."""
+    monkeypatch.setattr(I, "MAX_SEGMENTS", 2)
+    folder = scratch(spark, "late")
+    row = lambda k, v, h, c: ("d", k, v, T0 + timedelta(hours=h), c, "")
+    run = lambda no, data: got(I.run_arrivals(spark, rows(data, ARRIVALS), folder, no, leaf_records=1), "key", "is_new")
+    assert run(1, [row("a", 1, 0, b"1"), row("b", 1, 0, b"1")]) == [("a", True), ("b", True)]
+    assert run(2, [row("a", 3, 5, b"3"), row("b", 2, 5, b"1")]) == [("a", False)]
+    assert run(3, [row("a", 2, 9, b"2"), row("b", 1, 9, b"9")]) == []
+    assert len(run(4, [row(f"n{i}", 1, 10, b"1") for i in range(700)])) == 700
+    assert run(5, [row("n5", 1, 10, b"1"), row("a", 3, 11, b"4")]) == [("a", False)]
+    assert run(6, []) == []
+    about = I.Store(spark, folder).current()
+    assert about["records"] == 702 and len(about["segments"]) <= 3 and about["levels"] > 1
+
+
+def test_what_a_run_writes_is_in_proportion_to_the_change(spark, rows):
+    folder = scratch(spark, "small")
+    data = [("d", f"k{i}", b"1", "") for i in range(3000)]
+    I.run_once(spark, rows(data, RECORDS), folder, 1)
+    I.run_once(spark, rows([*data[1:], ("d", "k0", b"2", "")], RECORDS), folder, 2)
+    store = I.Store(spark, folder)
+    version = store.current()["version"]
+    assert 0 < store.read(version, "state").count() < 100 and store.read(version, "tree").count() <= 4
+    # records that are gone leave the state, and are new when they come back
+    I.run_once(spark, rows(data[10:], RECORDS), folder, 3)
+    assert I.run_once(spark, rows(data[5:], RECORDS), folder, 4).where("is_new").count() == 5
+
+
+def test_old_versions_are_removed(spark, rows, monkeypatch):
+    monkeypatch.setattr(I, "MAX_SEGMENTS", 2)
+    folder = scratch(spark, "clean")
+    for no in range(6):
+        I.run_once(spark, rows([("d", "k", str(no).encode(), "")], RECORDS), folder, no)
+    store = I.Store(spark, folder)
+    kept = [p for _, about in store.commits() for p in about["segments"] if store._fs.exists(store._path(f"{folder}/versions/{p[1]}/{p[2]}"))]
+    assert len({tuple(p) for p in kept}) <= 4
+    assert [r.key for r in store.read(store.commits()[0][1]["version"], "output").collect()] == ["k"]
 
 
 def test_runs_survive_failures(spark, rows):
@@ -101,7 +171,7 @@ def test_one_commit_number_has_one_writer(spark):
     store = I.Store(spark, scratch(spark, "s"))
     store.publish(store.stage(), {"run_id": 1})
     other = I.Store(spark, store.folder)
-    other.commits = lambda: []
+    other._files = lambda: []
     with pytest.raises(RuntimeError):
         other.publish(other.stage(), {"run_id": 2})
 

@@ -2,33 +2,51 @@
 
 A record is (kind, key, content). Its key hash places it in a leaf, the range of hashes
 that share the first 4 * levels bits, so leaves are even whatever the keys are. A leaf's
-digest covers its records, an inner node's digest its children. Two trees are compared
-from the root down; only children of nodes that differ are looked at, and only records
-of leaves that differ are compared one by one.
-
-Output and tree are published together: both are written to a new version folder, and
-renaming one small commit file into place makes them current. A run that fails before
-that leaves the previous version current, so the next run finds the same changes again;
-a run that was published is not done a second time.
+digest covers its records, an inner node's digest its children.
+
+A run hashes the leaves it has new records for and carries their digests up to the root,
+beside the digests that were saved. From the root down, only children of nodes that
+differ are looked at; records are read from the saved state, and compared one by one, only
+in the leaves that are reached.
+
+State and tree are kept as segments: a run adds the leaves it has touched, whole, and the
+nodes above them; a leaf's node says which segment holds its records. What a run writes is
+in proportion to what it touches. After MAX_SEGMENTS runs the segments are merged.
+
+Output, state and tree are published together: they are written to a new version folder
+and a small commit file with the next number, which only one writer can create, makes them
+current. A run that fails before that leaves the previous version current, so the next run
+finds the same changes again; a run that was published is not done a second time.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import os
+import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tracelake.runtime import cut
+
 FAN_BITS = 4
 #: Records a leaf should hold on average.
 LEAF_RECORDS = 16
 MAX_LEVELS = 12
-#: Columns of a saved tree.
-TREE = "level int, node bigint, h1 bigint, h2 bigint, n bigint"
+#: Segments of state and tree before they are merged into one.
+MAX_SEGMENTS = 8
+#: Age from which a version folder that no commit names is taken for the rest of a failed run.
+ORPHAN_HOURS = 24
+#: A saved node: its digests and the records below it, the same before the run, and the segments of a leaf's records now and before.
+NODE = "level int, node bigint, h1 bigint, h2 bigint, n bigint, o1 bigint, o2 bigint, o_n bigint, o_segment int, segment int"
+_NODE = [c.split()[0] for c in NODE.split(", ")]
 
 
 def levels_for(records: int, leaf_records: int = LEAF_RECORDS) -> int:
@@ -44,145 +62,84 @@ def node_at(level: int, hash_col: str = "key_hash") -> Column:
     return F.shiftrightunsigned(F.col(hash_col), 64 - FAN_BITS * level) if level else F.lit(0).cast("long")
 
 
-def build_tree(records: DataFrame, levels: int, tree: list[str] | None = None) -> DataFrame:
-    """(*tree, level, node, h1, h2, n): the nodes of the tree over records (kind, key, content, key_hash).
+def leaf_digests(records: DataFrame, levels: int) -> DataFrame:
+    """(node, h1, h2, n) of the leaves that have records (kind, key, content, key_hash).
 
-    tree names columns that keep several trees apart. A digest is two 64-bit sums without
-    carry over differently seeded record hashes, with the record count; it does not depend
-    on order. Nodes without records do not exist, so no records give an empty tree.
+    A digest is two 64-bit sums without carry over differently seeded record hashes, with
+    the record count; it does not depend on order.
     """
-    tree = tree or []
-    node = records.groupBy(*tree, node_at(levels).alias("node")).agg(
+    return records.groupBy(node_at(levels).alias("node")).agg(
         F.bit_xor(F.xxhash64("kind", "key", "content")).alias("h1"),
         F.bit_xor(F.xxhash64(F.lit("second"), "content", "key", "kind")).alias("h2"),
         F.count(F.lit(1)).alias("n"),
     )
-    out = node.withColumn("level", F.lit(levels))
-    for level in range(levels - 1, -1, -1):
-        up = F.shiftrightunsigned("node", FAN_BITS) if level else F.lit(0).cast("long")
-        node = node.groupBy(*tree, up.alias("up")).agg(
-            F.bit_xor(F.xxhash64("node", "h1", "h2", "n")).alias("h1"),
-            F.bit_xor(F.xxhash64(F.lit("second"), "n", "h2", "h1", "node")).alias("h2"),
-            F.sum("n").alias("n"),
-        ).withColumnRenamed("up", "node")
-        out = out.unionByName(node.withColumn("level", F.lit(level)))
-    return out.select(*tree, "level", "node", "h1", "h2", "n")
-
-
-def changed_leaves(current: DataFrame, saved: DataFrame, levels: int, tree: list[str] | None = None) -> DataFrame:
-    """(*tree, node): the leaves of current whose digest is not that of saved, found from the root down."""
-    tree = tree or []
-    front: DataFrame | None = None
-    for level in range(levels + 1):
-        now = current.where(F.col("level") == level)
-        was = saved.where(F.col("level") == level)
-        if front is not None:
-            up = F.shiftrightunsigned("node", FAN_BITS) if level > 1 else F.lit(0).cast("long")
-            now = now.withColumn("up", up).join(front.withColumnRenamed("node", "up"), [*tree, "up"], "left_semi")
-        old = was.select(*tree, "node", F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("n").alias("o_n"))
-        same = F.col("h1").eqNullSafe(F.col("o1")) & F.col("h2").eqNullSafe(F.col("o2")) & F.col("n").eqNullSafe(F.col("o_n"))
-        front = now.join(old, [*tree, "node"], "left").where(~same).select(*tree, "node")
-    return front
 
 
-# ---- a log of runs, replayed ------------------------------------------------------------
+def node_at_leaf(levels: int, level: int) -> Column:
+    """The node of this level above the leaf node."""
+    return F.shiftrightunsigned("node", FAN_BITS * (levels - level)) if level else F.lit(0).cast("long")
 
 
-def run_starts(runs: DataFrame) -> list[tuple[int, object]]:
-    """(run_id, started_at) of the distinct succeeded runs, in order of their start.
-
-    The run log is read to the driver; it has one line per run of the pipeline. Runs
-    without a start are left out.
-    """
-    rows = (
-        runs.where((F.lower(F.trim("status")) == "succeeded") & F.col("started_at").isNotNull())
-        .select("run_id", "started_at").distinct().orderBy("started_at", "run_id").collect()
-    )
-    return [(r.run_id, r.started_at) for r in rows]
+def _beside(now: DataFrame, saved: DataFrame | None, how: str = "left", on: list[str] | None = None) -> DataFrame:
+    """(*on, h1, h2, n, o1, o2, o_n, o_segment): digests now and as saved; a node that is not there has n 0 and digests 0."""
+    on = on or ["node"]
+    if saved is None:
+        old = [F.lit(0).cast("long").alias(c) for c in ("o1", "o2", "o_n")]
+        return now.select(*on, "h1", "h2", "n", *old, F.lit(None).cast("int").alias("o_segment"))
+    was = saved.select(*on, F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("n").alias("o_n"), F.col("segment").alias("o_segment"))
+    return now.join(was, on, how).select(*on, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("h1", "h2", "n", "o1", "o2", "o_n")], "o_segment")
 
 
-def record_history(arrivals: DataFrame, starts: list[object]) -> DataFrame:
-    """(kind, key, key_hash, run_no, until, content, prev, known): one row per state of a record.
+def differs() -> Column:
+    return (F.col("h1") != F.col("o1")) | (F.col("h2") != F.col("o2")) | (F.col("n") != F.col("o_n"))
 
-    arrivals: kind, key, version, received_at, content. The state in run i is the row with
-    the greatest (version, received_at) among those received before starts[i] (ties: the
-    greater content); it holds for runs run_no <= i < until. prev is the content of the
-    state before, known tells whether there was one. Equal contents in a row are one state.
-    Rows without key or received_at are left out.
-    """
-    bounds = F.array(*[F.lit(s) for s in starts]) if starts else F.array().cast("array<timestamp_ntz>")
-    seen = F.size(F.filter(bounds, lambda s: s <= F.col("received_at")))
-    latest = (
-        arrivals.where(F.col("key").isNotNull() & F.col("received_at").isNotNull())
-        .withColumn("run_no", seen)
-        .where(F.col("run_no") < len(starts))
-        .groupBy("kind", "key", "run_no")
-        .agg(F.max(F.struct("version", "received_at", "content")).alias("x"))
-        .withColumn("key_hash", key_hash())
-        .repartition("key_hash")
-    )
-    by = Window.partitionBy("key_hash", "kind", "key").orderBy("run_no")
-    state = latest.withColumn("x", F.max("x").over(by.rowsBetween(Window.unboundedPreceding, 0))).select(
-        "kind", "key", "key_hash", "run_no", F.col("x.content").alias("content")
-    )
-    state = state.withColumn("prev", F.lag("content").over(by)).withColumn("known", F.lag("run_no").over(by).isNotNull())
-    state = state.where(~F.col("known") | ~F.col("content").eqNullSafe(F.col("prev")))
-    return state.withColumn("until", F.coalesce(F.lead("run_no").over(by), F.lit(len(starts))))
 
+def tree_above(leaves: DataFrame, levels: int, saved: DataFrame | None) -> DataFrame:
+    """(level, node, h1, h2, n, o1, o2, o_n, o_segment): leaves (see _beside) and all nodes above them.
 
-def replay(
-    spark: SparkSession,
-    arrivals: DataFrame,
-    starts: list[object],
-    same: Callable[[Column, Column, Column], Column],
-    folder: str,
-    leaf_records: int = LEAF_RECORDS,
-) -> DataFrame:
-    """(run_no, kind, key) to process in each run after the first, with one tree per run.
-
-    same(kind, content, prev) tells whether two contents are the same. History, trees and
-    output are written below folder; output and trees are published together.
+    A node's digest is the sum without carry of its children's, where a leaf counts with
+    the hash of its place and digest. So all levels come from one aggregation, and a node is
+    brought up to date from the leaves that were touched; the others are not read.
     """
-    history = record_history(arrivals, starts)
-    history.write.option("compression", "zstd").parquet(f"{folder}/history")
-    history = spark.read.schema(history.schema).parquet(f"{folder}/history")
-    levels = levels_for(history.count(), leaf_records)
-    last = F.col("until") - 1
-    states = history.withColumn("run_no", F.explode(F.sequence("run_no", last)))
-    store = Store(spark, folder)
-    version = store.stage()
-    forest = store.write(version, "tree", build_tree(states, levels, ["run_no"]), partition_by=["level"])
-    leaves = changed_leaves(forest, forest.withColumn("run_no", F.col("run_no") + 1), levels, ["run_no"])
-    # a record whose state began in another run is the same in both trees
-    opened = history.where(F.col("run_no") > 0).withColumn("node", node_at(levels))
-    found = opened.join(leaves, ["run_no", "node"], "left_semi").where(
-        ~F.col("known") | ~same(F.col("kind"), F.col("content"), F.col("prev"))
+    there = lambda n, *parts: F.when(F.col(n) > 0, F.xxhash64(*parts)).otherwise(F.lit(0).cast("long"))
+    second = F.lit("second")
+    moved = leaves.select(
+        there("n", "node", "h1", "h2", "n").bitwiseXOR(there("o_n", "node", "o1", "o2", "o_n")).alias("d1"),
+        there("n", second, "n", "h2", "h1", "node").bitwiseXOR(there("o_n", second, "o_n", "o2", "o1", "node")).alias("d2"),
+        (F.col("n") - F.col("o_n")).alias("d_n"),
+        F.explode(F.array(*[F.struct(F.lit(k).alias("level"), node_at_leaf(levels, k).alias("node")) for k in range(levels)])).alias("up"),
     )
-    output = store.write(version, "output", found.select("run_no", "kind", "key"))
-    store.publish(version, {"levels": levels, "runs": len(starts)})
-    return output
+    now = moved.groupBy("up.level", "up.node").agg(F.bit_xor("d1").alias("h1"), F.bit_xor("d2").alias("h2"), F.sum("d_n").alias("n"))
+    both = _beside(now, saved.where(F.col("level") < levels) if saved is not None else None, on=["level", "node"])
+    above = both.select(
+        "level", "node", F.col("h1").bitwiseXOR(F.col("o1")).alias("h1"), F.col("h2").bitwiseXOR(F.col("o2")).alias("h2"),
+        (F.col("n") + F.col("o_n")).alias("n"), "o1", "o2", "o_n", F.lit(None).cast("int").alias("o_segment"),
+    )
+    return above.unionByName(leaves.withColumn("level", F.lit(levels)).select(above.columns))
 
 
-# ---- one run after the other ------------------------------------------------------------
+def changed_leaves(tree: DataFrame, levels: int) -> DataFrame:
+    """(node, o_segment): the leaves of tree (NODE) that differ from what was saved, found from the root down."""
+    front = tree.where((F.col("level") == 0) & differs()).select("node")
+    for level in range(1, levels + 1):
+        below = tree.where((F.col("level") == level) & differs()).select("node", "o_segment", node_at_leaf(level, level - 1).alias("up"))
+        front = below.join(front.select(F.col("node").alias("up")), "up", "left_semi").select("node", "o_segment")
+    return front
 
 
 class Store:
-    """Versions of output and tree in a folder all executors share, with one current version."""
+    """Versions of output, state and tree in a folder all executors share, with one current version."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        self._path = path
-        self._fs = path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def stage(self) -> str:
         return uuid.uuid4().hex
 
-    def write(self, version: str, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.folder}/versions/{version}/{name}")
+    def write(self, version: str, name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/versions/{version}/{name}")
         return self.read(version, name, df.schema)
 
     def read(self, version: str, name: str, schema: StructType | str | None = None) -> DataFrame:
@@ -190,38 +147,208 @@ class Store:
         return reader.parquet(f"{self.folder}/versions/{version}/{name}")
 
     def publish(self, version: str, about: dict) -> None:
-        """Make version current: its commit file gets the next number, under a name only one writer can take."""
-        commits = self.commits()
-        number = (commits[-1][0] if commits else 0) + 1
-        draft = self._path(f"{self.folder}/versions/{version}/commit.json")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps(about | {"version": version}).encode()))
-        out.close()
-        home = self._path(f"{self.folder}/commits")
-        self._fs.mkdirs(home)
-        target = self._path(f"{self.folder}/commits/{number:012d}.json")
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
+        """Make version current: its commit file gets the next number, which only one writer can create."""
+        numbers = [n for n, _ in self._files()]
+        number = max(numbers, default=0) + 1
+        self._fs.mkdirs(self._path(f"{self.folder}/commits"))
+        if not self._create(f"{self.folder}/commits/{number:012d}.json", json.dumps(about | {"version": version})):
             raise RuntimeError(f"another run published commit {number} first")
 
-    def commits(self) -> list[tuple[int, dict]]:
-        """(number, what publish was told) of all published versions, oldest first."""
+    def _create(self, target: str, body: str) -> bool:
+        """Create the file target, unless it is there; whether it was created.
+
+        A local file is linked into place, which fails where the name is taken. Elsewhere the
+        file is created exclusively: HDFS does that at once, object stores by a conditional put.
+        """
+        path = self._path(target)
+        if self._fs.getUri().getScheme() == "file":
+            local = path.toUri().getPath()
+            draft = f"{local}.{uuid.uuid4().hex}.tmp"
+            with open(draft, "w", encoding="utf-8") as f:
+                f.write(body)
+                f.flush()
+                os.fsync(f.fileno())
+            try:
+                os.link(draft, local)
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(draft)
+            return True
+        try:
+            out = self._fs.createFile(path).overwrite(False).opt("fs.option.create.conditional.overwrite", "true").build()
+            out.write(bytearray(body.encode()))
+            out.close()
+        except Py4JJavaError:
+            if self._fs.exists(path):
+                return False
+            raise
+        return True
+
+    def _files(self) -> list[tuple[int, object]]:
         home = self._path(f"{self.folder}/commits")
         if not self._fs.exists(home):
             return []
+        names = [(s.getPath().getName(), s.getPath()) for s in self._fs.listStatus(home)]
+        return sorted(((int(n[:-5]), p) for n, p in names if n.endswith(".json") and n[:-5].isdigit()), key=lambda x: x[0])
+
+    def commits(self) -> list[tuple[int, dict]]:
+        """(number, what publish was told) of all published versions, oldest first. A file that is not whole is no commit."""
         out = []
-        for status in self._fs.listStatus(home):
-            name = status.getPath().getName()
-            if name.endswith(".json") and not name.startswith("."):
-                stream = self._fs.open(status.getPath())
-                body = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-                stream.close()
-                out.append((int(name[:-5]), json.loads(body)))
-        return sorted(out)
+        for number, path in self._files():
+            stream = self._fs.open(path)
+            body = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            try:
+                out.append((number, json.loads(body)))
+            except ValueError:
+                continue
+        return out
 
     def current(self) -> dict | None:
         commits = self.commits()
         return commits[-1][1] if commits else None
 
+    def clean(self, keep: int = 2) -> None:
+        """Delete state and tree that the last commits do not name, and folders of runs that failed long ago. Outputs stay."""
+        home = self._path(f"{self.folder}/versions")
+        if not self._fs.exists(home):
+            return
+        commits = [about for _, about in self.commits()]
+        used = {tuple(p[-2:]) for about in commits[-keep:] for p in about.get("segments", []) + about.get("trees", [])}
+        known, now = {about["version"] for about in commits}, time.time()
+        for status in self._fs.listStatus(home):
+            version = status.getPath().getName()
+            if version not in known:
+                if now - status.getModificationTime() / 1000 > ORPHAN_HOURS * 3600:
+                    self._fs.delete(status.getPath(), True)
+                continue
+            for name in ("state", "tree", "base", "base_tree"):
+                path = self._path(f"{self.folder}/versions/{version}/{name}")
+                if (version, name) not in used and self._fs.exists(path):
+                    self._fs.delete(path, True)
+
+
+class _Run:
+    """One run over a store: the saved state and tree it starts from, and what it publishes."""
+
+    def __init__(self, spark: SparkSession, folder: str, leaf_records: int):
+        self.store, self.leaf_records = Store(spark, folder), leaf_records
+        self.commits = self.store.commits()
+        self.last = self.commits[-1][1] if self.commits else None
+        self.version = self.store.stage()
+        self.levels = self.last["levels"] if self.last else 0
+        #: [number, version, name] and [version, name], oldest first.
+        self.segments = list(self.last["segments"]) if self.last else []
+        self.trees = list(self.last["trees"]) if self.last else []
+        self.number = max((s[0] for s in self.segments), default=0) + 1
+
+    def done(self, run_id: int | str) -> DataFrame | None:
+        for _, about in self.commits:
+            if about["run_id"] == run_id:
+                return self.store.read(about["version"], "output")
+        return None
+
+    def nodes(self) -> DataFrame | None:
+        """The saved tree: of each node the newest row; nodes without records are not there."""
+        if not self.trees:
+            return None
+        parts = [self.store.read(*t, NODE).withColumn("seq", F.lit(i)) for i, t in enumerate(self.trees)]
+        rows = reduce(DataFrame.unionByName, parts)
+        if len(parts) > 1:
+            rows = rows.groupBy("level", "node").agg(F.max(F.struct("seq", "h1", "h2", "n", "segment")).alias("x")).select("level", "node", "x.*")
+        return rows.where("n > 0").select("level", "node", "h1", "h2", "n", "segment")
+
+    def records(self, schema: StructType, leaves: DataFrame) -> DataFrame:
+        """The saved records of leaves (node, segment), with their node; each leaf is read from its segment."""
+        parts = [self.store.read(v, name, schema).withColumn("segment", F.lit(no)) for no, v, name in self.segments]
+        rows = reduce(DataFrame.unionByName, parts).withColumn("node", node_at(self.levels))
+        return rows.join(leaves, ["node", "segment"], "left_semi").drop("segment")
+
+    def saved_leaves(self) -> DataFrame:
+        return self.nodes().where(F.col("level") == self.levels).select("node", "segment")
+
+    def merge(self, schema: StructType) -> None:
+        """One segment in place of many, with a deeper tree where the table has outgrown it."""
+        fitting = levels_for(self.last["records"], self.leaf_records)
+        if len(self.segments) < MAX_SEGMENTS and fitting <= self.levels + 1:
+            return
+        base = self.store.write(self.version, "base", self.records(schema, self.saved_leaves()).drop("node"))
+        if fitting > self.levels + 1:
+            self.levels = fitting
+        tree = tree_above(_beside(leaf_digests(base, self.levels), None), self.levels, None).withColumn("segment", F.lit(self.number))
+        self.store.write(self.version, "base_tree", tree.select(*_NODE))
+        self.segments, self.trees = [[self.number, self.version, "base"]], [[self.version, "base_tree"]]
+        self.number += 1
+
+    def add_tree(self, leaves: DataFrame, saved: DataFrame | None) -> DataFrame:
+        tree = tree_above(leaves, self.levels, saved).withColumn("segment", F.lit(self.number))
+        return self.store.write(self.version, "tree", tree.select(*_NODE))
+
+    def changed(self, now: DataFrame, leaves: DataFrame, same: Callable[[Column, Column, Column], Column] | None) -> DataFrame:
+        """(kind, key, content, is_new): the records of now in leaves that the saved state does not have or has otherwise."""
+        now = now.withColumn("node", node_at(self.levels)).join(leaves, "node", "left_semi")
+        if not self.segments:
+            return now.select("kind", "key", "content", F.lit(True).alias("is_new"))
+        old = self.records(now.drop("node").schema, leaves.select("node", F.col("o_segment").alias("segment"))).select("key_hash", "kind", "key", F.col("content").alias("prev"), F.lit(True).alias("had"))
+        both = now.join(old, ["key_hash", "kind", "key"], "left")
+        equal = same(F.col("kind"), F.col("content"), F.col("prev")) if same else F.col("content").eqNullSafe(F.col("prev"))
+        return both.where(F.col("had").isNull() | ~equal).select("kind", "key", "content", F.col("had").isNull().alias("is_new"))
+
+    def publish(self, run_id: int | str, tree: DataFrame, output: DataFrame) -> DataFrame:
+        output = self.store.write(self.version, "output", output)
+        root = tree.where("level = 0").select("n").first()
+        records = root.n if root else (self.last["records"] if self.last else 0)
+        about = {
+            "run_id": run_id, "levels": self.levels, "records": records,
+            "segments": [*self.segments, [self.number, self.version, "state"]], "trees": [*self.trees, [self.version, "tree"]],
+        }
+        self.store.publish(self.version, about)
+        self.store.clean()
+        return output
+
+
+def run_arrivals(
+    spark: SparkSession,
+    arrivals: DataFrame,
+    folder: str,
+    run_id: int | str,
+    process: Callable[[DataFrame], DataFrame] | None = None,
+    same: Callable[[Column, Column, Column], Column] | None = None,
+    leaf_records: int = LEAF_RECORDS,
+) -> DataFrame:
+    """Process the records whose state is new or changed by what arrived since the last published run.
+
+    arrivals: kind, key, version, received_at, content; other columns are ignored. Of a
+    record's rows, those of earlier runs too, the one with the greatest (version,
+    received_at) is its state (ties: the greater content), so a late row does not undo a
+    newer one. Returns the published output: process(changed), where changed has kind, key,
+    content and is_new. same(kind, content, prev) tells whether two contents are the same;
+    without it they are compared null-safe. Rows without key are left out; a record that
+    does not arrive keeps its state. No arrivals publish an empty run. A run_id that is
+    already published is not done again; its output is returned.
+    """
+    run = _Run(spark, folder, leaf_records)
+    done = run.done(run_id)
+    if done is not None:
+        return done
+    rank = ["version", "received_at", "content"]
+    best = lambda df: df.groupBy("kind", "key", "key_hash").agg(F.max(F.struct(*rank)).alias("x")).select("kind", "key", "key_hash", "x.*")
+    state = arrivals.where(F.col("key").isNotNull()).withColumn("key_hash", key_hash()).select("kind", "key", "key_hash", *rank)
+    if run.last:
+        run.merge(state.schema)
+        touched = state.select(node_at(run.levels).alias("node"))
+        leaves = run.saved_leaves().join(touched, "node", "left_semi")
+        state = run.records(state.schema, leaves).drop("node").unionByName(state)
+    state = run.store.write(run.version, "state", best(state))
+    if not run.last:
+        run.levels = levels_for(state.count(), leaf_records)
+    saved = run.nodes()
+    old = saved.where(F.col("level") == run.levels) if saved is not None else None
+    tree = run.add_tree(_beside(leaf_digests(state, run.levels), old), saved)
+    changed = run.changed(state, changed_leaves(tree, run.levels), same)
+    return run.publish(run_id, tree, process(changed) if process else changed)
+
 
 def run_once(
     spark: SparkSession,
@@ -232,40 +359,72 @@ def run_once(
     same: Callable[[Column, Column, Column], Column] | None = None,
     leaf_records: int = LEAF_RECORDS,
 ) -> DataFrame:
-    """Process the records (kind, key, content) that are new or changed since the last published run.
+    """Process the records (kind, key, content) of a whole table that are new or changed since the last published run.
 
-    Returns the published output: process(changed), where changed has kind, key, content
-    and is_new. A run_id that is already published is not done again; its output is
-    returned. (kind, key) must be unique; records without key are left out. Records that
-    are gone are no work, but leave the saved state. An empty table publishes an empty run.
+    The table is read and hashed; of the saved state only leaves that differ are read and
+    written anew. Returns the published output, see run_arrivals. (kind, key) must be
+    unique; records without key are left out. Records that are gone are no work, but leave
+    the saved state. An empty table publishes an empty run.
     """
-    store = Store(spark, folder)
-    for _, done in store.commits():
-        if done["run_id"] == run_id:
-            return store.read(done["version"], "output")
-    last = store.current()
-    version = store.stage()
+    run = _Run(spark, folder, leaf_records)
+    done = run.done(run_id)
+    if done is not None:
+        return done
     records = records.where(F.col("key").isNotNull()).select("kind", "key", "content").withColumn("key_hash", key_hash())
-    records = store.write(version, "state", records.repartitionByRange("key_hash").sortWithinPartitions("key_hash"))
-    levels = last["levels"] if last and last["levels"] else levels_for(records.count(), leaf_records)
-    if last and levels_for(records.count(), leaf_records) > levels + 1:
-        # the table has outgrown the tree: rebuild the saved tree one size up, from the saved state
-        levels = levels_for(records.count(), leaf_records)
-        saved = build_tree(store.read(last["version"], "state"), levels)
-    else:
-        saved = store.read(last["version"], "tree", TREE) if last else None
-    tree = store.write(version, "tree", build_tree(records, levels), partition_by=["level"])
-    records = records.withColumn("node", node_at(levels))
-    if saved is None:
-        changed = records.select("kind", "key", "content", F.lit(True).alias("is_new"))
+    if run.last:
+        run.merge(records.schema)
     else:
-        leaves = changed_leaves(tree, saved, levels)
-        now = records.join(leaves, "node", "left_semi")
-        old = store.read(last["version"], "state").withColumn("node", node_at(levels)).join(leaves, "node", "left_semi")
-        old = old.select("node", "kind", "key", F.col("content").alias("prev"), F.lit(True).alias("had"))
-        both = now.join(old, ["node", "kind", "key"], "left")
-        equal = same(F.col("kind"), F.col("content"), F.col("prev")) if same else F.col("content").eqNullSafe(F.col("prev"))
-        changed = both.where(F.col("had").isNull() | ~equal).select("kind", "key", "content", F.col("had").isNull().alias("is_new"))
-    output = store.write(version, "output", process(changed) if process else changed)
-    store.publish(version, {"run_id": run_id, "levels": levels})
-    return output
+        run.levels = levels_for(records.count(), leaf_records)
+    saved = run.nodes()
+    old = saved.where(F.col("level") == run.levels) if saved is not None else None
+    tree = run.add_tree(_beside(leaf_digests(records, run.levels), old, "full").where(differs()), saved)
+    leaves = changed_leaves(tree, run.levels)
+    in_leaves = records.withColumn("node", node_at(run.levels)).join(leaves, "node", "left_semi").drop("node")
+    state = run.store.write(run.version, "state", in_leaves)
+    changed = run.changed(state, leaves, same)
+    return run.publish(run_id, tree, process(changed) if process else changed)
+
+
+# ---- a log of runs, replayed ------------------------------------------------------------
+
+
+def run_starts(runs: DataFrame) -> list[tuple[int, object]]:
+    """(run_id, started_at) of the distinct succeeded runs, in order of their start.
+
+    The run log is read to the driver; it has one line per run of the pipeline. Runs
+    without a start are left out.
+    """
+    rows = (
+        runs.where((F.lower(F.trim("status")) == "succeeded") & F.col("started_at").isNotNull())
+        .select("run_id", "started_at").distinct().orderBy("started_at", "run_id").collect()
+    )
+    return [(r.run_id, r.started_at) for r in rows]
+
+
+def replay(
+    spark: SparkSession,
+    arrivals: DataFrame,
+    starts: list[object],
+    same: Callable[[Column, Column, Column], Column],
+    folder: str,
+    leaf_records: int = LEAF_RECORDS,
+) -> DataFrame:
+    """(run_no, kind, key) to process in each run after the first: run_arrivals for one start after the other.
+
+    A run sees the rows received before its start and takes those received since the start
+    before it. Rows without key or received_at are left out. Arrivals are placed by run
+    once, so a run reads its own only.
+    """
+    bounds = F.array(*[F.lit(s) for s in starts]) if starts else F.array().cast("array<timestamp_ntz>")
+    seen = arrivals.where(F.col("key").isNotNull() & F.col("received_at").isNotNull()).select(
+        "kind", "key", "version", "received_at", "content", F.size(F.filter(bounds, lambda s: s <= F.col("received_at"))).alias("run_no")
+    )
+    if not starts:
+        return seen.limit(0).select("run_no", "kind", "key")
+    placed = cut(seen.where(F.col("run_no") < len(starts)), "arrivals", ["run_no"])
+    found = []
+    for no in range(len(starts)):
+        # the first run has no run before it: what it finds is taken as known
+        process = lambda changed, no=no: (changed if no else changed.limit(0)).select(F.lit(no).alias("run_no"), "kind", "key")
+        found.append(run_arrivals(spark, placed.where(F.col("run_no") == no), folder, no, process, same, leaf_records))
+    return reduce(DataFrame.unionByName, found[1:], found[0])
