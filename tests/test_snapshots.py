@@ -46,24 +46,52 @@ def test_against_brute_force(rows):
     deliveries = [(g, n, rng.choice(["complete", "complete", "complete", "incomplete", "missing"]), T0) for g in groups for n in range(1, 7)]
     deliveries += [deliveries[0], ("a", 7, "complete", T0)]
     # a complete delivery without rows removes all
-    assert got(snapshots.snapshot_changes(rows(data, ROWS), rows(deliveries, DELIVERIES), stripe_rows=100)) == brute(data, deliveries)
-    assert got(snapshots.snapshot_changes(rows(data, ROWS), rows(deliveries, DELIVERIES))) == brute(data, deliveries)
+    assert got(snapshots.snapshot_changes(rows(data, ROWS), rows(deliveries, DELIVERIES), stripe_keys=20)[0]) == brute(data, deliveries)
+    assert got(snapshots.snapshot_changes(rows(data, ROWS), rows(deliveries, DELIVERIES))[0]) == brute(data, deliveries)
 
 
 def test_empty(rows):
     none = rows([], ROWS)
-    assert got(snapshots.snapshot_changes(none, rows([("a", 1, "complete", T0)], DELIVERIES))) == []
-    assert got(snapshots.snapshot_changes(none, rows([], DELIVERIES))) == []
-
-
-def test_ordinals_persist(rows):
-    schema = "grp string, stripe int, key string"
-    first = snapshots.assign_ordinals(rows([("a", 0, k) for k in "cab"] * 2, schema))
-    saved = snapshots.key_dictionary(first)
-    assert got(saved) == [("a", 0, "a", 0), ("a", 0, "b", 1), ("a", 0, "c", 2)]
-    later = snapshots.assign_ordinals(rows([("a", 0, k) for k in ("aa", "c", "zz", "b")] + [("b", 0, "q")], schema), saved)
-    assert got(later) == [("a", 0, "aa", 3), ("a", 0, "b", 1), ("a", 0, "c", 2), ("a", 0, "zz", 4), ("b", 0, "q", 0)]
-    assert snapshots.key_dictionary(later, saved).count() == 6
+    assert got(snapshots.snapshot_changes(none, rows([("a", 1, "complete", T0)], DELIVERIES))[0]) == []
+    assert got(snapshots.snapshot_changes(none, rows([], DELIVERIES))[0]) == []
+
+
+def test_ordinals_persist_when_a_group_grows(rows):
+    schema = "grp string, key string"
+    first = snapshots.extend_dictionary(rows([("a", f"k{i}") for i in range(8)] * 2 + [("a", None), (None, "x")], schema), None, 4)
+    saved = got(first)
+    assert len(saved) == 8 and {r[1] for r in saved} <= {0, 1}
+    assert all(sorted(r[3] for r in saved if r[1] == stripe) == list(range(sum(r[1] == stripe for r in saved))) for stripe in (0, 1))
+    later = snapshots.extend_dictionary(rows([("a", f"k{i}") for i in range(4, 40)] + [("b", "q")], schema), rows(saved, "grp string, stripe int, key string, ordinal int"), 4)
+    kept = got(later)
+    assert set(saved) < set(kept) and len(kept) == 41 and len({(r[0], r[2]) for r in kept}) == 41
+    # no two keys share a place
+    assert len({(r[0], r[1], r[3]) for r in kept}) == 41
+    assert ("b", 0, "q", 0) in kept
+
+
+def test_calls_over_a_saved_dictionary(rows):
+    rng = random.Random(8)
+    data = [("g", n, f"k{k}", rng.choice([b"x", b"y"]), T0, "") for n in range(1, 7) for k in range(60 * n) if rng.random() < 0.8]
+    deliveries = [("g", n, "complete", T0) for n in range(1, 7)]
+    early = [r for r in data if r[1] <= 2]
+    _, saved = snapshots.snapshot_changes(rows(early, ROWS), rows(deliveries[:2], DELIVERIES), None, 16)
+    changes, after = snapshots.snapshot_changes(rows(data, ROWS), rows(deliveries, DELIVERIES), saved, 16)
+    assert got(changes) == brute(data, deliveries)
+    assert set(got(saved)) < set(got(after))
+
+
+def test_bitmaps_are_compressed_and_decide(rows, monkeypatch):
+    """Full words are not stored, and rows come through the bitmaps."""
+    schema = "grp string, stripe int, ordinal int, seq int, n_seq int, content binary"
+    data = [("g", 0, o, 0, 1, b"x") for o in [*range(128), 200, 1500]]
+    chunks = {r.chunk: r for r in snapshots.snapshot_chunks(rows(data, schema)).collect()}
+    assert (chunks[0].present, chunks[0].full, chunks[0].words) == (0b1011, 0b11, [1 << 8])
+    assert (chunks[1].present, chunks[1].full, len(chunks[1].vec)) == (1 << 7, 0, 1)
+    data = [("a", n, f"k{k}", b"x", T0, "") for n in (1, 2) for k in range(100) if (n + k) % 3]
+    tables = rows(data, ROWS), rows([("a", 1, "complete", T0), ("a", 2, "complete", T0)], DELIVERIES)
+    monkeypatch.setattr(snapshots, "_word", lambda *_: "0L")
+    assert got(snapshots.snapshot_changes(*tables)[0]) == []
 
 
 def test_digests(rows):

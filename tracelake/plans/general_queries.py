@@ -33,12 +33,32 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(ids.alias("run_id"), F.col("kind").alias("record_kind"), F.col("key").alias("record_key"))
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+def _snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     manifest = table(spark, folder, "manifest").select(
         F.col("root").alias("grp"), "snapshot_no", F.col("path").alias("key"), digest_value("sha256").alias("content"), "received_at"
     )
     deliveries = table(spark, folder, "snapshot_deliveries").select(F.col("root").alias("grp"), "snapshot_no", "status", "delivered_at")
-    return snapshots.snapshot_changes(manifest, deliveries).select("snapshot_no", F.col("key").alias("path"), "change_kind")
+    return manifest, deliveries
+
+
+def _changes(found: DataFrame) -> DataFrame:
+    return found.select("snapshot_no", F.col("key").alias("path"), "change_kind")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _changes(snapshots.snapshot_changes(*_snapshots(spark, folder))[0])
+
+
+def p5_two_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """The changes in two calls: of the first half of the snapshots, then of all over the dictionary of the first call.
+
+    The second call's changes up to the middle are those of the first, which are listed.
+    """
+    manifest, deliveries = _snapshots(spark, folder)
+    middle = manifest.agg(F.floor((F.min("snapshot_no") + F.max("snapshot_no")) / 2).alias("m")).first().m or 0
+    early, dictionary = snapshots.snapshot_changes(manifest.where(F.col("snapshot_no") <= middle), deliveries.where(F.col("snapshot_no") <= middle))
+    late, _ = snapshots.snapshot_changes(manifest, deliveries, dictionary)
+    return _changes(early).unionByName(_changes(late.where(F.col("snapshot_no") > middle)))
 
 
 #: A digest's 64 digits, whatever surrounds them.
@@ -77,5 +97,5 @@ WHERE c.n > 1 AND (p.record_key IS NULL OR NOT CASE WHEN c.record_kind = 'docume
   ELSE starts_with(c.content, p.content) OR starts_with(p.content, c.content) END)
 """
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
-SQL = {"p1_found": P1_SQL, "p5_found": P5_SQL}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_two_calls": p5_two_calls}
+SQL = {"p1_found": P1_SQL, "p5_found": P5_SQL, "p5_two_calls": P5_SQL}
