@@ -48,22 +48,36 @@ def _cochange_stripes(spark: SparkSession, folder: str) -> DataFrame:
     return cooccur.partial_count_stripes(rows)
 
 
+def _rated(spark: SparkSession, folder: str, least: int = 1) -> DataFrame:
+    """The pairs of service_cochange with least cases or more, rated against the cases."""
+    entries = cooccur.entries_of(cooccur.merged_stripes(_cochange_stripes(spark, folder))).where(F.col("c") >= least)
+    return cooccur.significance(entries, _service_baskets(spark, folder))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    entries = cooccur.merged_entries(_cochange_stripes(spark, folder)).where("c >= 5")
-    rated = cooccur.significance(entries, _service_baskets(spark, folder))
-    return rated.where("lift >= 3.7D").select(F.col("item_a").alias("service_a"), F.col("item_b").alias("service_b"))
+    # with 5 cases and a lift of 3.7 the ratio is 5.7 at least, so the test of significance drops no case
+    found = _rated(spark, folder, 5).where((F.col("lift") >= 3.7) & (F.col("llr") >= cooccur.SIGNIFICANT))
+    return found.select(F.col("item_a").alias("service_a"), F.col("item_b").alias("service_b"))
 
 
-def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every pair of services changed together, counted from the cases themselves."""
-    baskets = _service_baskets(spark, folder)
-    rated = cooccur.significance(cooccur.merged_entries(cooccur.basket_stripes(baskets)), baskets)
+def _rounded(rated: DataFrame) -> DataFrame:
     return rated.select(
         F.col("item_a").alias("service_a"), F.col("item_b").alias("service_b"), "c",
         F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"),
     )
 
 
+def p4_rated(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of service_cochange with its count, lift and log-likelihood ratio."""
+    return _rounded(_rated(spark, folder))
+
+
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of services changed together, counted from the cases themselves."""
+    baskets = _service_baskets(spark, folder)
+    return _rounded(cooccur.significance(cooccur.entries_of(cooccur.merged_stripes(cooccur.basket_stripes(baskets))), baskets))
+
+
 _P4_BASKETS = """
 usable AS (SELECT DISTINCT case_id FROM cases WHERE knowledge_tier IN ('trusted', 'candidate')),
 baskets AS (SELECT DISTINCT case_id, lower(trim(service)) AS service FROM service_changes SEMI JOIN usable USING (case_id)),
@@ -142,7 +156,7 @@ def p9_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_shares(documents, truncation.cut_texts(documents))
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p7_found": p7_found, "p7_copies": p7_copies, "p9_found": p9_found, "p9_sources": p9_sources, "p6_found": p6_found, "p6_coverage": p6_coverage, "p4_found": p4_found, "p4_pairs": p4_pairs, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found}
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p7_found": p7_found, "p7_copies": p7_copies, "p9_found": p9_found, "p9_sources": p9_sources, "p6_found": p6_found, "p6_coverage": p6_coverage, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_rated": p4_rated, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found}
 
 _ODD = (
     r"[\x{ff01}-\x{ff5e}]|[\x{fb00}-\x{fb06}]|[\x{200b}-\x{200f}\x{2060}\x{feff}\x{ad}]|[\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]|[\x{300}-\x{36f}]"
@@ -155,6 +169,16 @@ SQL = {
     "p4_found": f"WITH {_P4_BASKETS} SELECT service_a, service_b FROM rated WHERE c >= 5 AND lift >= 3.7::DOUBLE",
     "p4_pairs": f"""WITH {_P4_BASKETS} SELECT service_a, service_b, c, round(lift, 6) AS lift,
       round(CASE WHEN lift < 1 THEN -{_LLR} ELSE {_LLR} END, 4) AS llr FROM rated""",
+    "p4_rated": f"""WITH {_P4_BASKETS},
+      lines AS (
+        SELECT batch_no, least(lower(trim(service_a)), lower(trim(service_b))) AS service_a, greatest(lower(trim(service_a)), lower(trim(service_b))) AS service_b,
+          max(coalesce(case_count, len(list_distinct(case_ids_json::VARCHAR[])), 0)) AS c
+        FROM service_cochange WHERE lower(trim(service_a)) <> lower(trim(service_b)) GROUP BY 1, 2, 3),
+      counted AS (SELECT service_a, service_b, sum(c)::BIGINT AS c FROM lines WHERE c > 0 GROUP BY 1, 2),
+      weighed AS (
+        SELECT service_a, service_b, counted.c, x.k AS n_a, y.k AS n_b, n, counted.c * n / (x.k * y.k)::DOUBLE AS lift
+        FROM counted JOIN single x ON x.service = service_a JOIN single y ON y.service = service_b, total)
+      SELECT service_a, service_b, c, round(lift, 6) AS lift, round(CASE WHEN lift < 1 THEN -{_LLR} ELSE {_LLR} END, 4) AS llr FROM weighed""",
     "p3_found": """
 WITH items AS (SELECT DISTINCT case_id, term_type, normalized FROM case_terms WHERE trim(normalized) <> ''),
 sizes AS (SELECT case_id, count(*) AS n FROM items GROUP BY 1 HAVING count(*) >= 4),
