@@ -9,11 +9,13 @@ beside the digests that were saved. From the root down, only children of nodes t
 differ are looked at; records are read from the saved state, and compared one by one, only
 in the leaves that are reached.
 
-State and tree are kept as segments: a run adds the leaves it has touched, whole, and the
-nodes above them; a leaf's node says which segment holds its records. What a run writes is
-in proportion to what it touches. After MAX_SEGMENTS runs the segments are merged.
+State and tree are kept as segments: a run adds one with the leaves it has touched, whole, and
+the nodes above them. The newest row of a node counts, and a leaf's records are in the segment
+of its newest row. What a run writes is in proportion to what it touches; where segments are
+many, or most of what they hold is outdated, the run takes in the whole state and its segment
+replaces all others.
 
-Output, state and tree are published together: they are written to a new version folder
+Output, state and tree are published together: they are written under a name of their own,
 and a small commit file with the next number, which only one writer can create, makes them
 current. A run that fails before that leaves the previous version current, so the next run
 finds the same changes again; a run that was published is not done a second time.
@@ -24,6 +26,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import random
 import time
 import uuid
 from collections.abc import Callable
@@ -40,13 +43,13 @@ FAN_BITS = 4
 #: Records a leaf should hold on average.
 LEAF_RECORDS = 16
 MAX_LEVELS = 12
-#: Segments of state and tree before they are merged into one.
+#: Segments of state and tree, and rows in segments to one row that counts, before one segment replaces them.
 MAX_SEGMENTS = 8
-#: Age from which a version folder that no commit names is taken for the rest of a failed run.
+MAX_ROWS = 3
+#: Age from which a segment that no commit names is taken for the rest of a failed run.
 ORPHAN_HOURS = 24
-#: A saved node: its digests and the records below it, the same before the run, and the segments of a leaf's records now and before.
-NODE = "level int, node bigint, h1 bigint, h2 bigint, n bigint, o1 bigint, o2 bigint, o_n bigint, o_segment int, segment int"
-_NODE = [c.split()[0] for c in NODE.split(", ")]
+#: A saved node: its digests and the records below it, the same before the run, the segment a leaf was in before, its own segment.
+NODE = "level int, node bigint, h1 bigint, h2 bigint, n bigint, o1 bigint, o2 bigint, o_n bigint, o_segment bigint, segment bigint"
 
 
 def levels_for(records: int, leaf_records: int = LEAF_RECORDS) -> int:
@@ -85,7 +88,7 @@ def _beside(now: DataFrame, saved: DataFrame | None, how: str = "left", on: list
     on = on or ["node"]
     if saved is None:
         old = [F.lit(0).cast("long").alias(c) for c in ("o1", "o2", "o_n")]
-        return now.select(*on, "h1", "h2", "n", *old, F.lit(None).cast("int").alias("o_segment"))
+        return now.select(*on, "h1", "h2", "n", *old, F.lit(None).cast("long").alias("o_segment"))
     was = saved.select(*on, F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("n").alias("o_n"), F.col("segment").alias("o_segment"))
     return now.join(was, on, how).select(*on, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("h1", "h2", "n", "o1", "o2", "o_n")], "o_segment")
 
@@ -113,7 +116,7 @@ def tree_above(leaves: DataFrame, levels: int, saved: DataFrame | None) -> DataF
     both = _beside(now, saved.where(F.col("level") < levels) if saved is not None else None, on=["level", "node"])
     above = both.select(
         "level", "node", F.col("h1").bitwiseXOR(F.col("o1")).alias("h1"), F.col("h2").bitwiseXOR(F.col("o2")).alias("h2"),
-        (F.col("n") + F.col("o_n")).alias("n"), "o1", "o2", "o_n", F.lit(None).cast("int").alias("o_segment"),
+        (F.col("n") + F.col("o_n")).alias("n"), "o1", "o2", "o_n", F.lit(None).cast("long").alias("o_segment"),
     )
     return above.unionByName(leaves.withColumn("level", F.lit(levels)).select(above.columns))
 
@@ -128,30 +131,37 @@ def changed_leaves(tree: DataFrame, levels: int) -> DataFrame:
 
 
 class Store:
-    """Versions of output, state and tree in a folder all executors share, with one current version."""
+    """Segments of state, tree and output in a folder all executors share, and the commits that make them current."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def stage(self) -> str:
-        return uuid.uuid4().hex
+    def stage(self) -> int:
+        """The name of a new segment: greater than those of published ones, and no other writer's."""
+        return (max((n for n, _ in self._files()), default=0) + 1) << 40 | random.getrandbits(40)
 
-    def write(self, version: str, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/versions/{version}/{name}")
-        return self.read(version, name, df.schema)
+    def _at(self, name: str, segment: int) -> str:
+        return f"{self.folder}/{name}/segment={segment}"
 
-    def read(self, version: str, name: str, schema: StructType | str | None = None) -> DataFrame:
-        reader = self.spark.read.schema(schema) if schema else self.spark.read
-        return reader.parquet(f"{self.folder}/versions/{version}/{name}")
+    def write(self, segment: int, name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self._at(name, segment))
+        return self.read([segment], name, df.schema)
 
-    def publish(self, version: str, about: dict) -> None:
-        """Make version current: its commit file gets the next number, which only one writer can create."""
-        numbers = [n for n, _ in self._files()]
-        number = max(numbers, default=0) + 1
+    def read(self, segments: list[int], name: str, schema: StructType | str | None = None) -> DataFrame:
+        """The rows of segments, with the column `segment`; one scan, so its plan is the same however many there are."""
+        reader = self.spark.read.option("basePath", f"{self.folder}/{name}")
+        if isinstance(schema, StructType):
+            # a copy, as add() changes the schema it is called on
+            schema = StructType([f for f in schema.fields if f.name != "segment"]).add("segment", "long")
+        return (reader.schema(schema) if schema else reader).parquet(*[self._at(name, s) for s in segments])
+
+    def publish(self, segment: int, about: dict) -> None:
+        """Make segment current: its commit file gets the next number, which only one writer can create."""
+        number = max((n for n, _ in self._files()), default=0) + 1
         self._fs.mkdirs(self._path(f"{self.folder}/commits"))
-        if not self._create(f"{self.folder}/commits/{number:012d}.json", json.dumps(about | {"version": version})):
+        if not self._create(f"{self.folder}/commits/{number:012d}.json", json.dumps(about | {"segment": segment})):
             raise RuntimeError(f"another run published commit {number} first")
 
     def _create(self, target: str, body: str) -> bool:
@@ -210,23 +220,18 @@ class Store:
         return commits[-1][1] if commits else None
 
     def clean(self, keep: int = 2) -> None:
-        """Delete state and tree that the last commits do not name, and folders of runs that failed long ago. Outputs stay."""
-        home = self._path(f"{self.folder}/versions")
-        if not self._fs.exists(home):
-            return
+        """Delete state and tree that the last commits do not name, and what runs that failed long ago left. Outputs stay."""
         commits = [about for _, about in self.commits()]
-        used = {tuple(p[-2:]) for about in commits[-keep:] for p in about.get("segments", []) + about.get("trees", [])}
-        known, now = {about["version"] for about in commits}, time.time()
-        for status in self._fs.listStatus(home):
-            version = status.getPath().getName()
-            if version not in known:
-                if now - status.getModificationTime() / 1000 > ORPHAN_HOURS * 3600:
+        last = commits[-keep:]
+        used = {"state": {s[0] for c in last for s in c.get("segments", [])}, "tree": {t for c in last for t in c.get("trees", [])}}
+        known, now = {c["segment"] for c in commits}, time.time()
+        for name in ("state", "tree", "output"):
+            home = self._path(f"{self.folder}/{name}")
+            for status in self._fs.listStatus(home) if self._fs.exists(home) else []:
+                segment = int(status.getPath().getName().partition("=")[2])
+                old = now - status.getModificationTime() / 1000 > ORPHAN_HOURS * 3600
+                if old if segment not in known else name != "output" and segment not in used[name]:
                     self._fs.delete(status.getPath(), True)
-                continue
-            for name in ("state", "tree", "base", "base_tree"):
-                path = self._path(f"{self.folder}/versions/{version}/{name}")
-                if (version, name) not in used and self._fs.exists(path):
-                    self._fs.delete(path, True)
 
 
 class _Run:
@@ -236,74 +241,73 @@ class _Run:
         self.store, self.leaf_records = Store(spark, folder), leaf_records
         self.commits = self.store.commits()
         self.last = self.commits[-1][1] if self.commits else None
-        self.version = self.store.stage()
+        self.segment = self.store.stage()
         self.levels = self.last["levels"] if self.last else 0
-        #: [number, version, name] and [version, name], oldest first.
-        self.segments = list(self.last["segments"]) if self.last else []
-        self.trees = list(self.last["trees"]) if self.last else []
-        self.number = max((s[0] for s in self.segments), default=0) + 1
+        #: [segment, rows it holds, rows of them that count], oldest first.
+        self.segments = self.last["segments"] if self.last else []
+        self.trees = self.last["trees"] if self.last else []
+        live = sum(s[2] for s in self.segments)
+        #: Whether the whole state is taken in.
+        self.whole = len(self.trees) >= MAX_SEGMENTS or sum(s[1] for s in self.segments) > MAX_ROWS * max(live, 1)
 
     def done(self, run_id: int | str) -> DataFrame | None:
         for _, about in self.commits:
             if about["run_id"] == run_id:
-                return self.store.read(about["version"], "output")
+                return self.store.read([about["segment"]], "output").drop("segment")
         return None
 
     def nodes(self) -> DataFrame | None:
         """The saved tree: of each node the newest row; nodes without records are not there."""
         if not self.trees:
             return None
-        parts = [self.store.read(*t, NODE).withColumn("seq", F.lit(i)) for i, t in enumerate(self.trees)]
-        rows = reduce(DataFrame.unionByName, parts)
-        if len(parts) > 1:
-            rows = rows.groupBy("level", "node").agg(F.max(F.struct("seq", "h1", "h2", "n", "segment")).alias("x")).select("level", "node", "x.*")
-        return rows.where("n > 0").select("level", "node", "h1", "h2", "n", "segment")
+        newest = self.store.read(self.trees, "tree", NODE).groupBy("level", "node").agg(F.max(F.struct("segment", "h1", "h2", "n")).alias("x"))
+        return newest.where("x.n > 0").select("level", "node", "x.*")
 
     def records(self, schema: StructType, leaves: DataFrame) -> DataFrame:
         """The saved records of leaves (node, segment), with their node; each leaf is read from its segment."""
-        parts = [self.store.read(v, name, schema).withColumn("segment", F.lit(no)) for no, v, name in self.segments]
-        rows = reduce(DataFrame.unionByName, parts).withColumn("node", node_at(self.levels))
+        rows = self.store.read([s[0] for s in self.segments], "state", schema).withColumn("node", node_at(self.levels))
         return rows.join(leaves, ["node", "segment"], "left_semi").drop("segment")
 
-    def saved_leaves(self) -> DataFrame:
-        return self.nodes().where(F.col("level") == self.levels).select("node", "segment")
+    def saved_leaves(self, saved: DataFrame) -> DataFrame:
+        return saved.where(F.col("level") == self.levels).select("node", "segment")
 
-    def merge(self, schema: StructType) -> None:
-        """One segment in place of many, with a deeper tree where the table has outgrown it."""
+    def grow(self, schema: StructType) -> None:
+        """A deeper tree where the table has outgrown it: the saved state is written as one segment with a tree of its own."""
         fitting = levels_for(self.last["records"], self.leaf_records)
-        if len(self.segments) < MAX_SEGMENTS and fitting <= self.levels + 1:
+        if fitting <= self.levels + 1:
             return
-        base = self.store.write(self.version, "base", self.records(schema, self.saved_leaves()).drop("node"))
-        if fitting > self.levels + 1:
-            self.levels = fitting
-        tree = tree_above(_beside(leaf_digests(base, self.levels), None), self.levels, None).withColumn("segment", F.lit(self.number))
-        self.store.write(self.version, "base_tree", tree.select(*_NODE))
-        self.segments, self.trees = [[self.number, self.version, "base"]], [[self.version, "base_tree"]]
-        self.number += 1
+        base = self.store.write(self.segment, "state", self.records(schema, self.saved_leaves(self.nodes())).drop("node")).drop("segment")
+        self.levels = fitting
+        self.add_tree(_beside(leaf_digests(base, self.levels), None), None)
+        self.segments, self.trees, self.whole = [[self.segment, self.last["records"], self.last["records"]]], [self.segment], True
+        self.segment += 1
 
     def add_tree(self, leaves: DataFrame, saved: DataFrame | None) -> DataFrame:
-        tree = tree_above(leaves, self.levels, saved).withColumn("segment", F.lit(self.number))
-        return self.store.write(self.version, "tree", tree.select(*_NODE))
+        return self.store.write(self.segment, "tree", tree_above(leaves, self.levels, saved))
 
     def changed(self, now: DataFrame, leaves: DataFrame, same: Callable[[Column, Column, Column], Column] | None) -> DataFrame:
         """(kind, key, content, is_new): the records of now in leaves that the saved state does not have or has otherwise."""
         now = now.withColumn("node", node_at(self.levels)).join(leaves, "node", "left_semi")
         if not self.segments:
             return now.select("kind", "key", "content", F.lit(True).alias("is_new"))
-        old = self.records(now.drop("node").schema, leaves.select("node", F.col("o_segment").alias("segment"))).select("key_hash", "kind", "key", F.col("content").alias("prev"), F.lit(True).alias("had"))
+        old = self.records(now.drop("node").schema, leaves.select("node", F.col("o_segment").alias("segment")))
+        old = old.select("key_hash", "kind", "key", F.col("content").alias("prev"), F.lit(True).alias("had"))
         both = now.join(old, ["key_hash", "kind", "key"], "left")
         equal = same(F.col("kind"), F.col("content"), F.col("prev")) if same else F.col("content").eqNullSafe(F.col("prev"))
         return both.where(F.col("had").isNull() | ~equal).select("kind", "key", "content", F.col("had").isNull().alias("is_new"))
 
     def publish(self, run_id: int | str, tree: DataFrame, output: DataFrame) -> DataFrame:
-        output = self.store.write(self.version, "output", output)
-        root = tree.where("level = 0").select("n").first()
-        records = root.n if root else (self.last["records"] if self.last else 0)
+        output = self.store.write(self.segment, "output", output).drop("segment")
+        # as many rows as there are segments
+        counts = tree.where(F.col("level") == self.levels).groupBy("o_segment").agg(F.sum("n").alias("n"), F.sum("o_n").alias("o_n")).collect()
+        own, outdated = sum(r.n for r in counts), {r.o_segment: r.o_n for r in counts}
+        segments = [] if self.whole else [[s, rows, live - outdated.get(s, 0)] for s, rows, live in self.segments]
+        segments = [s for s in segments if s[2] > 0] + [[self.segment, own, own]]
         about = {
-            "run_id": run_id, "levels": self.levels, "records": records,
-            "segments": [*self.segments, [self.number, self.version, "state"]], "trees": [*self.trees, [self.version, "tree"]],
+            "run_id": run_id, "levels": self.levels, "records": sum(s[2] for s in segments),
+            "segments": segments, "trees": [*([] if self.whole else self.trees), self.segment],
         }
-        self.store.publish(self.version, about)
+        self.store.publish(self.segment, about)
         self.store.clean()
         return output
 
@@ -336,14 +340,16 @@ def run_arrivals(
     best = lambda df: df.groupBy("kind", "key", "key_hash").agg(F.max(F.struct(*rank)).alias("x")).select("kind", "key", "key_hash", "x.*")
     state = arrivals.where(F.col("key").isNotNull()).withColumn("key_hash", key_hash()).select("kind", "key", "key_hash", *rank)
     if run.last:
-        run.merge(state.schema)
-        touched = state.select(node_at(run.levels).alias("node"))
-        leaves = run.saved_leaves().join(touched, "node", "left_semi")
+        run.grow(state.schema)
+    saved = run.nodes()
+    if run.last:
+        leaves = run.saved_leaves(saved)
+        if not run.whole:
+            leaves = leaves.join(state.select(node_at(run.levels).alias("node")), "node", "left_semi")
         state = run.records(state.schema, leaves).drop("node").unionByName(state)
-    state = run.store.write(run.version, "state", best(state))
+    state = run.store.write(run.segment, "state", best(state)).drop("segment")
     if not run.last:
         run.levels = levels_for(state.count(), leaf_records)
-    saved = run.nodes()
     old = saved.where(F.col("level") == run.levels) if saved is not None else None
     tree = run.add_tree(_beside(leaf_digests(state, run.levels), old), saved)
     changed = run.changed(state, changed_leaves(tree, run.levels), same)
@@ -361,7 +367,7 @@ def run_once(
 ) -> DataFrame:
     """Process the records (kind, key, content) of a whole table that are new or changed since the last published run.
 
-    The table is read and hashed; of the saved state only leaves that differ are read and
+    The table is read and hashed; of the saved state only leaves that differ are read, and
     written anew. Returns the published output, see run_arrivals. (kind, key) must be
     unique; records without key are left out. Records that are gone are no work, but leave
     the saved state. An empty table publishes an empty run.
@@ -372,15 +378,17 @@ def run_once(
         return done
     records = records.where(F.col("key").isNotNull()).select("kind", "key", "content").withColumn("key_hash", key_hash())
     if run.last:
-        run.merge(records.schema)
+        run.grow(records.schema)
     else:
         run.levels = levels_for(records.count(), leaf_records)
     saved = run.nodes()
     old = saved.where(F.col("level") == run.levels) if saved is not None else None
-    tree = run.add_tree(_beside(leaf_digests(records, run.levels), old, "full").where(differs()), saved)
+    both = _beside(leaf_digests(records, run.levels), old, "full")
+    tree = run.add_tree(both if run.whole else both.where(differs()), saved)
     leaves = changed_leaves(tree, run.levels)
-    in_leaves = records.withColumn("node", node_at(run.levels)).join(leaves, "node", "left_semi").drop("node")
-    state = run.store.write(run.version, "state", in_leaves)
+    if not run.whole:
+        records = records.withColumn("node", node_at(run.levels)).join(leaves, "node", "left_semi").drop("node")
+    state = run.store.write(run.segment, "state", records).drop("segment")
     changed = run.changed(state, leaves, same)
     return run.publish(run_id, tree, process(changed) if process else changed)
 
