@@ -41,7 +41,9 @@ from tracelake.runtime import cut
 
 FAN_BITS = 4
 #: Records a leaf should hold on average.
-LEAF_RECORDS = 16
+LEAF_RECORDS = 4
+#: Arrivals as a share of the saved records from which a run takes in the whole state: nearly every leaf is touched then.
+MANY_ARRIVALS = 0.25
 MAX_LEVELS = 12
 #: Segments of state and tree, and rows in segments to one row that counts, before one segment replaces them.
 MAX_SEGMENTS = 8
@@ -263,20 +265,28 @@ class _Run:
         newest = self.store.read(self.trees, "tree", NODE).groupBy("level", "node").agg(F.max(F.struct("segment", "h1", "h2", "n")).alias("x"))
         return newest.where("x.n > 0").select("level", "node", "x.*")
 
-    def records(self, schema: StructType, leaves: DataFrame) -> DataFrame:
-        """The saved records of leaves (node, segment), with their node; each leaf is read from its segment."""
+    def records(self, schema: StructType, leaves: DataFrame | None = None) -> DataFrame:
+        """The saved records, of leaves (node, segment) where that is given, with their node; each leaf is read from its segment."""
         rows = self.store.read([s[0] for s in self.segments], "state", schema).withColumn("node", node_at(self.levels))
-        return rows.join(leaves, ["node", "segment"], "left_semi").drop("segment")
+        if leaves is None and any(s[1] > s[2] for s in self.segments):
+            leaves = self.saved_leaves(self.nodes())
+        if leaves is not None:
+            rows = rows.join(leaves, ["node", "segment"], "left_semi")
+        return rows.drop("segment")
 
     def saved_leaves(self, saved: DataFrame) -> DataFrame:
         return saved.where(F.col("level") == self.levels).select("node", "segment")
 
+    def differing(self, tree: DataFrame) -> DataFrame:
+        """The leaves that differ, written out: where they are few, Spark sends them to the records and moves none."""
+        return cut(changed_leaves(tree, self.levels), "leaves")
+
     def grow(self, schema: StructType) -> None:
         """A deeper tree where the table has outgrown it: the saved state is written as one segment with a tree of its own."""
         fitting = levels_for(self.last["records"], self.leaf_records)
         if fitting <= self.levels + 1:
             return
-        base = self.store.write(self.segment, "state", self.records(schema, self.saved_leaves(self.nodes())).drop("node")).drop("segment")
+        base = self.store.write(self.segment, "state", self.records(schema).drop("node")).drop("segment")
         self.levels = fitting
         self.add_tree(_beside(leaf_digests(base, self.levels), None), None)
         self.segments, self.trees, self.whole = [[self.segment, self.last["records"], self.last["records"]]], [self.segment], True
@@ -343,16 +353,17 @@ def run_arrivals(
         run.grow(state.schema)
     saved = run.nodes()
     if run.last:
-        leaves = run.saved_leaves(saved)
+        run.whole = run.whole or state.count() >= MANY_ARRIVALS * run.last["records"]
+        leaves = None
         if not run.whole:
-            leaves = leaves.join(state.select(node_at(run.levels).alias("node")), "node", "left_semi")
+            leaves = run.saved_leaves(saved).join(state.select(node_at(run.levels).alias("node")), "node", "left_semi")
         state = run.records(state.schema, leaves).drop("node").unionByName(state)
     state = run.store.write(run.segment, "state", best(state)).drop("segment")
     if not run.last:
         run.levels = levels_for(state.count(), leaf_records)
     old = saved.where(F.col("level") == run.levels) if saved is not None else None
     tree = run.add_tree(_beside(leaf_digests(state, run.levels), old), saved)
-    changed = run.changed(state, changed_leaves(tree, run.levels), same)
+    changed = run.changed(state, run.differing(tree), same)
     return run.publish(run_id, tree, process(changed) if process else changed)
 
 
@@ -385,7 +396,7 @@ def run_once(
     old = saved.where(F.col("level") == run.levels) if saved is not None else None
     both = _beside(leaf_digests(records, run.levels), old, "full")
     tree = run.add_tree(both if run.whole else both.where(differs()), saved)
-    leaves = changed_leaves(tree, run.levels)
+    leaves = run.differing(tree)
     if not run.whole:
         records = records.withColumn("node", node_at(run.levels)).join(leaves, "node", "left_semi").drop("node")
     state = run.store.write(run.segment, "state", records).drop("segment")
