@@ -1,3 +1,7 @@
+import itertools
+import random
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,7 +45,8 @@ def test_umlauts_written_out(value, ref):
 
 
 def test_mentions_are_the_longest_that_do_not_overlap():
-    found = MATCHER.mentions("xcustomerorderwithdrawals")
+    run = "xcustomerorderwithdrawals"
+    found = MATCHER.mentions(MATCHER.found(run), len(run))
     assert [(m[2], m[3]) for m in found] == [(None, 0), ("withdrawal", None)]
     assert found[1][1] - found[1][0] == len("withdrawals")
 
@@ -76,7 +81,43 @@ def test_rows(rows, spark):
     assert got(K.map_values(rows([("a",)], "term string"), "term", reference.limit(0)), "ref_id") == [(None,)]
 
 
-def test_size_of_the_list_is_checked(rows, monkeypatch):
-    monkeypatch.setattr(K, "MAX_ENTRIES", 1)
-    with pytest.raises(ValueError):
-        K.map_values(rows([("a",)], "term string"), "term", rows([(1, "a"), (2, "b")], "ref_id long, name string"))
+def test_a_long_list_is_matched_in_blocks(rows, monkeypatch):
+    reference = rows(list(enumerate(NAMES)), "ref_id long, name string")
+    values = ["customer orders", "CustomerOrder", "whse. withdrawal", "order, customer", "withdrawal window", "срочный отзыв", "nothing", None, "no parcle notification twice", "limit splitting envelope per"]
+    data = rows([(i, v) for i, v in enumerate(values)], "id int, term string")
+    at_once = got(K.map_values(data, "term", reference), "id", "ref_id")
+    assert sum(r[1] is not None for r in at_once) == 8
+    monkeypatch.setattr(K, "MAX_ENTRIES", 2)
+    assert got(K.map_values(data, "term", reference), "id", "ref_id") == at_once
+
+
+def test_the_automaton_decides(monkeypatch):
+    """Names and words are found by the automaton only: without its mentions they are lost, but for values a slip away."""
+    found = {v: MATCHER.match(v) for v in ("customer order", "order, customer", "customer orders", "CustomerOrder", "cutomer order", "超时自·动解冻")}
+    assert {v: f[2] for v, f in found.items()} == {"customer order": "name", "order, customer": "words", "customer orders": "similar", "CustomerOrder": "name", "cutomer order": "similar", "超时自·动解冻": "name"}
+    monkeypatch.setattr(MATCHER, "found", lambda run: [])
+    assert MATCHER.match("order, customer") is None and MATCHER.match("order customers") is None and MATCHER.match("order cutomer") is None
+
+
+def test_one_word_names_are_names_and_words():
+    matcher = K.Matcher([(1, "refund"), (2, "refund order"), (3, "order")])
+    assert matcher.match("refund") == (1, 1.0, "name") and matcher.match("order refund") == (2, 0.99, "words") and matcher.match("refunds order")[0] == 2
+
+
+def test_many_ambiguous_words_take_no_time():
+    vocabulary = [a + b + c for a in ("pre", "pro", "pra", "pri") for b in ("cess", "duct", "gram", "ject", "test") for c in ("or", "er", "al", "ing")]
+    names = [(i, " ".join(random.Random(i).sample(vocabulary, 20))) for i in range(300)]
+    matcher = K.Matcher(names)
+    value = " ".join(w[:2] + w[3:6] for w in names[7][1].split())
+    matcher.match(value)
+    began = time.perf_counter()
+    assert matcher.match(value) is None or matcher.match(value)[2] == "similar"
+    assert time.perf_counter() - began < 0.5
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 5).flatmap(lambda n: st.lists(st.lists(st.sampled_from([0.0, 0.5, 0.75, 0.9, 1.0]), min_size=n, max_size=n), min_size=n, max_size=n)))
+def test_best_pairing(gains):
+    sums = [sum(gains[r][c] for r, c in enumerate(p)) for p in itertools.permutations(range(len(gains))) if all(gains[r][c] > 0 for r, c in enumerate(p))]
+    found = K.best_pairing(gains)
+    assert (found is None) == (not sums) and (not sums or abs(found - max(sums)) < 1e-9)
