@@ -33,6 +33,35 @@ def test_kinds(text, kinds):
     assert {k for k, v in zip(L.KINDS, L.kinds(text), strict=True) if v} == kinds
 
 
+@pytest.fixture
+def confusables(spark):
+    L.prepare(spark)
+
+
+@pytest.mark.parametrize(
+    "text, form",
+    [
+        ("ϲase", "case"), ("Ϲase", "Case"), ("λόγοϲ", "λόγος"), ("Ꭺpple", "Apple"), ("ꓐpple", "Bpple"), ("ⲟrder", "order"), ("paɡe", "page"), ("гoрод", "город"), ("ᏣᎳᎩ", "ᏣᎳᎩ"), ("ɡ", "ɡ"), ("订单order", "订单order"), ("µm", "μm"),
+        ("Ilık şişe", "Ilık şişe"), ("naïve œuvre þing", "naïve œuvre þing"),
+    ],
+)
+def test_look_alikes_of_every_script(confusables, text, form):
+    assert L.consistent(text) == form and L.consistent(form) == form
+    assert L.analysed(text)[0] == form
+
+
+def test_mixed_scripts_are_cases_in_every_script(confusables, rows):
+    data = [(i, t) for i, t in enumerate(["Ꭺpple", "ꓐpple", "ⲟrder", "ϲase", "订单order", "paɡe", "ᏣᎳᎩ", "µm", "жz"])]
+    found = got(L.unusual_texts(rows(data, "id int, text string"), "id", "text"), "record_id", "form")
+    assert found == [(0, "Apple"), (1, "Bpple"), (2, "order"), (3, "case"), (8, "жz")]
+
+
+def test_cases_come_through_the_splice(confusables, rows, monkeypatch):
+    assert [L.analysed(t)[1].index(True) for t in ("ｗ", "e\u0301", "o\ufb00", "a\u200bb", "a\u00a0b")] == [0, 1, 2, 3, 4]
+    monkeypatch.setattr(L, "_splice", lambda match: match.group())
+    assert not any(any(L.analysed(t)[1]) for t in ("ｗ", "e\u0301", "o\ufb00", "a\u200bb", "a\u00a0b"))
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=ODD, max_size=24) | st.text(max_size=16))
 def test_splicing_equals_the_whole_text(text):
@@ -41,7 +70,7 @@ def test_splicing_equals_the_whole_text(text):
     spliced = table.segment.sub(L._splice, text)
     assert spliced == unicodedata.normalize("NFC", text.translate(table.table))
     once = L.consistent(text)
-    assert L.consistent(once) == once
+    assert L.consistent(once) == once and L.analysed(text)[0] == once
 
 
 def test_column(rows):
