@@ -71,7 +71,7 @@ def test_edited_copies_score(rows):
     rng = random.Random(4)
     item = rng.choices(WORDS, k=40)
     edited = [w for i, w in enumerate(item) if i % 9 != 4] + ["tail"]
-    found = K.leaked(rows([(1, " ".join(edited)), (2, " ".join(rng.choices(WORDS, k=60)))], "doc_id long, text string"), rows([(9, " ".join(item))], "item_id long, text string"))
+    found = K.leaked(rows([(1, " ".join(edited)), (2, " ".join(rng.choices(WORDS, k=60)))], "doc_id long, text string"), rows([(9, " ".join(item))], "item_id long, text string"), edited=True)
     (row,) = found.collect()
     assert (row.doc_id, row.item_id) == (1, 9) and row.score > 0.7 and row.run < 13
 
@@ -88,6 +88,64 @@ def test_every_window_that_can_occur_has_a_seed():
     assert seeds <= counts.keys() and len(seeds) < len(counts) / 2
 
 
+def edit(rng, tokens, every):
+    """tokens with every so-manyth word replaced, left out or followed by another."""
+    out = []
+    for i, w in enumerate(tokens):
+        kind = rng.choice("rld") if i % every == every - 1 else "k"
+        out += {"r": ["other" + str(rng.randrange(99))], "l": [], "d": [w, "more"], "k": [w]}[kind]
+    return out
+
+
+def test_recall_of_edited_copies_against_aligning_everything(rows):
+    rng = random.Random(11)
+    items = [(i, " ".join(rng.choices(WORDS, k=rng.choice([1, 2, 3, 4, 6, 34, 50])))) for i in range(25)]
+    docs = []
+    for d in range(150):
+        item = rng.choice(items)[1].split()
+        body = rng.choices(WORDS, k=rng.randrange(0, 60))
+        docs.append((d, " ".join(body + edit(rng, item, rng.choice([2, 3, 4, 5, 9])) + body[::-1])))
+    wanted = set()
+    for d, text in docs:
+        tokens = text.split()
+        for i, body in items:
+            ids = {}
+            a = np.array([ids.setdefault(w, len(ids)) for w in tokens])
+            b = np.array([ids.get(w, -1) for w in body.split()])
+            if K.align(a, b)[0] >= K.COPY_SHARE * K.MATCH * len(b):
+                wanted.add((d, i))
+    found = set(got(K.leaked(rows(docs, "doc_id long, text string"), rows(items, "item_id long, text string"), edited=True), "doc_id", "item_id"))
+    # where a third of a short item is one word, no seed is left; all others are found
+    long = {i for i, body in items if len(body.split()) >= 6}
+    assert found <= wanted
+    assert len({p for p in found if p[1] in long}) >= 0.97 * len({p for p in wanted if p[1] in long})
+    assert all((d, i) in found for d, i in wanted if f" {dict(items)[i]} " in f" {dict(docs)[d]} ")
+
+
+def test_scores_are_those_of_the_whole_text(rows):
+    """An alignment may reach over three times the words of the item."""
+    item = [f"i{n}" for n in range(20)]
+    spread_out = [w for x in item[:15] for w in (x, "gap")] + item[15:]
+    docs = [(1, " ".join(["before"] * 30 + spread_out + ["behind"] * 30))]
+    (row,) = K.leaked(rows(docs, "doc_id long, text string"), rows([(1, " ".join(item))], "item_id long, text string"), edited=True).collect()
+    ids = {}
+    a = np.array([ids.setdefault(w, len(ids)) for w in docs[0][1].split()])
+    assert row.score == K.align(a, np.array([ids[w] for w in item]))[0] / 40
+
+
+def test_many_items_are_searched_in_blocks(rows, monkeypatch):
+    docs, items = corpus()
+    tables = rows(docs, "doc_id long, text string"), rows(items, "item_id long, text string")
+    monkeypatch.setattr(K, "MAX_ITEM_WORDS", 200)
+    assert got(K.leaked(*tables).select("doc_id", "item_id").distinct()) == brute(docs, items)
+
+
+def test_the_alignment_decides(rows, monkeypatch):
+    docs, items = corpus()
+    monkeypatch.setattr(K, "_score", lambda *_: [])
+    assert got(K.leaked(rows(docs, "doc_id long, text string"), rows(items, "item_id long, text string"))) == []
+
+
 def test_no_rows(rows):
     docs, items = rows([], "doc_id long, text string"), rows([], "item_id long, text string")
     some = rows([(1, "a b c d e f g")], "doc_id long, text string")

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.llm import looks
 from tracelake.llm.looks import consistent
 from tracelake.runtime import cut
 
@@ -316,10 +317,11 @@ def _order(match: str) -> Column:
 
 
 def _block_udf(spark: SparkSession, entries: list[tuple[int, str]], aliases: list[tuple[int, str]]):
-    shared, name = spark.sparkContext.broadcast((entries, aliases)), uuid.uuid4().hex
+    shared, name, more = spark.sparkContext.broadcast((entries, aliases)), uuid.uuid4().hex, looks.prepare(spark)
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        looks.install(more)
         match = lru_cache(REMEMBERED)(_matcher(name, shared).match)
         for batch in batches:
             found = [match(v) if isinstance(v, str) else None for v in batch]

@@ -1,24 +1,34 @@
 """Evaluation texts that leaked into training text.
 
-Both sides are words in consistent form without case. Of the word n-grams of the items,
-those that occur in the corpus are counted over all documents; in every window of
-MIN_RUN words of an item that can occur the rarest n-gram becomes a seed, so no run of that
-length can be without one, and so do the n-grams that only one item has. Documents with a seed are aligned to the seed's item by Smith-Waterman, in
-the parts of the document an alignment through the seed can reach. The alignment scores
-edited and paraphrased copies; the longest run of equal words decides on verbatim ones.
+Both sides are words in consistent form without case.
+
+Verbatim passages: of the word n-grams of the items, those that occur in the corpus are
+counted over all documents; in every window of MIN_RUN words of an item that can occur the
+rarest n-gram becomes a seed, so no run of that length can be without one.
+
+Edited copies: seeds are three words within four, in order, on either side. They survive a word
+replaced, added or left out among any two that stay, and items of fewer words are seeds as
+a whole.
+
+Documents with a seed are aligned to the seed's item by Smith-Waterman, in the parts of the
+document that an alignment through the seed can reach, unless the words there are too few
+for the score that is asked for. The score rates edited and paraphrased copies; verbatim
+ones must have a run of equal words in the alignment.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm import looks
 from tracelake.llm.looks import consistent
 from tracelake.runtime import cut, spread
 
@@ -26,7 +36,9 @@ from tracelake.runtime import cut, spread
 GRAM = 5
 #: Words in a row that make a verbatim copy.
 MIN_RUN = 13
-#: Words all items may have together; their n-grams are sent to all tasks.
+#: Share of the greatest score an item can reach that makes an edited copy.
+COPY_SHARE = 1 / 3
+#: Words of the items sent to all tasks at once; more items are searched for block by block.
 MAX_ITEM_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -35,18 +47,40 @@ _WORD = re.compile(r"[^\W_]+")
 _SPLIT = re.compile(r"(?<=[^\W_])[-‐‑­][ \t]*(?:\r\n|\r|\n)[ \t]*(?=[^\W_])")
 
 
+#: ASCII letters without case, digits as they are, anything else a blank.
+_PLAIN = str.maketrans({chr(c): chr(c).lower() if chr(c).isalnum() else " " for c in range(128)})
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text: runs of letters and digits in consistent form, without case."""
     if not text:
         return []
-    text = consistent(_SPLIT.sub("", consistent(text)))
-    return _WORD.findall(text.casefold())
+    text = consistent(text)
+    if "\n" in text or "\r" in text:
+        joined = _SPLIT.sub("", text)
+        if len(joined) < len(text):
+            text = consistent(joined)
+    return text.translate(_PLAIN).split() if text.isascii() else _WORD.findall(text.casefold())
 
 
 def grams(tokens: list[str]) -> list[str]:
     return [" ".join(tokens[i : i + GRAM]) for i in range(len(tokens) - GRAM + 1)]
 
 
+def triples(tokens: list) -> Iterator[tuple[int, tuple]]:
+    """(position, words) of every three words within four, the first of them at position; of fewer than three words all of them."""
+    n = len(tokens)
+    if 0 < n < 3:
+        yield 0, tuple(tokens)
+    for i in range(n - 2):
+        a, b, c = tokens[i : i + 3]
+        yield i, (a, b, c)
+        if i + 3 < n:
+            d = tokens[i + 3]
+            yield i, (a, b, d)
+            yield i, (a, c, d)
+
+
 class Items:
     """The words of the items' texts, by row, as an item may have several texts, and the numbers of their n-grams."""
 
@@ -63,20 +97,27 @@ class Items:
     def seeds(self, counts: dict[int, int]) -> set[int]:
         """Numbers of the n-grams to join by, from the documents that have each (none: not in the corpus).
 
-        Of each window of MIN_RUN words (of the whole item where it is shorter) that the
-        corpus can have, the rarest: a document with the window has all its n-grams. To
-        find edited copies, every n-gram that the corpus has and no other item shares.
+        Of each window of MIN_RUN words that the corpus can have, the rarest: a document with
+        the window has all its n-grams.
         """
-        out = {n for n, places in self.places.items() if n in counts and len({self.item[row] for row, _ in places}) == 1}
+        out = set()
         for tokens in self.words.values():
             numbers = [self.number[g] for g in grams(tokens)]
-            width = min(MIN_RUN - GRAM + 1, len(numbers))
-            for i in range(len(numbers) - width + 1 if numbers else 0):
+            width = MIN_RUN - GRAM + 1
+            for i in range(len(numbers) - width + 1):
                 window = numbers[i : i + width]
                 if all(n in counts for n in window):
                     out.add(min(window, key=lambda n: (counts[n], n)))
         return out
 
+    def triple_places(self) -> dict[tuple, list[tuple[int, int]]]:
+        """(row, position) of every triple of the items."""
+        out: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        for row, tokens in self.words.items():
+            for at, triple in triples(tokens):
+                out[triple].append((row, at))
+        return dict(out)
+
 
 def align(document: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     """(Smith-Waterman score, longest run of equal words) of two arrays of word numbers."""
@@ -96,8 +137,13 @@ def align(document: np.ndarray, item: np.ndarray) -> tuple[int, int]:
 
 
 def _reach(places: list[tuple[int, int]], item_length: int, document_length: int) -> list[tuple[int, int]]:
-    """Parts of the document an alignment through one of the (position in document, position in item) can cover."""
-    spans = sorted((max(0, d - 2 * i - GRAM), min(document_length, d + 2 * (item_length - i) + GRAM)) for d, i in places)
+    """Parts of the document an alignment through one of the (position in document, position in item) can cover.
+
+    i words of the item score MATCH each at most, and every other word of the document costs
+    a gap, so an alignment that pays takes no more than i and MATCH times i words before the seed.
+    """
+    wide = 1 + MATCH // -GAP
+    spans = sorted((max(0, d - wide * i - GRAM), min(document_length, d + wide * (item_length - i) + GRAM)) for d, i in places)
     out: list[tuple[int, int]] = []
     for low, high in spans:
         if out and low <= out[-1][1]:
@@ -107,45 +153,77 @@ def _reach(places: list[tuple[int, int]], item_length: int, document_length: int
     return out
 
 
-def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, item_id, score, run) of the document and item pairs that share a seed.
+def _score(tokens: list[str], met: dict[int, list[tuple[int, int]]], item_of: list, row_words: dict[int, list[str]], edited: bool) -> list[tuple]:
+    """(item, score, run) of the items whose rows are met in the document at (position in document, position in item)."""
+    ids: dict[str, int] = {}
+    numbers = np.fromiter((ids.setdefault(w, len(ids)) for w in tokens), dtype=np.int64, count=len(tokens))
+    of_item: dict = {}
+    for row, pairs in met.items():
+        wanted = np.array([ids.get(w, -1) for w in row_words[row]], dtype=np.int64)
+        best = longest = 0
+        least = COPY_SHARE * MATCH * len(wanted) if edited else MATCH * MIN_RUN
+        for low, high in _reach(pairs, len(wanted), len(tokens)):
+            # no alignment scores more than the words it can match
+            if MATCH * int(np.isin(wanted, numbers[low:high]).sum()) >= least:
+                a, b = align(numbers[low:high], wanted)
+                best, longest = max(best, a), max(longest, b)
+        if best >= least and (edited or longest >= MIN_RUN):
+            share, run = of_item.get(item_of[row], (0.0, 0))
+            of_item[item_of[row]] = max(share, best / (MATCH * len(wanted))), max(run, longest)
+    return [(item, share, run) for item, (share, run) in of_item.items()]
+
+
+def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", edited: bool = False) -> DataFrame:
+    """(key, item_id, score, run) of the documents with MIN_RUN words in a row of an item, or, if edited, with a copy of COPY_SHARE.
 
     items: item_id, text; an item with several texts is found by any of them, with the
     greatest score and run. score is the alignment's score as a share of the greatest one
-    the item can reach, run the longest run of equal words. Items are read to the driver
-    after their size is checked. Rows with null key or text,
-    and blank texts, hold nothing. Repeated keys give repeated rows only if their texts
-    differ in result. No items or documents: no rows.
+    the item can reach, run the longest run of equal words in it. Items are read to the
+    driver, in blocks of MAX_ITEM_WORDS. Rows with null key or text, and blank texts, hold
+    nothing. Repeated rows are listed once. No items or documents: no rows.
     """
-    listed = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
+    listed = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     size = listed.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    if size > MAX_ITEM_WORDS:
-        raise ValueError(f"the items have more than {MAX_ITEM_WORDS} words")
-    spark = documents.sparkSession
-    known = Items(sorted((r.item_id, r.text) for r in listed.distinct().collect()))
+    blocks = max(1, -(-size // MAX_ITEM_WORDS))
+    rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    kinds = {"id": dict(documents.dtypes)[key], "item_id": dict(items.dtypes)["item_id"]}
+    search = _edited if edited else _verbatim
+    found = None
+    for block in range(blocks):
+        part = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else listed
+        one = search(rows, Items(sorted((r.item_id, r.text) for r in part.collect())), kinds)
+        found = one if found is None else found.unionByName(one)
+    return found.distinct().withColumnRenamed("id", key)
+
+
+def _verbatim(rows: DataFrame, known: Items, kinds: dict[str, str]) -> DataFrame:
+    spark, more = rows.sparkSession, looks.prepare(rows.sparkSession)
     number = spark.sparkContext.broadcast(known.number)
-    kind = dict(documents.dtypes)[key]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = number.value
+        looks.install(more)
+        automaton = ahocorasick.Automaton()
+        for gram, n in number.value.items():
+            automaton.add_word(f" {gram} ", n)
+        if number.value:
+            automaton.make_automaton()
         for batch in batches:
             keys, texts, found = [], [], []
             for k, body in zip(batch["id"], batch["text"], strict=True):
-                tokens = words(body)
-                hits = {n for n in map(look.get, grams(tokens)) if n is not None}
+                line = f" {' '.join(words(body))} "
+                hits = {n for _, n in automaton.iter(line)} if number.value else None
                 if hits:
                     keys.append(k)
-                    texts.append(" ".join(tokens))
+                    texts.append(line[1:-1])
                     found.append(sorted(hits))
             if keys:
                 yield pd.DataFrame({"id": keys, "words": texts, "grams": found})
 
-    rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    with_grams = spread(rows).mapInPandas(find, f"id {kind}, words string, grams array<int>")
-    with_grams = cut(with_grams, "leaks")
+    with_grams = cut(spread(rows).mapInPandas(find, f"id {kinds['id']}, words string, grams array<int>"), "leaks")
     # as many rows as the items have n-grams
     counts = {r.g: r.n for r in with_grams.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     seeds = known.seeds(counts)
+    seeded = with_grams.where(F.arrays_overlap("grams", F.array(*[F.lit(n) for n in sorted(seeds)]))) if 0 < len(seeds) <= 1000 else with_grams
     shared = spark.sparkContext.broadcast((known.item, known.words, {g: n for g, n in known.number.items() if n in seeds}, {n: known.places[n] for n in seeds}))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,23 +238,43 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
                     if n is not None:
                         for row, where in places[n]:
                             met[row].append((at, where))
-                if not met:
-                    continue
-                ids: dict[str, int] = {}
-                numbers = np.fromiter((ids.setdefault(w, len(ids)) for w in tokens), dtype=np.int64, count=len(tokens))
-                of_item: dict = {}
-                for row, pairs in met.items():
-                    wanted = np.array([ids.get(w, -1) for w in row_words[row]], dtype=np.int64)
-                    best = longest = 0
-                    for low, high in _reach(pairs, len(wanted), len(tokens)):
-                        a, b = align(numbers[low:high], wanted)
-                        best, longest = max(best, a), max(longest, b)
-                    share, run = of_item.get(item_of[row], (0.0, 0))
-                    of_item[item_of[row]] = max(share, best / (MATCH * len(wanted))), max(run, longest)
-                out.extend((k, item, share, run) for item, (share, run) in of_item.items())
+                if met:
+                    out.extend((k, *found) for found in _score(tokens, met, item_of, row_words, False))
+            if out:
+                yield pd.DataFrame(out, columns=["id", "item_id", "score", "run"])
+
+    return spread(seeded.select("id", "words")).mapInPandas(score, f"id {kinds['id']}, item_id {kinds['item_id']}, score double, run int")
+
+
+def _edited(rows: DataFrame, known: Items, kinds: dict[str, str]) -> DataFrame:
+    spark, more = rows.sparkSession, looks.prepare(rows.sparkSession)
+    shared = spark.sparkContext.broadcast((known.item, known.words, known.triple_places()))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        looks.install(more)
+        item_of, row_words, places = shared.value
+        vocabulary = {w for tokens in row_words.values() for w in tokens}
+        short = {len(t) for t in places if len(t) < 3}
+        least = {row: COPY_SHARE * len(tokens) for row, tokens in row_words.items()}
+        bags = {row: Counter(tokens) for row, tokens in row_words.items()}
+        for batch in batches:
+            out: list[tuple] = []
+            for k, body in zip(batch["id"], batch["text"], strict=True):
+                tokens = words(body)
+                met: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                for at, triple in triples([w if w in vocabulary else None for w in tokens]):
+                    for row, where in places.get(triple, ()):
+                        met[row].append((at, where))
+                for n in short:
+                    for at in range(len(tokens) - n + 1):
+                        for row, where in places.get(tuple(tokens[at : at + n]), ()):
+                            met[row].append((at, where))
+                present = set(tokens)
+                # rows of which the whole document has too few words need no closer look
+                met = {row: at for row, at in met.items() if sum(n for w, n in bags[row].items() if w in present) >= least[row]}
+                if met:
+                    out.extend((k, *found) for found in _score(tokens, met, item_of, row_words, True))
             if out:
                 yield pd.DataFrame(out, columns=["id", "item_id", "score", "run"])
 
-    item_kind = dict(items.dtypes)["item_id"]
-    scored = spread(with_grams.select("id", "words")).mapInPandas(score, f"id {kind}, item_id {item_kind}, score double, run int").distinct()
-    return scored.withColumnRenamed("id", key)
+    return spread(rows).mapInPandas(score, f"id {kinds['id']}, item_id {kinds['item_id']}, score double, run int")
