@@ -119,21 +119,36 @@ class Items:
         return dict(out)
 
 
+def align_many(document: np.ndarray, items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(Smith-Waterman scores, longest runs of equal words) of a document against items, all arrays of word numbers."""
+    width = max(map(len, items))
+    grid = np.full((len(items), width), -2, dtype=np.int32)
+    for i, item in enumerate(items):
+        grid[i, : len(item)] = item
+    steps = np.arange(width, dtype=np.int32) * -GAP
+    above = np.zeros((len(items), width + 1), dtype=np.int32)
+    runs = np.zeros((len(items), width + 1), dtype=np.int32)
+    best, longest = np.zeros((len(items), width), dtype=np.int32), np.zeros((len(items), width), dtype=np.int32)
+    for word in document.tolist():
+        if word < 0:
+            # the word is in no item: nothing matches, and what was reached loses a gap or a mismatch
+            new = np.maximum(above[:, :-1] + MISMATCH, above[:, 1:] + GAP)
+            runs[:, 1:] = 0
+        else:
+            same = grid == word
+            new = np.maximum(above[:, :-1] + np.where(same, MATCH, MISMATCH), above[:, 1:] + GAP)
+            runs[:, 1:] = np.where(same, runs[:, :-1] + 1, 0)
+            np.maximum(longest, runs[:, 1:], out=longest)
+        new = np.maximum.accumulate(np.maximum(new, 0) + steps, axis=1) - steps
+        above[:, 1:] = new
+        np.maximum(best, new, out=best)
+    return best.max(axis=1, initial=0), longest.max(axis=1, initial=0)
+
+
 def align(document: np.ndarray, item: np.ndarray) -> tuple[int, int]:
-    """(Smith-Waterman score, longest run of equal words) of two arrays of word numbers."""
-    steps = np.arange(len(item)) * -GAP
-    above = np.zeros(len(item) + 1, dtype=np.int64)
-    runs = np.zeros(len(item) + 1, dtype=np.int64)
-    best = longest = 0
-    for word in document:
-        same = item == word
-        new = np.maximum(above[:-1] + np.where(same, MATCH, MISMATCH), above[1:] + GAP)
-        new = np.maximum(new, 0)
-        new = np.maximum.accumulate(new + steps) - steps
-        above[1:] = new
-        runs[1:] = np.where(same, runs[:-1] + 1, 0)
-        best, longest = max(best, int(new.max())), max(longest, int(runs.max()))
-    return best, longest
+    """align_many for one item."""
+    scores, runs = align_many(document, [item])
+    return int(scores[0]), int(runs[0])
 
 
 def _reach(places: list[tuple[int, int]], item_length: int, document_length: int) -> list[tuple[int, int]]:
@@ -156,20 +171,40 @@ def _reach(places: list[tuple[int, int]], item_length: int, document_length: int
 def _score(tokens: list[str], met: dict[int, list[tuple[int, int]]], item_of: list, row_words: dict[int, list[str]], edited: bool) -> list[tuple]:
     """(item, score, run) of the items whose rows are met in the document at (position in document, position in item)."""
     ids: dict[str, int] = {}
-    numbers = np.fromiter((ids.setdefault(w, len(ids)) for w in tokens), dtype=np.int64, count=len(tokens))
-    of_item: dict = {}
+    for row in met:
+        for word in row_words[row]:
+            ids.setdefault(word, len(ids))
+    # words that no item has are -1
+    numbers = np.fromiter((ids.get(w, -1) for w in tokens), dtype=np.int32, count=len(tokens))
+    wanted = {row: np.array([ids[w] for w in row_words[row]], dtype=np.int32) for row in met}
+    least = {row: COPY_SHARE * MATCH * len(wanted[row]) if edited else MATCH * MIN_RUN for row in met}
+    spans: dict[tuple[int, int], list[int]] = {}
     for row, pairs in met.items():
-        wanted = np.array([ids.get(w, -1) for w in row_words[row]], dtype=np.int64)
-        best = longest = 0
-        least = COPY_SHARE * MATCH * len(wanted) if edited else MATCH * MIN_RUN
-        for low, high in _reach(pairs, len(wanted), len(tokens)):
+        for span in _reach(pairs, len(wanted[row]), len(tokens)):
+            spans.setdefault(span, []).append(row)
+    best: dict[int, tuple[int, int]] = {}
+    low, high, rows = 0, -1, set()
+    for (start, end), here in [*sorted(spans.items()), ((len(tokens) + 1, len(tokens) + 1), [])]:
+        if start <= high:
+            high = max(high, end)
+            rows.update(here)
+            continue
+        if rows:
+            part = numbers[low:high]
+            present = np.zeros(len(ids), dtype=bool)
+            present[part[part >= 0]] = True
             # no alignment scores more than the words it can match
-            if MATCH * int(np.isin(wanted, numbers[low:high]).sum()) >= least:
-                a, b = align(numbers[low:high], wanted)
-                best, longest = max(best, a), max(longest, b)
-        if best >= least and (edited or longest >= MIN_RUN):
+            able = [row for row in rows if MATCH * int(present[wanted[row]].sum()) >= least[row]]
+            if able:
+                for row, score, run in zip(able, *align_many(part, [wanted[row] for row in able]), strict=True):
+                    known = best.get(row, (0, 0))
+                    best[row] = max(known[0], int(score)), max(known[1], int(run))
+        low, high, rows = start, end, set(here)
+    of_item: dict = {}
+    for row, (score, longest) in best.items():
+        if score >= least[row] and (edited or longest >= MIN_RUN):
             share, run = of_item.get(item_of[row], (0.0, 0))
-            of_item[item_of[row]] = max(share, best / (MATCH * len(wanted))), max(run, longest)
+            of_item[item_of[row]] = max(share, score / (MATCH * len(wanted[row]))), max(run, longest)
     return [(item, share, run) for item, (share, run) in of_item.items()]
 
 
