@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tests.conftest import got
 from tracelake.llm import truncation as K
@@ -55,3 +57,24 @@ def test_no_rows_and_long_texts(rows):
     assert K.cut_texts(rows([], "doc_id long, text string")).count() == 0
     long = "word and more of it " * 20_000
     assert got(K.cut_texts(rows([(1, long + "."), (2, long), (3, "x" * 300_000)], "doc_id int, text string")), "doc_id") in ([], [(2,)])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n", "…", ".", "..", "-", "--", ">", "[cut]", "(more)", "<read more here>", "[", "]", "wort", "a.", "[…]", "(..)", "�", "~", ")"]), max_size=9).map("".join))
+def test_marks_are_stripped_from_the_end(text):
+    assert K.stripped(text) == K.MARKS.sub("", text)
+
+
+def test_words_of_any_length(rows):
+    """A cut inside a very long word is seen too."""
+    name = "a" * 70 + "bcdefghij" * 30
+    data = [(i, f"The key is {name} and it ends here.") for i in range(4)] + [(10, f"Fine. The key is {name[:200]}"), (11, f"Fine. The key is {name[:71]}"), (12, "The key is " + "a" * 64)]
+    data = [(i, t + (f" Another {i} one." if i < 4 else "")) for i, t in data]
+    assert got(K.cut_texts(rows(data, "doc_id long, text string"))) == [(10,), (11,), (12,)]
+
+
+def test_contexts_met_by_a_shuffle_decide_alike(rows, monkeypatch):
+    data = rows([(i, t) for i, t in enumerate(WHOLE * 2)] + [(100 + i, t) for i, t in enumerate(CUT)], "doc_id long, text string")
+    found = got(K.judged_texts(data))
+    monkeypatch.setattr(K, "SENT_CONTEXTS", 0)
+    assert got(K.judged_texts(data)) == found and len(found) == len(CUT)

@@ -151,12 +151,17 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_texts(table(spark, folder, "documents"))
 
 
+def p9_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """How many cut documents a prefix of each length shows; 16 is a prefix from the start of a unit, or of 16 tokens; null a mark alone."""
+    return truncation.judged_texts(table(spark, folder, "documents")).groupBy("k").agg(F.count(F.lit(1)).alias("n_cut"))
+
+
 def p9_sources(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return truncation.cut_shares(documents, truncation.cut_texts(documents))
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p7_found": p7_found, "p7_copies": p7_copies, "p9_found": p9_found, "p9_sources": p9_sources, "p6_found": p6_found, "p6_coverage": p6_coverage, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_rated": p4_rated, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found}
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p7_found": p7_found, "p7_copies": p7_copies, "p9_found": p9_found, "p9_sources": p9_sources, "p9_lengths": p9_lengths, "p6_found": p6_found, "p6_coverage": p6_coverage, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_rated": p4_rated, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found}
 
 _ODD = (
     r"[\x{ff01}-\x{ff5e}]|[\x{fb00}-\x{fb06}]|[\x{200b}-\x{200f}\x{2060}\x{feff}\x{ad}]|[\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]|[\x{300}-\x{36f}]"

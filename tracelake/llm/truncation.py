@@ -10,8 +10,9 @@ signatures and references are.
 The look-up is a self-join by hashed prefixes of a fixed number of tokens. The longest
 prefix counts that a few other units share: up to 16 tokens back, to the start of the
 unit, and where they do not, the last few tokens only. Numbers count as equal. Units
-are reduced to distinct ones with their counts, and contexts to those that are in question,
-before they are joined.
+are reduced to distinct ones with their counts; the prefixes of all units are hashed at once in
+arrays, and those that nothing asks for are left out where they are made, so only what can
+decide a question is shuffled.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import regex
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.runtime import cut, tasks
+from tracelake.runtime import cut, spread, tasks
 
 #: Lengths of prefixes in tokens, the longest first; only the first may begin at the start of a unit.
 LENGTHS = (16, 6, 4, 3, 2)
@@ -33,6 +37,10 @@ LENGTHS = (16, 6, 4, 3, 2)
 SHORT = 2
 #: Other units a prefix should be met in; where no prefix is, the longest one met at all counts.
 WITNESSES = 3
+#: Contexts in question that are sent to all tasks (8 bytes each); more of them are met by a shuffle.
+SENT_CONTEXTS = 1_000_000
+#: Letters up to which every beginning of a word is looked up by itself; longer pieces are compared with the words they may begin.
+LONG_PIECE = 64
 #: Units a task counts before it passes them on.
 HELD_UNITS = 100_000
 START = "\u0002"
@@ -43,6 +51,9 @@ CUT_WORDS = "cut|cut off|more|read more|trunc|truncated|snip|snipped|continued|c
 MARKS = re.compile(
     rf"(?:\s|�|…|\.{{2,}}|[-–—>»~]{{2,}}|[\[(<{{]\s*(?:(?:{CUT_WORDS})\b[^\])>}}]*|…|\.{{2,}})[\])>}}])+$", re.IGNORECASE
 )
+#: The last mark of a cut within brackets, and what else may stand behind a cut.
+_BRACKETED = re.compile(rf"[\[(<{{]\s*(?:(?:{CUT_WORDS})\b[^\])>}}]*|…|\.{{2,}})[\])>}}]\Z", re.IGNORECASE)
+_TRAILING = " \t\r\n\f\v…�"
 _UNITS = re.compile(r"(?<=[.!?])\s+|(?<=[。？！])|[\r\n]+")
 _TOKENS = re.compile(r"[⺀-鿿]|[^\W\d_⺀-鿿]+|\d+|[^\w\s]|_+")
 #: A line that opens or closes a block of code.
@@ -55,9 +66,37 @@ def tokens(unit: str) -> str:
     return " ".join("0" if t.isdigit() else t for t in _TOKENS.findall(unit))
 
 
+def stripped(text: str) -> str:
+    """text without the marks of a cut and blanks behind it: what MARKS.sub("", text) leaves, looking at the end only."""
+    end = len(text)
+    while end:
+        last = text[end - 1]
+        if last.isspace() or last in _TRAILING:
+            end -= 1
+        elif last in ".-–—>»~" and (n := _repeated(text, end, last)):
+            end -= n
+        elif last in "])>}":
+            opened = max(text.rfind(c, 0, end) for c in "[(<{")
+            if opened < 0 or not _BRACKETED.match(text, opened, end):
+                break
+            end = opened
+        else:
+            break
+    return text[:end]
+
+
+def _repeated(text: str, end: int, last: str) -> int:
+    """How many characters of the mark that ends at end there are: dots, or dashes and arrows; 0 if it is but one."""
+    run = "." if last == "." else "-–—>»~"
+    at = end
+    while at and text[at - 1] in run:
+        at -= 1
+    return end - at if end - at > 1 else 0
+
+
 def units(text: str) -> tuple[list[str], str | None, bool, bool]:
     """(units before the last, the last one, whether it is in question, whether a mark of a cut was behind it)."""
-    return _body_units(text, MARKS.sub("", text))
+    return _body_units(text, stripped(text))
 
 
 def _body_units(text: str, body: str) -> tuple[list[str], str | None, bool, bool]:
@@ -79,7 +118,7 @@ def _split():
         for batch in batches:
             keys, last, marks, bodies = [], [], [], []
             for k, text, counts in zip(batch["id"], batch["text"], batch["counts"], strict=True):
-                body = MARKS.sub("", text)
+                body = stripped(text)
                 before, end, open_, mark = _body_units(text, body)
                 if counts:
                     held.update(before)
@@ -101,71 +140,123 @@ def _split():
     return run
 
 
-def _contexts(unit_rows: DataFrame) -> DataFrame:
-    """(*, k, ctx, token, next): every token of each unit with the hash of what comes before it, for each length.
+#: What can begin a unit of its own.
+_OPENS = regex.compile(r"[\p{Lu}#*•=|\[`(>-]")
+_STOP, _ON, _START = 0, 1, 2
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes with every bit depending on every other."""
+    h = h ^ (h >> np.uint64(32))
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
 
-    next is 'stop' at the end of the unit, 'start' where what follows could begin a unit
-    of its own that was put on the same line, else 'on'. Letter case does not count.
+def contexts(rows: list[str], last_only: bool = False) -> pd.DataFrame:
+    """(row, token, next, k, ctx): every token of the units, or their last ones, with the hash of what comes before it, for each length.
+
+    next is _STOP at the end of the unit, _START where what follows could begin a unit of
+    its own that was put on the same line, else _ON. Letter case does not count.
     """
-    x = unit_rows.withColumn("t", F.split(F.concat(F.lit(START + " "), F.lower("unit")), " ")).withColumn("raw", F.split("unit", " "))
-    x = x.select("*", F.explode(F.sequence(F.lit(1), F.size("t") - 1)).alias("i"))
-    # i counts from 0 in t: t[i] is the token, slices before it make the context
-    by_length = [
-        F.struct(
-            F.lit(k).alias("k"),
-            F.when(F.col("i") >= k, F.xxhash64(F.lit(k), F.slice("t", F.col("i") - k + 1, F.lit(k))))
-            .when(F.lit(j == 0), F.xxhash64(F.lit(k), F.slice("t", F.lit(1), F.col("i"))))
-            .alias("ctx"),
-        )
-        for j, k in enumerate(LENGTHS)
-    ]
-    token, after = F.element_at("t", F.col("i") + 1), F.get("raw", F.col("i"))
-    follows = F.when(F.col("i") == F.size("t") - 1, "stop").when(after.rlike(r"^[\p{Lu}#*•=|\[`(>-]"), "start").otherwise("on")
-    x = x.select(*unit_rows.columns, token.alias("token"), follows.alias("next"), F.explode(F.array(*by_length)).alias("c"))
-    return x.select(*unit_rows.columns, "token", "next", "c.k", "c.ctx").where("ctx IS NOT NULL")
+    raw = [unit.split(" ") for unit in rows]
+    lengths = np.array([len(r) + 1 for r in raw], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    flat = [t for r in raw for t in (START, *r)]
+    codes, names = pd.factorize(np.array(flat, dtype=object))
+    lower = np.array([n.lower() for n in names], dtype=object)
+    hashes = np.array([xxhash.xxh3_64_intdigest(n.encode("utf-8", "surrogatepass")) for n in lower], dtype=np.uint64)[codes]
+    opens = np.array([bool(_OPENS.match(n)) for n in names])[codes]
+    row = np.repeat(np.arange(len(rows)), lengths)
+    at = np.arange(len(flat)) - first[row]
+    ends = at == lengths[row] - 1
+    follows = np.where(ends, _STOP, np.where(np.roll(opens, -1), _START, _ON)).astype(np.int8)
+    wanted = ends & (at > 0) if last_only else at > 0
+    out = []
+    acc = np.zeros(len(flat), dtype=np.uint64)
+    for m in range(1, LENGTHS[0] + 1):
+        before = np.zeros(len(flat), dtype=np.uint64)
+        before[m:] = hashes[:-m]
+        before[at < m] = 0
+        acc = acc * np.uint64(0x9E3779B97F4A7C15) + before
+        if m in LENGTHS:
+            here = np.flatnonzero(wanted if m == LENGTHS[0] else wanted & (at >= m))
+            out.append(pd.DataFrame({"row": row[here], "token": lower[codes[here]], "next": follows[here], "k": np.int32(m), "ctx": _mixed(acc[here] + np.uint64(m)).view(np.int64)}))
+    return pd.concat(out, ignore_index=True)
+
+
+_SEEN = "k int, ctx bigint, token string, stops bigint, goes_on bigint, maybe bigint"
+
+
+def _seen(asked: np.ndarray | None):
+    """Counts (unit, n_before, n_last) to what follows each context of asked (sorted), or each context at all, added up within a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            x = contexts(batch["unit"].tolist())
+            if asked is not None:
+                place = np.minimum(np.searchsorted(asked, x["ctx"].to_numpy()), max(len(asked) - 1, 0))
+                x = x[asked[place] == x["ctx"].to_numpy()] if len(asked) else x[:0]
+            if x.empty:
+                continue
+            before, last = batch["n_before"].to_numpy()[x["row"]], batch["n_last"].to_numpy()[x["row"]]
+            follows = x["next"].to_numpy()
+            counts = {"stops": np.where(follows == _STOP, before + last, 0), "goes_on": np.where(follows == _ON, before, 0), "maybe": np.where(follows == _START, before, 0)}
+            yield x[["k", "ctx", "token"]].assign(**counts).groupby(["k", "ctx", "token"], as_index=False, sort=False).sum()
+
+    return run
+
+
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if not batch.empty:
+            x = contexts(batch["unit"].tolist(), last_only=True)
+            yield pd.DataFrame({"unit": batch["unit"].to_numpy()[x["row"]], "own": batch["own"].to_numpy()[x["row"]], "k": x["k"], "ctx": x["ctx"], "piece": x["token"]})
 
 
 def cut_units(counted: DataFrame, questions: DataFrame) -> DataFrame:
-    """(unit, verdict): cut or complete, for the units of questions (unit, own) that other units tell something about.
+    """(unit, verdict, k): cut or complete, for the units of questions (unit, own) that other units tell something about.
 
     counted: unit, n_before (times it is followed or closed) and n_last (distinct texts it
     ends unclosed). One of the texts that end with the unit is not a witness: it is the one in
-    question. own is how often the unit is found in all.
+    question. own is how often the unit is found in all. k is the length of the prefix that decided.
     """
-    asked = _contexts(questions).where("next = 'stop'").select("unit", "own", "k", "ctx", F.col("token").alias("piece"))
-    seen = _contexts(counted).join(asked.select("ctx").distinct(), "ctx", "left_semi")
-    total = lambda kind, n: F.sum(F.when(F.col("next") == kind, n).otherwise(0))
-    seen = seen.groupBy("k", "ctx", "token").agg(
-        total("stop", F.col("n_before") + F.col("n_last")).alias("stops"),
-        total("on", F.col("n_before")).alias("goes_on"),
-        total("start", F.col("n_before")).alias("maybe"),
-    )
+    spark = counted.sparkSession
+    asked = cut(spread(questions).mapInPandas(_asked, "unit string, own bigint, k int, ctx bigint, piece string"), "truncation-asked")
+    keys = asked.select("ctx").distinct()
+    if keys.count() <= SENT_CONTEXTS:
+        sent = np.sort(keys.toPandas()["ctx"].to_numpy(dtype=np.int64))
+        seen = spread(counted).mapInPandas(_seen(sent), _SEEN)
+    else:
+        seen = spread(counted).mapInPandas(_seen(None), _SEEN).join(keys, "ctx", "left_semi")
+    seen = seen.groupBy("k", "ctx", "token").agg(*[F.sum(c).alias(c) for c in ("stops", "goes_on", "maybe")])
     # a token is met as a whole, and by each of its beginnings
-    whole = seen.select("k", "ctx", F.col("token").alias("piece"), "stops", "goes_on", "maybe", F.lit(True).alias("whole"))
-    beginnings = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda n: F.substring("token", F.lit(1), n))
     none = F.lit(0).cast("long")
-    begun = seen.where(F.col("token").rlike(r"^\p{L}{2,64}$")).select(
-        "k", "ctx", F.explode(beginnings).alias("piece"), none.alias("stops"),
-        (F.col("stops") + F.col("goes_on") + F.col("maybe")).alias("goes_on"), none.alias("maybe"), F.lit(False).alias("whole"),
-    )
     met = F.col("stops") + F.col("goes_on") + F.col("maybe")
-    pieces = whole.unionByName(begun).groupBy("k", "ctx", "piece").agg(
-        *[F.sum(c).alias(c) for c in ("stops", "goes_on", "maybe")], F.sum(F.when(F.col("whole"), met).otherwise(0)).alias("whole")
-    )
+    whole = seen.select("k", "ctx", F.col("token").alias("piece"), "stops", "goes_on", "maybe", met.alias("whole"))
+    words = seen.where(F.col("token").rlike(r"^\p{L}{2,}$")).select("k", "ctx", "token", met.alias("n"))
+    lengths = F.sequence(F.lit(1), F.least(F.length("token") - 1, F.lit(LONG_PIECE)))
+    begun = words.select("k", "ctx", F.explode(F.transform(lengths, lambda n: F.substring("token", F.lit(1), n))).alias("piece"), "n")
+    # a piece longer than that meets the words that share so many letters, and is compared with them
+    long = words.where(F.length("token") > LONG_PIECE + 1).withColumn("start", F.substring("token", 1, LONG_PIECE))
+    pieces = asked.where(F.length("piece") > LONG_PIECE).select("k", "ctx", "piece", F.substring("piece", 1, LONG_PIECE).alias("start")).distinct()
+    longer = pieces.join(long, ["k", "ctx", "start"]).where(F.startswith("token", "piece") & (F.length("token") > F.length("piece")))
+    begun = begun.unionByName(longer.select("k", "ctx", "piece", "n")).select("k", "ctx", "piece", none.alias("stops"), F.col("n").alias("goes_on"), none.alias("maybe"), none.alias("whole"))
+    pieces = whole.unionByName(begun).groupBy("k", "ctx", "piece").agg(*[F.sum(c).alias(c) for c in ("stops", "goes_on", "maybe", "whole")])
     judged = asked.join(pieces, ["k", "ctx", "piece"])
     judged = judged.withColumn("stops", F.greatest(F.col("stops") - 1, none)).withColumn("whole", F.col("whole") - F.col("own"))
     unsure = (F.col("k") <= SHORT) & (F.col("whole") > 0)
     for c in ("goes_on", "maybe"):
         judged = judged.withColumn(c, F.when(unsure, none).otherwise(F.col(c)))
     judged = judged.withColumn("met", met).where("met > 0")
-    by = Window.partitionBy("unit").orderBy((F.col("met") >= WITNESSES).desc(), F.col("k").desc())
-    first = judged.withColumn("rank", F.row_number().over(by)).where("rank = 1")
+    first = judged.groupBy("unit").agg(F.max_by(F.struct("stops", "goes_on", "maybe", "met", "k"), F.struct(F.col("met") >= WITNESSES, "k")).alias("x")).select("unit", "x.*")
     verdict = F.when(F.expr(f"goes_on > stops OR (stops = 0 AND met >= {WITNESSES})"), "cut").when(F.expr("stops > goes_on + maybe"), "complete")
-    return first.select("unit", verdict.alias("verdict")).where("verdict IS NOT NULL")
+    return first.select("unit", verdict.alias("verdict"), "k").where("verdict IS NOT NULL")
 
 
-def cut_texts(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key) of the rows whose text was cut, each key once.
+def judged_texts(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, k) of the rows whose text was cut, each key once, with the length in tokens of the prefix that shows it, null for a mark alone.
 
     Null and blank texts, and null keys, are no cases. Copies of a text count as one
     witness, whatever mark of a cut is behind each. key must be a whole number.
@@ -180,7 +271,13 @@ def cut_texts(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     verdicts = cut_units(counted, counted.where("n_last > 0").select("unit", (F.col("n_before") + F.col("n_last")).alias("own")))
     last = split.where("id IS NOT NULL").join(verdicts, "unit", "left")
     # behind a mark, only what others show to be complete is no cut
-    return last.where("verdict = 'cut' OR (marked AND verdict IS NULL)").select(F.col("id").alias(key)).distinct()
+    found = last.where("verdict = 'cut' OR (marked AND verdict IS NULL)")
+    return found.groupBy(F.col("id").alias(key)).agg(F.max("k").alias("k"))
+
+
+def cut_texts(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key) of the rows whose text was cut, each key once; see judged_texts."""
+    return judged_texts(rows, key, text).select(key)
 
 
 def cut_shares(rows: DataFrame, found: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
