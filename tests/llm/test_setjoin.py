@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -79,12 +78,12 @@ def test_keys_meet_whatever_the_shares(size, seed, threshold):
         short = keep
         if rng.random() < 0.2:
             break
-    a, b = np.array(sorted(short), dtype=np.int64), np.array(long, dtype=np.int64)
-    if len(a) > len(b):
-        a, b = b, a
-    arrays = lambda x: (x, np.array([share[t] for t in x.tolist()]))
-    (ta, sa), (tb, sb) = arrays(a), arrays(b)
-    assert S.probe_keys(ta, sa, sa > S.FREQUENT, bands) & S.index_keys(tb, sb > S.FREQUENT, bands)
+    a, b = sorted((sorted(short), long), key=len)
+    hot = lambda tokens: [share[t] > S.FREQUENT for t in tokens]
+    unsigned = lambda tokens: [t % (1 << 64) for t in tokens]
+    assert S.probe_keys(unsigned(a), [share[t] for t in a], hot(a), bands) & S.index_keys(unsigned(b), hot(b), bands)
+    # sketches differ in no more bits than the sets do in tokens
+    assert ((S.sketch(unsigned(a)) ^ S.sketch(unsigned(b))) % (1 << 64)).bit_count() <= len(set(a) ^ set(b))
 
 
 def test_bands_cover_all_lengths():

@@ -33,6 +33,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return setjoin.expand_pairs(pairs, members).toDF("case_id_a", "case_id_b")
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per case: its class of equal sets and the number of other classes similar to it. Nothing is expanded."""
+    pairs, members = setjoin.similar_records(_case_sets(spark, folder), 0.6)
+    pairs = cut(pairs, "setjoin-links")
+    links = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(links, "rep", "left").select(F.col("record").alias("case_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def _service_baskets(spark: SparkSession, folder: str) -> DataFrame:
     """The services changed in each trusted or candidate case."""
     usable = table(spark, folder, "cases").where(F.col("knowledge_tier").isin("trusted", "candidate")).select("case_id").distinct()
@@ -161,13 +169,26 @@ def p9_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_shares(documents, truncation.cut_texts(documents))
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p7_found": p7_found, "p7_copies": p7_copies, "p9_found": p9_found, "p9_sources": p9_sources, "p9_lengths": p9_lengths, "p6_found": p6_found, "p6_coverage": p6_coverage, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_rated": p4_rated, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found}
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p7_found": p7_found, "p7_copies": p7_copies, "p9_found": p9_found, "p9_sources": p9_sources, "p9_lengths": p9_lengths, "p6_found": p6_found, "p6_coverage": p6_coverage, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_rated": p4_rated, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_classes": p3_classes}
 
 _ODD = (
     r"[\x{ff01}-\x{ff5e}]|[\x{fb00}-\x{fb06}]|[\x{200b}-\x{200f}\x{2060}\x{feff}\x{ad}]|[\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]|[\x{300}-\x{36f}]"
     r"|\p{Latin}[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}]\p{Latin}|\p{Cyrillic}\p{Greek}|\p{Greek}\p{Cyrillic}"
 )
 
+_P3_COMMON = """
+WITH items AS (SELECT DISTINCT case_id, term_type, normalized FROM case_terms WHERE trim(normalized) <> ''),
+sizes AS (SELECT case_id, count(*) AS n FROM items GROUP BY 1 HAVING count(*) >= 4),
+common AS (
+  SELECT a.case_id AS case_id_a, b.case_id AS case_id_b, count(*) AS c
+  FROM items a JOIN items b ON a.term_type IS NOT DISTINCT FROM b.term_type AND a.normalized = b.normalized AND a.case_id < b.case_id
+  GROUP BY 1, 2),
+alike AS (
+  SELECT case_id_a, case_id_b FROM common
+  JOIN sizes x ON x.case_id = case_id_a JOIN sizes y ON y.case_id = case_id_b
+  WHERE c >= 0.6::DOUBLE * (x.n + y.n - c) - 1e-9)
+"""
+
 SQL = {
     "p2_found": f"""SELECT DISTINCT 'case_terms.term' AS field_name, term_id AS record_id FROM case_terms WHERE regexp_matches(term, '{_ODD}')
       UNION ALL SELECT DISTINCT 'scenarios.name', scenario_id FROM scenarios WHERE regexp_matches(name, '{_ODD}')""",
@@ -184,15 +205,13 @@ SQL = {
         SELECT service_a, service_b, counted.c, x.k AS n_a, y.k AS n_b, n, counted.c * n / (x.k * y.k)::DOUBLE AS lift
         FROM counted JOIN single x ON x.service = service_a JOIN single y ON y.service = service_b, total)
       SELECT service_a, service_b, c, round(lift, 6) AS lift, round(CASE WHEN lift < 1 THEN -{_LLR} ELSE {_LLR} END, 4) AS llr FROM weighed""",
-    "p3_found": """
-WITH items AS (SELECT DISTINCT case_id, term_type, normalized FROM case_terms WHERE trim(normalized) <> ''),
-sizes AS (SELECT case_id, count(*) AS n FROM items GROUP BY 1 HAVING count(*) >= 4),
-common AS (
-  SELECT a.case_id AS case_id_a, b.case_id AS case_id_b, count(*) AS c
-  FROM items a JOIN items b ON a.term_type IS NOT DISTINCT FROM b.term_type AND a.normalized = b.normalized AND a.case_id < b.case_id
-  GROUP BY 1, 2)
-SELECT case_id_a, case_id_b FROM common
-JOIN sizes x ON x.case_id = case_id_a JOIN sizes y ON y.case_id = case_id_b
-WHERE c >= 0.6::DOUBLE * (x.n + y.n - c) - 1e-9
-"""
+    "p3_classes": f"""{_P3_COMMON},
+classes AS (
+  SELECT case_id, min(case_id) OVER (PARTITION BY s) AS class_id
+  FROM (SELECT case_id, list(struct_pack(a := term_type, b := normalized) ORDER BY term_type, normalized)::VARCHAR AS s FROM items SEMI JOIN sizes USING (case_id) GROUP BY 1)),
+pairs AS (
+  SELECT DISTINCT a.class_id AS x, b.class_id AS y FROM alike JOIN classes a ON a.case_id = case_id_a JOIN classes b ON b.case_id = case_id_b WHERE a.class_id <> b.class_id),
+links AS (SELECT rep, count(DISTINCT other) AS n FROM (SELECT x AS rep, y AS other FROM pairs UNION ALL SELECT y, x FROM pairs) GROUP BY 1)
+SELECT case_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM classes LEFT JOIN links ON rep = class_id""",
+    "p3_found": f"{_P3_COMMON} SELECT case_id_a, case_id_b FROM alike",
 }

@@ -8,7 +8,12 @@ tokens. v_i is -1 (segment not used), 0 (segments are equal) or 1 (equal after d
 most one token from one side). Every set is indexed under all segments and all their
 one-deletion variants; as a probe, it chooses the allotment that should meet the fewest
 sets, judged by token frequencies, so signatures of frequent tokens or of empty segments
-are avoided wherever rarer ones suffice. Candidates are verified exactly.
+are avoided wherever rarer ones suffice.
+
+A signature is the sum of its tokens' hashes, so one without a token costs one subtraction.
+It travels with the set's number, size and a 64-bit sketch only: the bits in which two
+sketches differ are no more than the tokens in which the sets do, so nearly all pairs that
+meet by chance are dropped there. Sets are fetched for the pairs left, and compared exactly.
 
 Equal sets are one class and take part once; hot signatures left over are split by the
 adaptive skew join.
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -79,33 +85,46 @@ class Bands:
         return range(band_of(size), band_of(math.floor(size / self.threshold + 1e-9)) + 1)
 
 
-def _segments(tokens: np.ndarray, frequent: np.ndarray, count: int) -> list[list[int]]:
+_MASK = (1 << 64) - 1
+
+
+def _segments(tokens: list[int], frequent: list[bool], count: int) -> list[list[int]]:
+    """Places of the tokens of each segment: the frequent ones in the first, the others by hash."""
     out: list[list[int]] = [[] for _ in range(count)]
-    for i, (token, hot) in enumerate(zip((tokens.view(np.uint64) >> np.uint64(17)).tolist(), frequent.tolist(), strict=True)):
-        out[0 if hot else 1 + token % (count - 1)].append(i)
+    for i, (token, hot) in enumerate(zip(tokens, frequent, strict=True)):
+        out[0 if hot else 1 + (token >> 17) % (count - 1)].append(i)
     return out
 
 
-def _key(band: int, segment: int, kind: int, raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw, seed=(band << 24) ^ (segment << 1) ^ kind) - (1 << 63)
+@lru_cache(1 << 16)
+def _salt(band: int, segment: int, kind: int) -> int:
+    return xxhash.xxh3_64_intdigest(b"%d %d %d" % (band, segment, kind))
 
 
-def _without(tokens: np.ndarray, inside: list[int]) -> Iterator[bytes]:
-    for i in inside:
-        yield tokens[[j for j in inside if j != i]].tobytes()
+def _key(band: int, segment: int, kind: int, total: int) -> int:
+    """The signature of tokens with this sum, as a signed long."""
+    return ((total + _salt(band, segment, kind)) & _MASK) - (1 << 63)
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, bands: Bands) -> set[int]:
+def index_keys(tokens: list[int], frequent: list[bool], bands: Bands) -> set[int]:
     """Keys under which a set is found: its segments and their one-deletion variants."""
     band = band_of(len(tokens))
     out = set()
     for s, inside in enumerate(_segments(tokens, frequent, bands.lengths(band)[2])):
-        out.add(_key(band, s, 0, tokens[inside].tobytes()))
-        for raw in _without(tokens, inside):
-            out.add(_key(band, s, 1, raw))
+        total = sum(tokens[i] for i in inside)
+        out.add(_key(band, s, 0, total))
+        out.update(_key(band, s, 1, total - tokens[i]) for i in inside)
     return out
 
 
+def sketch(tokens: list[int]) -> int:
+    """64 bits, of which every token sets one."""
+    out = 0
+    for token in tokens:
+        out |= 1 << (token & 63)
+    return out - (1 << 64) if out >> 63 else out
+
+
 def allot(costs: list[tuple[float, float]], need: int) -> list[int]:
     """v + 1 of each segment, need in sum, for the least cost. costs: (of the first step, of the second, not less).
 
@@ -118,10 +137,9 @@ def allot(costs: list[tuple[float, float]], need: int) -> list[int]:
     return out
 
 
-def probe_keys(tokens: np.ndarray, shares: np.ndarray, frequent: np.ndarray, bands: Bands) -> set[int]:
-    """Keys that meet every set as long or longer that is similar enough."""
+def probe_keys(tokens: list[int], odds: list[float], frequent: list[bool], bands: Bands) -> set[int]:
+    """Keys that meet every set as long or longer that is similar enough. odds: the share of sets that have each token."""
     size, out = len(tokens), set()
-    odds = shares.tolist()
     for band in bands.partners(size):
         low, high, count = bands.lengths(band)
         high = min(high, math.floor(size / bands.threshold + 1e-9))
@@ -130,17 +148,19 @@ def probe_keys(tokens: np.ndarray, shares: np.ndarray, frequent: np.ndarray, ban
         costs = []
         for part in inside:
             # the share of sets expected to be equal in the segment, and to be so but for one token
-            equal = math.prod(odds[i] for i in part) if part else 0.5
-            costs.append((equal, equal + sum(equal / odds[i] for i in part) if part else 0.5))
+            equal, near = (1.0, 0.0) if part else (0.5, 0.0)
+            for i in part:
+                equal *= odds[i]
+                near += 1 / odds[i]
+            costs.append((equal, equal + equal * near))
         for s, take in enumerate(allot(costs, need)):
             if not take:
                 continue
-            raw = tokens[inside[s]].tobytes()
-            out.add(_key(band, s, 0, raw))
+            total = sum(tokens[i] for i in inside[s])
+            out.add(_key(band, s, 0, total))
             if take == 2:
-                out.add(_key(band, s, 1, raw))
-                for less in _without(tokens, inside[s]):
-                    out.add(_key(band, s, 0, less))
+                out.add(_key(band, s, 1, total))
+                out.update(_key(band, s, 0, total - tokens[i]) for i in inside[s])
     return out
 
 
@@ -165,31 +185,31 @@ def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _with_shares(classes: DataFrame, total: int) -> DataFrame:
-    """(rep, tokens, shares): 64-bit hashes of the items, sorted, with the share of sets that have each."""
-    flat = classes.select("rep", F.explode("items").alias("item")).select("rep", F.xxhash64("item").alias("token"))
+    """(no, tokens, shares): 64-bit hashes of the items with the share of sets that have each."""
+    flat = classes.select("no", F.explode("items").alias("item")).select("no", F.xxhash64("item").alias("token"))
     counts = flat.groupBy("token").agg((F.count(F.lit(1)) / F.lit(float(max(total, 1)))).alias("share"))
-    pairs = flat.join(counts, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("token", "share"))).alias("x"))
-    return pairs.select("rep", F.col("x.token").alias("tokens"), F.col("x.share").alias("shares"))
+    pairs = flat.join(counts, "token").groupBy("no").agg(F.collect_list(F.struct("token", "share")).alias("x"))
+    return pairs.select("no", F.col("x.token").alias("tokens"), F.col("x.share").alias("shares"))
 
 
 def _signatures(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands = Bands(threshold)
         for batch in batches:
-            reps, roles, keys, sets = [], [], [], []
-            for rep, tokens, shares in zip(batch["rep"], batch["tokens"], batch["shares"], strict=True):
-                tokens, shares = np.asarray(tokens, dtype=np.int64), np.asarray(shares, dtype=float)
-                frequent = shares > FREQUENT
+            numbers, roles, keys, sizes, sketches = [], [], [], [], []
+            for no, tokens, shares in zip(batch["no"].tolist(), batch["tokens"], batch["shares"], strict=True):
+                tokens, shares = tokens.view(np.uint64).tolist(), shares.tolist()
+                frequent = [x > FREQUENT for x in shares]
+                bits = sketch(tokens)
                 for role, found in ((0, index_keys(tokens, frequent, bands)), (1, probe_keys(tokens, shares, frequent, bands))):
-                    reps += [rep] * len(found)
-                    roles += [role] * len(found)
-                    keys += found
-                    sets += [tokens] * len(found)
-                if len(keys) > 20_000:
-                    yield pd.DataFrame({"rep": reps, "role": roles, "sig": keys, "tokens": sets})
-                    reps, roles, keys, sets = [], [], [], []
+                    keys.extend(found)
+                    numbers.append((no, role, len(tokens), bits, len(found)))
             if keys:
-                yield pd.DataFrame({"rep": reps, "role": roles, "sig": keys, "tokens": sets})
+                no, roles, sizes, sketches, times = (np.array(x, dtype=np.int64) for x in zip(*numbers, strict=True))
+                yield pd.DataFrame({
+                    "no": np.repeat(no, times), "role": np.repeat(roles, times).astype(np.int32), "sig": np.array(keys, dtype=np.int64),
+                    "size": np.repeat(sizes, times).astype(np.int32), "sketch": np.repeat(sketches, times),
+                })
 
     return run
 
@@ -210,24 +230,23 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
 
     A pair of classes is listed once. Sets must not be empty. No classes give no pairs.
     """
-    classes = cut(classes, "setjoin-classes")
+    classes = cut(classes.withColumn("no", F.monotonically_increasing_id()), "setjoin-classes")
     count = classes.count()
-    weighted = _with_shares(classes, count).repartition(_tasks(classes, count), "rep")
-    kind = dict(weighted.dtypes)["rep"]
-    signatures = weighted.mapInPandas(_signatures(threshold), f"rep {kind}, role int, sig long, tokens array<bigint>")
-    signatures = cut(signatures, "setjoin-signatures", ["role"])
-    index = signatures.where("role = 0").select("sig", F.col("rep").alias("rep_i"), F.col("tokens").alias("tokens_i"))
-    probe = signatures.where("role = 1").select("sig", F.col("rep").alias("rep_p"), F.col("tokens").alias("tokens_p"))
-    longer = F.size("tokens_i") > F.size("tokens_p")
-    once = longer | ((F.size("tokens_i") == F.size("tokens_p")) & (F.col("rep_i") > F.col("rep_p")))
-    met = probe.join(index, "sig").where(once & (F.size("tokens_i") * F.lit(threshold) <= F.size("tokens_p") + F.lit(1e-9)))
-    met = met.where(_enough(F.col("tokens_i"), F.col("tokens_p"), threshold))
-    pairs = met.select(F.least("rep_i", "rep_p").alias("rep_a"), F.greatest("rep_i", "rep_p").alias("rep_b")).distinct()
-    # the items themselves have the last word, not their hashes
-    a = classes.select(F.col("rep").alias("rep_a"), F.col("items").alias("items_a"))
-    b = classes.select(F.col("rep").alias("rep_b"), F.col("items").alias("items_b"))
-    exact = pairs.join(a, "rep_a").join(b, "rep_b").where(_enough(F.col("items_a"), F.col("items_b"), threshold))
-    return exact.select("rep_a", "rep_b")
+    weighted = _with_shares(classes, count).repartition(_tasks(classes, count), "no")
+    signatures = cut(weighted.mapInPandas(_signatures(threshold), "no long, role int, sig long, size int, sketch long"), "setjoin-signatures", ["role"])
+    side = lambda role, x: signatures.where(F.col("role") == role).select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("no", "size", "sketch")])
+    longer = F.col("size_i") > F.col("size_p")
+    once = longer | ((F.col("size_i") == F.col("size_p")) & (F.col("no_i") > F.col("no_p")))
+    sizes = F.col("size_i") + F.col("size_p")
+    # no more tokens may differ than leave enough in common, and the sketches differ in no more bits than that
+    may_differ = sizes - 2 * F.ceil(F.lit(threshold / (1 + threshold)) * sizes - F.lit(1e-9))
+    near = F.bit_count(F.col("sketch_i").bitwiseXOR(F.col("sketch_p"))) <= may_differ
+    met = side(1, "p").join(side(0, "i"), "sig").where(once & (F.col("size_i") * F.lit(threshold) <= F.col("size_p") + F.lit(1e-9)) & near)
+    pairs = cut(met.select("no_i", "no_p").distinct(), "setjoin-pairs")
+    i = classes.select(F.col("no").alias("no_i"), F.col("rep").alias("rep_i"), F.col("items").alias("items_i"))
+    p = classes.select(F.col("no").alias("no_p"), F.col("rep").alias("rep_p"), F.col("items").alias("items_p"))
+    exact = pairs.join(i, "no_i").join(p, "no_p").where(_enough(F.col("items_i"), F.col("items_p"), threshold))
+    return exact.select(F.least("rep_i", "rep_p").alias("rep_a"), F.greatest("rep_i", "rep_p").alias("rep_b"))
 
 
 def similar_records(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
