@@ -230,7 +230,8 @@ def cut_units(counted: DataFrame, questions: DataFrame) -> DataFrame:
         seen = spread(counted).mapInPandas(_seen(sent), _SEEN)
     else:
         seen = spread(counted).mapInPandas(_seen(None), _SEEN).join(keys, "ctx", "left_semi")
-    seen = seen.groupBy("k", "ctx", "token").agg(*[F.sum(c).alias(c) for c in ("stops", "goes_on", "maybe")])
+    # read three times below
+    seen = cut(seen.groupBy("k", "ctx", "token").agg(*[F.sum(c).alias(c) for c in ("stops", "goes_on", "maybe")]), "truncation-seen")
     # a token is met as a whole, and by each of its beginnings
     none = F.lit(0).cast("long")
     met = F.col("stops") + F.col("goes_on") + F.col("maybe")
