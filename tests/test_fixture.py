@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,21 +17,21 @@ from tracelake.sources import inventory
 from tracelake.streaming import cases as SC
 
 EVIDENCE = {"kind": "explicit", "section": "2.1"}
-RELATION = {"source": "订单状态", "type": "controls", "target": "支付许可", "direction": "forward", "propagation": "bidirectional", "conditions": ["frozen"], "version_scope": {"from": "v1"}, "evidence": EVIDENCE}
+RELATION = {"source": "馆藏状态", "type": "controls", "target": "外借许可", "direction": "forward", "propagation": "bidirectional", "conditions": ["archived"], "version_scope": {"from": "v1"}, "evidence": EVIDENCE}
 SPEC = {
-    "title": "freeze", "before_behaviors": ["订单可支付"], "after_behaviors": ["冻结后不可支付"], "business_objects": ["订单"], "capabilities": [], "change_types": ["状态约束"], "actions": ["冻结"],
-    "states": ["冻结"], "actors": [], "triggers": [], "changed_rules": [], "invariants": ["冻结订单不可支付"],
+    "title": "archive", "before_behaviors": ["馆藏可外借"], "after_behaviors": ["封存后不可外借"], "business_objects": ["馆藏"], "capabilities": [], "change_types": ["状态约束"], "actions": ["封存"],
+    "states": ["封存"], "actors": [], "triggers": [], "changed_rules": [], "invariants": ["封存馆藏不可外借"],
 }
 
 
 def case(case_id, sha, **more):
     base = {
-        "case_id": case_id, "title": "order freeze", "domain": "trade", "source": {"path": "/docs/freeze.md", "sha256": sha, "version": "v1"},
-        "business_objects": ["订单"], "capabilities": [], "change_types": ["状态约束"], "actions": ["冻结"], "states": ["冻结"], "business_invariants": ["冻结订单不可支付"],
-        "scenarios": [{"name": "冻结后支付", "expected_behavior": "拒绝", "evidence": EVIDENCE}],
+        "case_id": case_id, "title": "shelf archive", "domain": "trade", "source": {"path": "/docs/archive.md", "sha256": sha, "version": "v1"},
+        "business_objects": ["馆藏"], "capabilities": [], "change_types": ["状态约束"], "actions": ["封存"], "states": ["封存"], "business_invariants": ["封存馆藏不可外借"],
+        "scenarios": [{"name": "封存后外借", "expected_behavior": "拒绝", "evidence": EVIDENCE}],
         "service_changes": [
-            {"service": "Order-Service", "responsibility": "state", "asset_types": ["api", "database"], "modifications": ["add status", "check status"], "evidence": EVIDENCE},
-            {"service": "payment-service", "responsibility": "guard", "asset_types": ["api"], "modifications": "refuse", "evidence": {"kind": "inferred", "section": "3"}},
+            {"service": "Catalog-Service", "responsibility": "state", "asset_types": ["api", "database"], "modifications": ["add status", "check status"], "evidence": EVIDENCE},
+            {"service": "loan-service", "responsibility": "guard", "asset_types": ["api"], "modifications": "refuse", "evidence": {"kind": "inferred", "section": "3"}},
         ],
         "relations": [RELATION], "historical_omissions": ["audit forgotten"], "uncertain_fields": [], "conflicts": [],
         "extraction": {"run_id": "e1", "executor": "a", "completed_at": "t"},
@@ -41,8 +43,8 @@ def case(case_id, sha, **more):
 def conflict(sha):
     claims = [{"value": 1, "evidence": EVIDENCE}, {"value": 0, "evidence": EVIDENCE}]
     return case(
-        "freeze-conflict", sha, change_types=["流程扩展"], scenarios=[{"name": "重复冻结", "expected_behavior": "忽略", "evidence": {"kind": "explicit", "line": 0}}],
-        service_changes=[{"service": "customer-admin", "modifications": [], "evidence": EVIDENCE}], historical_omissions=[{"description": "", "evidence": EVIDENCE}],
+        "archive-conflict", sha, change_types=["流程扩展"], scenarios=[{"name": "重复封存", "expected_behavior": "忽略", "evidence": {"kind": "explicit", "line": 0}}],
+        service_changes=[{"service": "reader-desk", "modifications": [], "evidence": EVIDENCE}], historical_omissions=[{"description": "", "evidence": EVIDENCE}],
         conflicts=[{"topic": "limit", "claims": claims, "resolution_status": "open"}], validation={"status": "conflict", "confidence": "low"},
     )
 
@@ -51,10 +53,10 @@ def conflict(sha):
 def world(tmp_path):
     sha = hashlib.sha256("design".encode()).hexdigest()
     (tmp_path / "docs").mkdir()
-    (tmp_path / "docs" / "freeze.md").write_text("design")
+    (tmp_path / "docs" / "archive.md").write_text("design")
     folder = tmp_path / "cases"
     folder.mkdir()
-    (folder / "a.json").write_text("﻿" + json.dumps([case("freeze-v1", sha)], ensure_ascii=False))
+    (folder / "a.json").write_text("﻿" + json.dumps([case("archive-v1", sha)], ensure_ascii=False))
     (folder / "b.jsonl").write_text(json.dumps(conflict(sha), ensure_ascii=False) + "\n\n")
     return tmp_path, sha
 
@@ -66,15 +68,15 @@ def capture(tmp_path, **more):
     ev = {"kind": "codegraph-mcp", "mcp_call_id": "call1"}
     value = {
         "schema_version": 2, "generated_at": "t", "mcp": {"server": "s", "implementation": "i", "transport": "mcp", "tools_observed": ["x"]},
-        "repositories": [{"name": "orders", "branch": "main", "commit": "abc", "indexed_at": "t", "coverage": ["api"], "not_covered": []}],
-        "mcp_calls": [{"id": "call1", "repository": "orders", "tool": "x", "arguments": {"q": "1"}, "response_path": "raw/r.txt", "response_sha256": digest, "observed_at": "t", "status": "ok", "staleness": "fresh"}],
-        "query_seeds": [{"repository": "orders", "category": "business", "seed": "订单", "status": "matched", "mcp_call_ids": ["call1"]}],
+        "repositories": [{"name": "catalog", "branch": "main", "commit": "abc", "indexed_at": "t", "coverage": ["api"], "not_covered": []}],
+        "mcp_calls": [{"id": "call1", "repository": "catalog", "tool": "x", "arguments": {"q": "1"}, "response_path": "raw/r.txt", "response_sha256": digest, "observed_at": "t", "status": "ok", "staleness": "fresh"}],
+        "query_seeds": [{"repository": "catalog", "category": "business", "seed": "馆藏", "status": "matched", "mcp_call_ids": ["call1"]}],
         "entities": [
-            {"id": "job", "type": "job", "name": "FreezeJob", "service": "order-service", "repository": "orders", "location": {"file": "a", "line": 1}, "evidence": ev},
-            {"id": "field", "type": "field", "name": "status", "service": "order-service", "repository": "orders", "location": {}, "evidence": ev},
+            {"id": "job", "type": "job", "name": "ArchiveJob", "service": "catalog-service", "repository": "catalog", "location": {"file": "a", "line": 1}, "evidence": ev},
+            {"id": "field", "type": "field", "name": "status", "service": "catalog-service", "repository": "catalog", "location": {}, "evidence": ev},
         ],
-        "relations": [{"source_id": "job", "type": "writes", "target_id": "field", "repository": "orders", "evidence": ev}],
-        "business_mappings": [{"business_object": "订单", "asset_id": "job", "confidence": "high", "evidence": ev}],
+        "relations": [{"source_id": "job", "type": "writes", "target_id": "field", "repository": "catalog", "evidence": ev}],
+        "business_mappings": [{"business_object": "馆藏", "asset_id": "job", "confidence": "high", "evidence": ev}],
     } | more
     path = tmp_path / "capture.json"
     path.write_text(json.dumps(value, ensure_ascii=False))
@@ -90,49 +92,73 @@ def write_manifest(tmp_path, documents):
 def test_whole_pipeline(spark, world):
     tmp_path, sha = world
     store = f"file://{tmp_path}/store"
-    report = H.compile_history(spark, f"{tmp_path}/cases", store, write_manifest(tmp_path, [{"path": "/docs/Freeze.md", "sha256": sha.upper()}]))
+    report = H.compile_history(spark, f"{tmp_path}/cases", store, write_manifest(tmp_path, [{"path": "/docs/Archive.md", "sha256": sha.upper()}]))
     assert {k: v for k, v in report.items() if k not in ("version", "skipped_stale")} == {
         "status:validated": 1, "status:conflict": 1, "tier:trusted": 1, "tier:conflict": 1, "cases": 2, "scenarios": 2, "services": 3, "conflicts": 1, "review_queue": 1,
     }
     tables = H.read_tables(spark, store)
     assert got(tables["service_changes"], "normalized_service", "modification", "knowledge_tier") == [
-        ("customer-admin", "", "conflict"), ("order-service", "add status", "trusted"), ("order-service", "check status", "trusted"), ("payment-service", "refuse", "candidate"),
+        ("catalog-service", "add status", "trusted"), ("catalog-service", "check status", "trusted"), ("loan-service", "refuse", "candidate"), ("reader-desk", "", "conflict"),
     ]
-    assert got(tables["service_cochange"]) == [("order-service", "payment-service", 1)]
+    assert got(tables["service_cochange"]) == [("catalog-service", "loan-service", 1)]
     assert got(tables["historical_omissions"], "description") == [("audit forgotten",)]
-    assert got(tables["documents"]) == [("/docs/freeze.md", "order freeze", "v1")]
+    assert got(tables["documents"]) == [("/docs/archive.md", "shelf archive", "v1")]
     code = f"file://{tmp_path}/code"
     assert H.compile_code(spark, capture(tmp_path), code)["status"] == "fresh"
-    aliases = spark.createDataFrame([("锁定", "冻结")], "alias string, canonical string")
-    found = A.analyze(spark, tables, {"freeze": SPEC}, aliases, H.read_tables(spark, code))
-    assert got(found.matched, "case_id", "propagated", "score") == [("freeze-conflict", False, 6.3), ("freeze-v1", False, 7.3)]
+    aliases = spark.createDataFrame([("入库", "封存")], "alias string, canonical string")
+    found = A.analyze(spark, tables, {"archive": SPEC}, aliases, H.read_tables(spark, code))
+    assert got(found.matched, "case_id", "propagated", "score") == [("archive-conflict", False, 6.3), ("archive-v1", False, 7.3)]
     assert found.history_paths.count() == 4
     assert got(found.code_impacts, "entity_id", "depth", "score") == [("field", 1, 0.7), ("job", 0, 2.0)]
     assert found.code_paths.count() == 2
     assert found.scenarios.count() == 2 and found.services.count() == 3 and found.conflicts.count() == 1
-    assert got(found.services.where("service_key = 'order-service'"), "service", "knowledge_tier", "n_entities", "source") == [("Order-Service", "trusted", 2, "matched-history")]
+    assert got(found.services.where("service_key = 'catalog-service'"), "service", "knowledge_tier", "n_entities", "source") == [("Catalog-Service", "trusted", 2, "matched-history")]
     assert got(found.cochanges, "score", "frequency", "expanded") == [(0.8667, 0.3333, False)]
     assert found.issues == []
-    per_case, overall = A.replay_metrics(found, [{"id": "freeze", "expected_scenarios": ["冻结后支付", {"scenario": "never seen"}], "expected_services": [{"service": "ORDER-SERVICE"}]}])
-    assert got(overall, "kind", "precision", "recall") == [("scenarios", 0.5, 0.5), ("services", 0.3333, 1.0)]
+    per_case, overall = A.replay_metrics(found, [{
+        "id": "archive", "expected_scenarios": ["封存后外借", {"scenario": "never seen"}], "expected_services": [{"service": "CATALOG-SERVICE"}],
+        "expected_evidence": [{"scenario": "封存后外借", "case_ids": ["ARCHIVE-v1", "other"]}, {"scenario": "never seen", "case_ids": ["x"]}, "odd"],
+    }])
+    assert got(overall, "kind", "precision", "recall") == [("evidence", 1.0, 0.5), ("scenario", 0.5, 0.5), ("service", 0.3333, 1.0)]
+
+
+def test_names_that_only_look_alike_change_together(spark, world):
+    """Stored names in full-width letters meet their direct keys."""
+    tmp_path, sha = world
+    wide = [{"service": s, "responsibility": "r", "asset_types": [], "modifications": ["m"], "evidence": EVIDENCE} for s in ("Ａpi", "Ｂatch")]
+    for n in range(2):
+        (tmp_path / "cases" / f"w{n}.json").write_text(json.dumps(case(f"wide-{n}", sha, service_changes=wide)))
+    store = f"file://{tmp_path}/store"
+    H.compile_history(spark, f"{tmp_path}/cases", store)
+    found = A.analyze(spark, H.read_tables(spark, store), {"archive": SPEC})
+    assert ("ａpi", "ｂatch", 2) in got(found.cochanges, "service_a", "service_b", "case_count")
 
 
 def test_stale_cases_are_left_out(spark, world):
     tmp_path, sha = world
-    report = H.compile_history(spark, f"{tmp_path}/cases", f"file://{tmp_path}/s", write_manifest(tmp_path, [{"path": "/docs/freeze.md", "sha256": "0" * 64}]))
-    assert report["skipped_stale"] == 2 and report["cases"] == 0
+    # one case is of the document's present content, the other is not; without any case nothing is published
+    (tmp_path / "cases" / "c.json").write_text(json.dumps(case("fresh", "0" * 64)))
+    listed = write_manifest(tmp_path, [{"path": "/docs/archive.md", "sha256": "0" * 64}])
+    report = H.compile_history(spark, f"{tmp_path}/cases", f"file://{tmp_path}/s", listed)
+    assert report["skipped_stale"] == 2 and report["cases"] == 1
+    (tmp_path / "cases" / "c.json").unlink()
+    with pytest.raises(H.Rejected, match="no case"):
+        H.compile_history(spark, f"{tmp_path}/cases", f"file://{tmp_path}/t", listed)
+    (tmp_path / "none").mkdir()
+    with pytest.raises(H.Rejected, match="no case"):
+        H.compile_history(spark, f"{tmp_path}/none", f"file://{tmp_path}/t")
 
 
 def test_broken_cases_stop_the_compile(spark, world):
     tmp_path, sha = world
-    bad = case("freeze-v1", sha, business_objects=[], relations=[RELATION | {"propagation": "odd", "evidence": {"kind": "explicit"}}], validation={"status": "validated", "confidence": "sure"})
+    bad = case("archive-v1", sha, business_objects=[], relations=[RELATION | {"propagation": "odd", "evidence": {"kind": "explicit"}}], validation={"status": "validated", "confidence": "sure"})
     (tmp_path / "cases" / "c.json").write_text(json.dumps(bad))
     (tmp_path / "cases" / "d.json").write_text("[1")
     store = f"file://{tmp_path}/store"
     with pytest.raises(H.Rejected) as e:
         H.compile_history(spark, f"{tmp_path}/cases", store)
     text = str(e.value)
-    for part in ("business_objects must not be empty", "propagation is invalid", "evidence needs", "validation.confidence", "duplicate case_id", "run_id", "no JSON"):
+    for part in ("business_objects has no entry", "propagation is none", "evidence needs", "validation.confidence", "case_id was used before", "run_id", "no JSON"):
         assert part in text
     with pytest.raises(FileNotFoundError):
         H.read_tables(spark, store)
@@ -159,16 +185,16 @@ def test_broken_captures(spark, tmp_path):
     ev = {"kind": "codegraph-mcp", "mcp_call_id": "lost"}
     path = capture(
         tmp_path, relations=[{"source_id": "job", "type": "writes", "target_id": "ghost", "evidence": ev}, {"source_id": "job", "type": "calls", "target_id": "out", "target_external": True, "evidence": ev}],
-        business_mappings=[{"business_object": "订单", "asset_id": "nothing", "confidence": "high", "evidence": ev}],
+        business_mappings=[{"business_object": "馆藏", "asset_id": "nothing", "confidence": "high", "evidence": ev}],
     )
     with pytest.raises(H.Rejected) as e:
         H.compile_code(spark, path, f"file://{tmp_path}/code")
-    for part in ("undeclared; mark target_external=true: ghost", "not a declared entity: nothing", "call is not declared: lost", "high confidence needs", "target_repository is required"):
+    for part in ("no such entity, and not external: ghost", "no such entity: nothing", "no such call: lost", "high confidence without", "an external target without repository"):
         assert part in str(e.value)
     with pytest.raises(H.Rejected):
         H.compile_code(spark, capture(tmp_path, mcp_calls=[]), f"file://{tmp_path}/code")
     call = json.loads(open(capture(tmp_path)).read())["mcp_calls"][0]
-    for response, message in (("../capture.json", "inside"), ("raw/none.txt", "does not exist"), ("capture.json", "does not match")):
+    for response, message in (("../capture.json", "leads out"), ("raw/none.txt", "no file at"), ("capture.json", "another digest")):
         with pytest.raises(H.Rejected, match=message):
             H.compile_code(spark, capture(tmp_path, mcp_calls=[call | {"response_path": response}]), f"file://{tmp_path}/code")
 
@@ -217,12 +243,68 @@ def test_union_of_roots(rows):
 def test_stream_of_cases(spark, world):
     tmp_path, sha = world
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.jsonl").write_text(json.dumps(case("one", sha)) + "\n" + json.dumps(case("two", sha, title="")) + "\nnot json\n")
+    lines = [json.dumps(x) for x in (case("one", sha), case("two", sha, title=""), {"title": "t"}, case(" three ", sha, title=""), "text", case("four", sha))]
+    (tmp_path / "in" / "1.jsonl").write_text("\n".join([*lines, "not json", lines[-1]]) + "\n")
     seen = []
-    query = SC.write_tables(SC.case_stream(spark, str(tmp_path / "in")), f"{tmp_path}/out", f"{tmp_path}/cp", on_errors=lambda e: seen.extend(e.collect()))
-    query.awaitTermination()
-    assert got(spark.read.parquet(f"{tmp_path}/out/cases"), "case_id") == [("one",)]
-    assert {r.object_id for r in seen} == {"two"}
+
+    def run():
+        query = SC.write_tables(SC.case_stream(spark, str(tmp_path / "in")), f"{tmp_path}/out", f"{tmp_path}/cp", on_errors=lambda e: seen.extend(e.collect()))
+        query.awaitTermination()
+        return got(spark.read.parquet(f"{tmp_path}/out/cases"), "case_id")
+
+    assert run() == [("four",), ("one",)]
+    assert {r.object_id for r in seen} == {"two", " three ", "four", "<unknown>"}
+    assert {r.message for r in seen if r.object_id == "<unknown>"} >= {"no JSON", "no object"} and len({r.row for r in seen}) == 6
+    seen.clear()
+    # ids of earlier batches are taken
+    (tmp_path / "in" / "2.jsonl").write_text(json.dumps(case("one", sha)) + "\n" + json.dumps(case("five", sha)) + "\n")
+    assert run() == [("five",), ("four",), ("one",)]
+    assert [(r.object_id, r.path) for r in seen] == [("one", "case_id")]
+
+
+def test_scan_reads_only_what_it_keeps(spark, tmp_path):
+    root = tmp_path / "scan"
+    (root / "x").mkdir(parents=True)
+    (root / "a.md").write_text("one")
+    (root / "x" / "gone.md").symlink_to(root / "a.md")
+    (root / "big.bin").write_bytes(b"0")
+    os.truncate(root / "big.bin", 3 << 30)
+    files, errors = inventory.scan_files(spark, str(root), [".md"])
+    assert errors == [] and got(files, "relative_path", "error") == [("a.md", None), ("x/gone.md", None)]
+    uri = f"file:{root}/none.md"
+    (batch,) = inventory._digests(iter([pd.DataFrame({"uri": [uri, f"file:{root}/a.md"]})]))
+    assert batch["error"][0].startswith("cannot be read") and batch["sha256"].tolist()[1] == hashlib.sha256(b"one").hexdigest()
+
+
+def test_workspace_status(spark, world, rows):
+    tmp_path, sha = world
+    decisions = rows([], "path string, sha256 string, classification string")
+    documents = rows([("/docs/archive.md", sha), ("/docs/new.md", "1" * 64)], "path string, sha256 string")
+    store, code = f"file://{tmp_path}/store", f"file://{tmp_path}/code"
+    status = lambda previous=None, found=None, done=decisions: H.workspace_status(spark, documents, previous, f"{tmp_path}/cases", done, store, code, found)
+    first = status()
+    assert first["delta"] == {"added": 2} and first["pending_extraction"] == 1 and first["needs_compile"]
+    assert first["next_actions"] == ["extract_pending_documents", "initialize_code_snapshot"]
+    decided = rows([("/docs/new.md", "1" * 64, "non-design")], "path string, sha256 string, classification string")
+    assert status(done=decided)["next_actions"] == ["compile_history", "initialize_code_snapshot", "analyze_current_change"]
+    H.compile_history(spark, f"{tmp_path}/cases", store)
+    H.compile_code(spark, capture(tmp_path, repositories=[{"name": "catalog", "path": "/r", "branch": "main", "commit": "abc", "indexed_at": "t", "coverage": ["api"], "not_covered": []}]), code)
+    found = lambda commit: rows([("catalog", "main", commit, False)], "name string, branch string, commit_sha string, dirty boolean")
+    same = status(documents, found("ABC123"), decided)
+    assert same["delta"] == {"unchanged": 2} and not same["needs_compile"] and same["code_snapshot_status"] == "fresh" and same["next_actions"] == ["analyze_current_change"]
+    assert status(documents, found("def"), decided)["next_actions"] == ["refresh_code_snapshot", "analyze_current_change"]
+    assert status(documents, None, decided)["code_snapshot_status"] == "unknown"
+    repos = rows([("a", "", "c")], "name string, branch string, commit_sha string")
+    assert H.snapshot_state("fresh", repos, None)[0] == "invalid" and H.snapshot_state("odd", repos, None)[0] == "invalid" and H.snapshot_state(None, repos, None)[0] == "missing"
+    assert H.snapshot_state("fresh", repos.limit(0), None)[0] == "unknown"
+
+
+def test_rest_of_the_capture_rules(spark, tmp_path):
+    call = json.loads(open(capture(tmp_path)).read())["mcp_calls"][0]
+    path = capture(tmp_path, repositories=[{"name": "catalog", "branch": "main", "commit": "abc", "indexed_at": "t", "coverage": [], "not_covered": "x"}], mcp_calls=[call | {"arguments": "q"}])
+    with pytest.raises(H.Rejected) as e:
+        H.compile_code(spark, path, f"file://{tmp_path}/code")
+    assert all(part in str(e.value) for part in ("coverage: has no entry", "not_covered: is no list", "arguments: is no object"))
 
 
 def test_cochange_expansion(rows):

@@ -46,7 +46,7 @@ def test_specs_and_ties(rows, spark):
     assert got(scores) == [("s", "c1", 2.0)]
     cases = rows([("c1", "rejected")], "case_id string, knowledge_tier string")
     assert matching.direct_matches(scores, cases).count() == 0
-    assert matching.spec_issues({"s": {"business_objects": ["x"]}}) == [("s", f"ChangeSpec has no {f}") for f in ("before_behaviors", "after_behaviors", "change_types")]
+    assert matching.spec_issues({"s": {"business_objects": ["x"]}}) == [("s", f"{f} is empty") for f in ("before_behaviors", "after_behaviors", "change_types")]
 
 
 RELATIONS = "relation_ord int, case_id string, source string, target string, propagation string, knowledge_tier string"

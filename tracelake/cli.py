@@ -1,4 +1,4 @@
-"""Command line: inventory, compile, analyze, replay. Exit codes: 0 done, 1 a gate failed, 2 could not run."""
+"""Command line: inventory, workspace, compile, analyze, replay. Exit codes: 0 done, 1 a gate failed, 2 could not run."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from tracelake.operators import manifest as M
 from tracelake.operators import replay as R
 from tracelake.plans import analyze as A
 from tracelake.plans import history as H
-from tracelake.runtime import session
+from tracelake.runtime import cut, session
 from tracelake.sources import cases as C
 from tracelake.sources import inventory as I
 
@@ -27,6 +27,20 @@ def write_json(path: str, value: dict) -> None:
     os.replace(draft, path)
 
 
+def write_manifest(docs, path: str, about: dict) -> int:
+    """Write a manifest document by document in order of their paths; the driver never holds the list. The number of documents."""
+    draft, n = f"{path}.{os.getpid()}.tmp", 0
+    with open(draft, "w", encoding="utf-8") as f:
+        head = json.dumps({"schema_version": 1, "generated_at": datetime.now(UTC).isoformat()} | about, ensure_ascii=False)
+        f.write(head[:-1] + ', "documents": [')
+        for r in docs.orderBy(F.lower("path"), "path").toLocalIterator():
+            f.write(("," if n else "") + "\n" + json.dumps(r.asDict(), ensure_ascii=False))
+            n += 1
+        f.write("\n]}\n")
+    os.replace(draft, path)
+    return n
+
+
 def _url(path: str) -> str:
     return path if "://" in path else "file://" + os.path.abspath(path)
 
@@ -35,13 +49,15 @@ def inventory(spark, a) -> int:
     """Scan roots, compare with the previous manifest and write the new one."""
     scans, errors = [], []
     for root in a.root:
-        docs, wrong = I.scan_root(spark, root, a.extension, a.exclude)
+        docs, wrong = I.scan_files(spark, root, a.extension, a.exclude)
         errors += wrong
         if docs is not None:
             scans.append(docs)
-    docs = I.union_roots(scans).persist() if scans else None
-    rows = [r.asDict() for r in docs.orderBy(F.lower("path")).toLocalIterator()] if docs is not None else []
-    value = {"schema_version": 1, "generated_at": datetime.now(UTC).isoformat(), "roots": a.root, "extensions": I.extensions(a.extension), "documents": rows, "errors": errors}
+    scanned = cut(I.union_roots(scans), "inventory-scan") if scans else None
+    docs = scanned.where("error IS NULL").drop("error") if scans else None
+    if scans:
+        errors += [f"{r.path}: {r.error}" for r in scanned.where("error IS NOT NULL").toLocalIterator()]
+    value = {"roots": a.root, "extensions": I.extensions(a.extension), "errors": errors}
     if docs is not None:
         now = docs.select("path", "sha256", F.lit(0).alias("received_at"))
         before = I.load_manifest(spark, a.previous, strict=True) if a.previous else now.limit(0)
@@ -50,10 +66,11 @@ def inventory(spark, a) -> int:
         for r in delta.orderBy("path").toLocalIterator():
             changes[r.change_kind].append({"from": r.from_path, "to": r.path, "sha256": r.sha256} if r.change_kind == "moved" else r.path)
         value["delta"] = changes
-        # a later scan has the same plan and must not see this one's files
-        docs.unpersist()
-    write_json(a.output, value)
-    print(json.dumps({"documents": len(rows), "errors": len(errors)} | {k: len(v) for k, v in value.get("delta", {}).items()}))
+        n = write_manifest(docs, a.output, value)
+    else:
+        n = 0
+        write_json(a.output, {"schema_version": 1, "documents": []} | value)
+    print(json.dumps({"documents": n, "errors": len(errors)} | {k: len(v) for k, v in value.get("delta", {}).items()}))
     return 1 if errors else 0
 
 
@@ -102,17 +119,60 @@ def analyze(spark, a) -> int:
 def replay(spark, a) -> int:
     """Analyze all cases of a dataset in one go and rate the results."""
     dataset = C.load_replay(a.dataset)
-    home, defaults = os.path.dirname(os.path.abspath(a.dataset)), dataset.get("defaults", {})
+    home, defaults, thresholds = os.path.dirname(os.path.abspath(a.dataset)), dataset.get("defaults", {}), dataset.get("thresholds", {})
+    known = {f"{k}_{m}" for k in ("scenario", "service", "evidence") for m in ("precision", "recall", "f1")}
+    if set(thresholds) - known:
+        raise ValueError(f"no such metric: {', '.join(sorted(set(thresholds) - known))}")
     at = lambda p: os.path.join(home, p) if p else None
-    a.db, a.code_db, a.aliases = at(defaults.get("history_db")), at(defaults.get("code_db")), at(defaults.get("aliases"))
-    a.min_match_score, a.graph_depth = defaults.get("min_match_score", 1.0), defaults.get("graph_depth", 2)
-    specs = {c["id"]: C.load_object(at(c["change_spec"])) for c in dataset["cases"]}
-    per_case, overall = A.replay_metrics(_analyzed(spark, a, specs), dataset["cases"])
-    misses = R.threshold_misses(overall, dataset.get("thresholds", {}))
-    lists = {n: [r.asDict() for r in df.collect()] for n, df in (("cases", per_case), ("overall", overall), ("misses", misses))}
-    write_json(a.output, {"schema_version": 1} | lists)
+    # cases with the same stores and settings are analyzed together
+    groups: dict[tuple, list[dict]] = {}
+    for case in dataset["cases"]:
+        setting = tuple(case.get(k, defaults.get(k)) for k in ("history_db", "code_db", "aliases", "min_match_score", "graph_depth"))
+        groups.setdefault(setting, []).append(case)
+    counts, differences = None, []
+    for (db, code_db, aliases, score, depth), answers in groups.items():
+        for needed, path in (("history_db", db), *[("change_spec", c.get("change_spec")) for c in answers]):
+            if not path or not os.path.exists(at(path)):
+                raise FileNotFoundError(f"{needed} is not given or not there: {path}")
+        a.db, a.code_db, a.aliases = at(db), at(code_db), at(aliases)
+        a.min_match_score, a.graph_depth = 1.0 if score is None else float(score), 2 if depth is None else int(depth)
+        found = _analyzed(spark, a, {c["id"]: C.load_object(at(c["change_spec"])) for c in answers})
+        part = cut(A.answer_counts(found, answers), "replay-counts")
+        counts = part if counts is None else counts.unionByName(part)
+    overall = R.overall(counts, ["kind"])
+    failures = R.threshold_misses(overall, thresholds)
+    lists = {n: [r.asDict() for r in df.collect()] for n, df in (("cases", R.with_metrics(counts).orderBy("spec_id", "kind")), ("overall", overall), ("failures", failures))}
+    report = {"schema_version": 1, "passed": not lists["failures"], "case_count": len(dataset["cases"]), "thresholds": thresholds}
+    write_json(a.output, report | lists)
     print(json.dumps(lists["overall"]))
-    return 1 if lists["misses"] else 0
+    return 1 if lists["failures"] else 0
+
+
+def workspace(spark, a) -> int:
+    """Scan a workspace and say what there is to do: new documents, unverified cases, stores that are out of date."""
+    state = a.state_dir or os.path.join(a.workspace, ".tracelake")
+    os.makedirs(os.path.join(state, "cases"), exist_ok=True)
+    at = lambda name: os.path.join(state, name)
+    scans, errors = [], []
+    for root in a.document_root or [a.workspace]:
+        docs, wrong = I.scan_root(spark, root)
+        errors += wrong
+        if docs is not None:
+            scans.append(docs.where(I.in_workspace(F.col("relative_path"), bool(a.document_root), (os.path.basename(state).lower(),))))
+    if not scans:
+        raise FileNotFoundError("; ".join(errors))
+    docs = cut(I.union_roots(scans, fold_case=True), "workspace-scan")
+    previous = I.load_manifest(spark, at("manifest.json"))
+    cases = [os.path.join(d, f) for d, _, files in os.walk(at("cases")) for f in files if f.endswith((".json", ".jsonl"))]
+    found = C.load_revisions(spark, a.revisions) if a.revisions else None
+    session_ = H.workspace_status(
+        spark, docs, cut(previous, "workspace-previous"), at("cases"), I.load_decisions(spark, at("document-decisions.json")), _url(at("history")), _url(at("code")), found,
+        max(map(os.path.getmtime, cases), default=0.0),
+    )
+    write_manifest(docs, at("manifest.json"), {"workspace": os.path.abspath(a.workspace), "errors": errors})
+    write_json(at("session.json"), {"schema_version": 1, "workspace": os.path.abspath(a.workspace), "errors": errors} | session_)
+    print(json.dumps(session_ | {"errors": len(errors)}))
+    return 2 if errors else 0
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -133,6 +193,7 @@ def main(argv: list[str] | None = None) -> int:
     command("compile-code", compile_code, ("--input", need), ("--output", need))
     command("analyze", analyze, ("--db", need), ("--change-spec", need), ("--output", need), ("--code-db", {}), ("--aliases", {}), *depth)
     command("replay", replay, ("--dataset", need), ("--output", need))
+    command("workspace", workspace, ("--workspace", {"default": "."}), ("--state-dir", {}), ("--document-root", many), ("--revisions", {}))
     args = parser.parse_args(argv)
     try:
         return args.run(session("tracelake"), args)

@@ -180,4 +180,4 @@ def direct_matches(scores: DataFrame, cases: DataFrame, min_score: float = 1.0)
 def spec_issues(specs: dict[str, dict]) -> list[tuple[str, str]]:
     """(spec_id, message) of required fields that are empty."""
     needed = ("before_behaviors", "after_behaviors", "business_objects", "change_types")
-    return [(s, f"ChangeSpec has no {f}") for s, spec in specs.items() for f in needed if not spec.get(f)]
+    return [(s, f"{f} is empty") for s, spec in specs.items() for f in needed if not spec.get(f)]

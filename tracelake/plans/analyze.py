@@ -77,8 +77,8 @@ def analyze(
         impacts, paths = graph.code_walk(edges, code["entities"], seeds, graph_depth)
         merged = impact.add_code_services(services, graph.code_services(impacts, code["entities"]))
     pairs = impact.cochange_cases(changes, cases)
-    scored = impact.score_cochange(pairs, services.where("direct").select("spec_id", "service_key"), scores, fields, cases, resolve)
-    expanded = impact.expand_services(scored, merged, resolve)
+    scored = impact.score_cochange(pairs, services.where("direct").select("spec_id", "service_key"), scores, fields, cases, named)
+    expanded = impact.expand_services(scored, merged, named)
     return Impact(
         matched, matches, hits, scenarios, scenario_values, merged, service_values, scored, expanded,
         impact.items_of_matched(history["historical_omissions"], matched), impact.items_of_matched(history["conflicts"], matched), impacts, paths, matching.spec_issues(specs),
@@ -86,23 +86,45 @@ def analyze(
 
 
 def replay_metrics(found: Impact, answers: list[dict]) -> tuple[DataFrame, DataFrame]:
-    """(per case, overall) metrics of scenarios and services; spec_id is the answer's id.
+    """(per case, overall) metrics by kind: scenario, service and evidence; spec_id is the answer's id.
 
-    answers: {id, expected_scenarios, expected_services: lists of names, as text or objects}.
+    answers: {id, expected_scenarios, expected_services: lists of names, as text or objects;
+    expected_evidence: list of {scenario, case_ids}}. Evidence counts for scenarios that were
+    found; of entries for one scenario the last counts.
     """
+    counts = answer_counts(found, answers)
+    return replay.with_metrics(counts), replay.overall(counts, ["kind"])
+
+
+def answer_counts(found: Impact, answers: list[dict]) -> DataFrame:
+    """(kind, spec_id, tp, fp, fn), see replay_metrics; every answer has a row for each kind."""
     spark = found.matched.sparkSession
     rows = []
     for a in answers:
-        for kind, field in (("scenarios", "scenario"), ("services", "service")):
-            values = a.get(f"expected_{kind}")
+        for kind, field in (("scenario", "scenario"), ("service", "service")):
+            values = a.get(f"expected_{kind}s")
             for x in values if isinstance(values, list) else []:
                 name = x.get(field) if isinstance(x, dict) else x
                 if isinstance(name, str) and name.strip():
                     rows.append((kind, a["id"], name))
     expected = spark.createDataFrame(rows, "kind string, spec_id string, name string").withColumn("name", match_key("name"))
-    names = found.scenarios.select(F.lit("scenarios").alias("kind"), "spec_id", match_key("scenario").alias("name"))
+    names = found.scenarios.select(F.lit("scenario").alias("kind"), "spec_id", match_key("scenario").alias("name"))
     for services in (found.services, found.expanded_services):
-        names = names.unionByName(services.select(F.lit("services").alias("kind"), "spec_id", match_key("service").alias("name")))
+        names = names.unionByName(services.select(F.lit("service").alias("kind"), "spec_id", match_key("service").alias("name")))
     ids = spark.createDataFrame([(a["id"],) for a in answers], "spec_id string")
     counts = replay.set_counts(names.join(ids, "spec_id", "left_semi"), expected, ["kind", "spec_id"], "name")
-    return replay.with_metrics(counts), replay.overall(counts, ["kind"])
+    wanted: dict[tuple[str, str], list[str]] = {}
+    for a in answers:
+        values = a.get("expected_evidence")
+        for x in values if isinstance(values, list) else []:
+            if isinstance(x, dict) and isinstance(x.get("scenario"), str) and isinstance(x.get("case_ids", []), list):
+                wanted[a["id"], x["scenario"]] = [c for c in x.get("case_ids", []) if isinstance(c, str)]
+    asked = spark.createDataFrame([(*k, v) for k, v in wanted.items()], "replay_id string, scenario string, ids array<string>")
+    asked = asked.select("replay_id", match_key("scenario").alias("scenario"), F.explode_outer("ids").alias("case_id")).withColumn("case_id", F.coalesce(match_key("case_id"), F.lit("")))
+    shown = found.scenarios.select("spec_id", "scenario_key", match_key("scenario").alias("scenario"))
+    held = found.scenario_values.where("field = 'case_ids'").join(shown, ["spec_id", "scenario_key"]).select(F.col("spec_id").alias("replay_id"), "scenario", match_key("value").alias("case_id"))
+    evidence = replay.evidence_counts(held.join(ids.withColumnRenamed("spec_id", "replay_id"), "replay_id", "left_semi"), asked)
+    evidence = evidence.select(F.lit("evidence").alias("kind"), F.col("replay_id").alias("spec_id"), "tp", "fp", "fn")
+    every = ids.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in ("scenario", "service", "evidence")])))
+    some = every.join(counts.unionByName(evidence), ["kind", "spec_id"], "left")
+    return some.select("kind", "spec_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")])

@@ -388,7 +388,7 @@ def r_rule_errors(spark, d):
     """V rules, SF14, SN: rules over manifest rows in one pass."""
     rows = table(spark, d, "manifest").withColumn("id", F.concat_ws("#", "snapshot_no", "path"))
     found = rules.check(rows, "id", [
-        rules.Rule("sha256", ~X.is_digest("sha256"), "sha256 must be 64 hex characters"), rules.Rule("size", F.col("size").isNull(), "size is required"),
+        rules.Rule("sha256", ~X.is_digest("sha256"), "sha256 is no digest"), rules.Rule("size", F.col("size").isNull(), "size is not given"),
         rules.Rule("extension", rules.not_in(F.col("extension"), (".md", ".txt", ".html", ".docx", ".pdf")), "extension is not known"),
     ])
     return found.groupBy("path", "message").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("object_id").alias("n_objects"))

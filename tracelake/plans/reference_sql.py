@@ -299,10 +299,10 @@ SELECT coalesce(pp.replay_id, ee.replay_id) AS replay_id, count(*) FILTER (pp.ca
 FROM pp FULL JOIN ee ON pp.replay_id = ee.replay_id AND pp.case_id = ee.case_id GROUP BY 1""",
     "r_rule_errors": """
 WITH bad AS (
-  SELECT snapshot_no, path, 'sha256 must be 64 hex characters' AS message FROM manifest WHERE sha256 IS NULL OR NOT regexp_full_match(sha256, '[0-9a-fA-F]{64}')
-  UNION ALL SELECT snapshot_no, path, 'size is required' FROM manifest WHERE size IS NULL
+  SELECT snapshot_no, path, 'sha256 is no digest' AS message FROM manifest WHERE sha256 IS NULL OR NOT regexp_full_match(sha256, '[0-9a-fA-F]{64}')
+  UNION ALL SELECT snapshot_no, path, 'size is not given' FROM manifest WHERE size IS NULL
   UNION ALL SELECT snapshot_no, path, 'extension is not known' FROM manifest WHERE extension IS NULL OR extension NOT IN ('.md', '.txt', '.html', '.docx', '.pdf'))
-SELECT CASE message WHEN 'size is required' THEN 'size' WHEN 'extension is not known' THEN 'extension' ELSE 'sha256' END AS path, message,
+SELECT CASE message WHEN 'size is not given' THEN 'size' WHEN 'extension is not known' THEN 'extension' ELSE 'sha256' END AS path, message,
   count(*) AS n_rows, count(DISTINCT (snapshot_no, path)) AS n_objects FROM bad GROUP BY 1, 2""",
     "r_missing_references": f"""WITH {_DOCS}
       SELECT case_id AS object_id, 'cases[].doc_path' AS path, 'not in the manifest: ' || coalesce(doc_path, 'null') AS message FROM one_case

@@ -65,7 +65,7 @@ def load_object(path: str) -> dict:
     with open(path, encoding="utf-8-sig") as f:
         value = json.load(f)
     if not isinstance(value, dict):
-        raise ValueError(f"{path} must hold a JSON object")
+        raise ValueError(f"{path} holds no JSON object")
     return value
 
 
@@ -73,10 +73,15 @@ def load_aliases(spark: SparkSession, path: str | None) -> DataFrame:
     """(alias, canonical) of an alias file, as they are written; entries that are no strings are an error. No path: no rows."""
     pairs = list(load_object(path).items()) if path else []
     if any(not isinstance(v, str) for _, v in pairs):
-        raise ValueError(f"{path}: aliases must be strings")
+        raise ValueError(f"{path}: an alias is no text")
     return spark.createDataFrame(pairs, "alias string, canonical string")
 
 
+def load_revisions(spark: SparkSession, path: str) -> DataFrame:
+    """(name, branch, commit_sha, dirty) of repositories as they are now, from a JSON list that a probe outside has written."""
+    return spark.read.schema("name string, branch string, commit_sha string, dirty boolean").json(path, multiLine=True)
+
+
 def load_capture(path: str) -> dict:
     return load_object(path)
 
@@ -88,7 +93,7 @@ def load_replay(path: str) -> dict:
     if not isinstance(cases, list) or not cases:
         raise ValueError("a replay dataset needs cases")
     if not all(isinstance(c, dict) and isinstance(c.get("id"), str) and c["id"].strip() for c in cases):
-        raise ValueError("each replay case must be an object with an id")
+        raise ValueError("a replay case is no object with an id")
     return value
 
 
@@ -113,8 +118,8 @@ def response_problems(calls: DataFrame, responses: DataFrame) -> DataFrame:
     outside = clean.startswith("/") | (depth["low"] < 0)
     x = calls.withColumn("_path", clean).join(responses.withColumnRenamed("response_path", "_path"), "_path", "left")
     message = (
-        F.when(outside, "response_path must stay inside the capture directory")
-        .when(F.col("actual_sha256").isNull(), "response_path does not exist")
-        .when(F.lower("response_sha256") != F.col("actual_sha256"), "response_sha256 does not match the raw response")
+        F.when(outside, "response_path leads out of the capture's folder")
+        .when(F.col("actual_sha256").isNull(), "there is no file at response_path")
+        .when(F.lower("response_sha256") != F.col("actual_sha256"), "the raw response has another digest")
     )
     return x.select("call_id", message.alias("message")).where("message IS NOT NULL")

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import os
+import re
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.functions import text as X
+from tracelake.runtime import spread
 
 # Suffixes of documents.
 EXTENSIONS = (".md", ".txt", ".html", ".htm", ".json", ".yaml", ".yml", ".docx", ".pdf")
@@ -54,25 +60,67 @@ def in_workspace(relative_path: Column, roots_given: bool, more_parts: tuple[str
     return keep if roots_given else keep & ~F.lower(X.file_name(relative_path)).isin(*EXCLUDED_NAMES)
 
 
-def scan_root(spark: SparkSession, root: str, suffixes: list[str] | None = None, exclude: list[str] | None = None) -> tuple[DataFrame | None, list[str]]:
-    """(documents, errors) of one root. A missing root gives an error and no documents.
+#: Bytes a task holds of a file at once.
+CHUNK = 1 << 20
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The SHA-256 of each file, read piece by piece, or why it cannot be read."""
+    for batch in batches:
+        digests, errors = [], []
+        for uri in batch["uri"]:
+            digest, error = hashlib.sha256(), None
+            try:
+                with _opened(uri) as f:
+                    while piece := f.read(CHUNK):
+                        digest.update(piece)
+            except (OSError, ValueError) as e:
+                error = f"cannot be read: {e}"
+            digests.append(None if error else digest.hexdigest())
+            errors.append(error)
+        yield batch.assign(sha256=digests, error=errors)
+
+
+def _opened(uri: str):
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    where, _, path = rest.lstrip("/").partition("/")
+    fs, base = pyarrow.fs.FileSystem.from_uri(f"{scheme}://{where}")
+    return fs.open_input_stream(f"{base.rstrip('/')}/{path}")
 
-    Files are read by tasks and only their digests leave them; the suffix filter comes
-    before the content is read.
+
+def scan_files(spark: SparkSession, root: str, suffixes: list[str] | None = None, exclude: list[str] | None = None) -> tuple[DataFrame | None, list[str]]:
+    """(files, errors) of one root, a local folder or a URI. A missing root gives an error and no files.
+
+    Paths are listed first and filtered; then tasks read what is left, piece by piece, and
+    only digests leave them. A file that cannot be read has no digest, and its error.
     """
-    if not os.path.isdir(root):
-        return None, [f"Document root does not exist or is not a directory: {root}"]
-    root = os.path.realpath(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{root}")
-    path = F.regexp_replace("path", "^file:/*", "/")
-    relative = F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))
-    rows = files.select(
-        F.lit(root).alias("root"), path.alias("path"), relative.alias("relative_path"), X.extension(path).alias("extension"),
-        F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("modified_at"),
-        F.sha2("content", 256).alias("sha256"), X.possible_version(path).alias("possible_version"),
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root if "://" in root else f"file://{os.path.realpath(root)}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
+        return None, [f"no folder at {root}"]
+    home = fs.resolvePath(path).toString()
+    # without the content column nothing is opened
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(home).select(F.col("path").alias("uri"), "length", "modificationTime")
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    folder = re.sub("^file:/*", "/", home).rstrip("/")
+    full = plain(F.col("uri"))
+    relative = F.substring(full, F.lit(len(folder) + 2), F.length(full))
+    rows = listed.select(
+        "uri", F.lit(folder).alias("root"), full.alias("path"), relative.alias("relative_path"), X.extension(full).alias("extension"),
+        F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("modified_at"), X.possible_version(full).alias("possible_version"),
     )
     rows = rows.where(F.col("extension").isin(*extensions(suffixes)) & not_excluded(F.col("relative_path"), exclude or []))
-    return rows, []
+    read = spread(rows).mapInPandas(_digests, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, sha256 string, error string")
+    return read.select("root", "path", "relative_path", "extension", "size", "modified_at", "sha256", "possible_version", "error"), []
+
+
+def scan_root(spark: SparkSession, root: str, suffixes: list[str] | None = None, exclude: list[str] | None = None) -> tuple[DataFrame | None, list[str]]:
+    """(documents, errors): the files of scan_files that could be read."""
+    files, errors = scan_files(spark, root, suffixes, exclude)
+    return (files.where("error IS NULL").drop("error") if files is not None else None), errors
 
 
 def union_roots(scans: list[DataFrame], fold_case: bool = False) -> DataFrame:
