@@ -70,7 +70,7 @@ def _scored(spark, d):
 
 
 def _direct(spark, d):
-    return matching.direct_matches(_scored(spark, d)[1], _cases(spark, d), 2.0)
+    return matching.direct_matches(_scored(spark, d)[1], _cases(spark, d))
 
 
 def _matched(spark, d):
@@ -188,7 +188,7 @@ def r_snapshot_states(spark, d):
 def r_term_keys(spark, d):
     """SF1, SF9: stored keys and stable ids of terms."""
     rows = table(spark, d, "case_terms").select("normalized").distinct().where("normalized <> ''")
-    return rows.select("normalized", F.concat(F.lit("business-term:"), F.substring(F.sha2("normalized", 256), 1, 20)).alias("term_key"))
+    return rows.select("normalized", X.term_id("normalized").alias("term_key"))
 
 
 def r_term_tokens(spark, d):
@@ -200,8 +200,7 @@ def r_term_tokens(spark, d):
 def r_relation_ids(spark, d):
     """SF10: stable ids of relations."""
     r = _relations(spark, d)
-    parts = F.concat_ws("|", "case_id", "source", F.lit("affects"), "target", F.lit("forward"), "propagation")
-    return r.select("case_id", F.concat(F.lit("history-relation:"), F.substring(F.sha2(parts, 256), 1, 24)).alias("stable_id"))
+    return r.select("case_id", X.relation_id(F.col("case_id"), F.col("source"), F.lit("affects"), F.col("target"), F.lit(None).cast("string"), F.col("propagation")).alias("stable_id"))
 
 
 def r_best_matches(spark, d):
@@ -273,9 +272,9 @@ def r_cochange_build(spark, d):
     return impact.build_cochange(impact.cochange_cases(_changes(spark, d), _cases(spark, d)))
 
 
-def _cochange_scored(spark, d):
+def _cochange_scored(spark, d, least: float = 1.0):
     fields, scores = _scored(spark, d)
-    strong = matching.direct_matches(scores, _cases(spark, d), 3.0)
+    strong = matching.direct_matches(scores, _cases(spark, d), least)
     matched = impact.matched_cases(strong, strong.select("spec_id", "case_id").limit(0))
     services = cut(impact.service_rows(_changes(spark, d), matched, key=_low).select("spec_id", "service_key").distinct(), "reference-services")
     pairs = impact.cochange_cases(_changes(spark, d), _cases(spark, d))
@@ -288,8 +287,8 @@ def r_cochange_score(spark, d):
 
 
 def r_service_expansion(spark, d):
-    """GR6, WN8: services one hop away."""
-    scored, services = _cochange_scored(spark, d)
+    """GR6, WN8: services one hop away from those of cases that score 4 or more (of all cases, nearly every service matches directly)."""
+    scored, services = _cochange_scored(spark, d, 4.0)
     return impact.expand_services(scored, services)
 
 
@@ -413,6 +412,31 @@ def r_unverified(spark, d):
     return rows.where("knowledge_tier = 'trusted'").where(rules.not_in(F.col("kind"), ("explicit",))).select("service_change_id")
 
 
+def r_unproven_mappings(spark, d):
+    """JN15: mappings of high confidence whose call is not ok and fresh: trusted changes as mappings, their cases as calls."""
+    mappings = _changes(spark, d).select(F.col("service_change_id").alias("ord"), F.col("case_id").alias("_call"), F.when(F.col("knowledge_tier") == "trusted", "high").otherwise("low").alias("confidence"))
+    calls = _cases(spark, d).select(
+        F.col("case_id").alias("call_id"), F.when(F.col("validation_status") == "validated", "ok").otherwise("error").alias("status"),
+        F.when(F.col("confidence") == "high", "fresh").otherwise("unknown").alias("staleness"),
+    )
+    return rules.unproven_mappings(mappings, calls).select(F.col("object_id").cast("long").alias("service_change_id"))
+
+
+def r_snapshot_status(spark, d):
+    """AG11: the state of a snapshot, from what its captures say of each call: one row for all captures, one for those of the last."""
+    rows = table(spark, d, "repositories")
+    calls = lambda df: df.select(F.when(F.col("path").isNull(), "error").otherwise("ok").alias("status"), F.when(F.col("commit_sha").isNull(), "unknown").otherwise("fresh").alias("staleness"))
+    last = rows.where("path IS NOT NULL AND commit_sha IS NOT NULL")
+    return shred.snapshot_status(calls(rows)).withColumn("part", F.lit("all")).unionByName(shred.snapshot_status(calls(last)).withColumn("part", F.lit("known")))
+
+
+def r_compiled_rows(spark, d):
+    """SH2, SH3: the rows that shredding gives for terms and scenarios, not only how many."""
+    tables = shred.history_tables(nested_cases(spark, d))
+    terms = tables["case_terms"].select("case_id", F.col("term_type").alias("part"), "term")
+    return terms.unionByName(tables["scenarios"].select("case_id", F.lit("scenario").alias("part"), F.col("name").alias("term")))
+
+
 def r_shredded(spark, d):
     """SH1-SH4, SN9-SN11: cases nested to JSON records and shredded again into terms, scenarios and changes."""
     tables = shred.history_tables(nested_cases(spark, d))

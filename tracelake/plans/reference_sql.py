@@ -92,7 +92,7 @@ fields AS (SELECT spec_id, case_id, field, max(score) AS best, max(score) * any_
 scores AS (SELECT spec_id, case_id, round(round(sum(part), 8)::DECIMAL(18, 8), 4)::DOUBLE AS score FROM fields GROUP BY ALL),
 one_case AS (SELECT DISTINCT * FROM cases),
 usable AS (SELECT case_id FROM one_case WHERE knowledge_tier <> 'rejected'),
-direct AS (SELECT * FROM scores WHERE score >= 2 AND case_id IN (SELECT case_id FROM usable))
+direct AS (SELECT * FROM scores WHERE score >= 1 AND case_id IN (SELECT case_id FROM usable))
 """
 _RANK = "CASE {0} WHEN 'conflict' THEN 0 WHEN 'trusted' THEN 1 WHEN 'candidate' THEN 2 ELSE 3 END"
 _TIER = "(['conflict', 'trusted', 'candidate', 'rejected'])[min({0}) + 1]".format(_RANK.format("knowledge_tier"))
@@ -111,7 +111,7 @@ cochange AS (SELECT service_a, service_b, count(*) AS case_count FROM pair_cases
 """
 _CO_SCORE = f"""
 {_MATCH}, {_COCHANGE},
-strong AS (SELECT * FROM scores WHERE score >= 3 AND case_id IN (SELECT case_id FROM usable)),
+strong AS (SELECT * FROM scores WHERE score >= 1 AND case_id IN (SELECT case_id FROM usable)),
 direct_services AS (SELECT DISTINCT spec_id, {_LOW('service')} AS service_key FROM chg JOIN strong USING (case_id) WHERE service IS NOT NULL),
 kept AS (SELECT DISTINCT spec_id, service_a, service_b, case_count FROM cochange JOIN direct_services ON service_key IN (service_a, service_b)),
 parts AS (
@@ -255,7 +255,7 @@ FROM near QUALIFY row_number() OVER (PARTITION BY name ORDER BY capture_no DESC)
       FROM h FULL JOIN c ON h.spec_id = c.spec_id AND h.service_key = c.service_key""",
     "r_cochange_build": f"WITH {_COCHANGE} SELECT * FROM cochange",
     "r_cochange_score": f"WITH {_CO_SCORE} SELECT * FROM rated",
-    "r_service_expansion": f"""WITH {_CO_SCORE},
+    "r_service_expansion": f"""WITH {_CO_SCORE.replace('score >= 1 AND', 'score >= 4 AND')},
       sides AS (SELECT spec_id, score, service_a, service_b, 0 AS side, service_a AS service FROM rated WHERE expanded UNION ALL SELECT spec_id, score, service_a, service_b, 1, service_b FROM rated WHERE expanded)
       SELECT spec_id, service AS service_key, service, score FROM sides s
       WHERE NOT EXISTS (SELECT 1 FROM direct_services x WHERE x.spec_id = s.spec_id AND x.service_key = s.service)
@@ -312,6 +312,17 @@ SELECT CASE message WHEN 'size is not given' THEN 'size' WHEN 'extension is not
       WINDOW w AS (PARTITION BY case_id, term_type, normalized ORDER BY term_id) QUALIFY row_number() OVER w > 1""",
     "r_unverified": """SELECT service_change_id FROM (SELECT DISTINCT * FROM service_changes) WHERE knowledge_tier = 'trusted'
       AND coalesce(json_extract_string(evidence_json, '$.kind'), '') <> 'explicit'""",
+    "r_unproven_mappings": """SELECT service_change_id FROM (SELECT DISTINCT * FROM service_changes) WHERE knowledge_tier = 'trusted'
+      AND case_id NOT IN (SELECT case_id FROM cases WHERE validation_status = 'validated' AND confidence = 'high')""",
+    "r_snapshot_status": """
+SELECT 'all' AS part, CASE WHEN bool_or(path IS NULL) THEN 'stale' WHEN bool_or(commit_sha IS NULL) THEN 'unknown' ELSE 'fresh' END AS status FROM repositories
+UNION ALL SELECT 'known', CASE WHEN count(*) = 0 THEN 'unknown' ELSE 'fresh' END FROM repositories WHERE path IS NOT NULL AND commit_sha IS NOT NULL""",
+    "r_compiled_rows": f"""
+WITH live AS (SELECT DISTINCT case_id FROM cases WHERE validation_status <> 'rejected' OR validation_status IS NULL)
+SELECT case_id, term_type AS part, term FROM (
+  SELECT * FROM case_terms WHERE case_id IN (SELECT case_id FROM live) AND trim(term) <> '' AND term_type IN ({', '.join(_q(t) for t in TERM_FIELDS.values())})
+  QUALIFY row_number() OVER (PARTITION BY case_id, term_type, regexp_replace(lower(trim(term)), '\\s+', ' ', 'g') ORDER BY term_id) = 1)
+UNION ALL SELECT case_id, 'scenario', name FROM (SELECT DISTINCT * FROM scenarios) WHERE name <> '' AND case_id IN (SELECT case_id FROM live)""",
     "r_shredded": f"""
 WITH c AS (SELECT DISTINCT * FROM cases), live AS (SELECT case_id FROM c WHERE validation_status <> 'rejected' OR validation_status IS NULL)
 SELECT case_id, 'cases' AS part, count(*) AS n FROM c GROUP BY 1
