@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -94,7 +95,7 @@ class Table:
             else:
                 spans.append([code, code])
         marks = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if a < b else re.escape(chr(a)) for a, b in spans)
-        self.segment = re.compile(f"[^{marks}]?[{marks}]+", re.DOTALL)
+        self.marks = re.compile(f"[{marks}]+")
         self.table = str.maketrans(self.to)
 
 
@@ -103,8 +104,18 @@ def table() -> Table:
     return Table()
 
 
-def _splice(match: re.Match) -> str:
-    return unicodedata.normalize("NFC", match.group().translate(table().table))
+def _splice(segment: str) -> str:
+    return unicodedata.normalize("NFC", segment.translate(table().table))
+
+
+def spliced(text: str, splice: Callable[[str], str] | None = None) -> str:
+    """text with its segments, each a run of unstable characters and the character before it, normalized in place."""
+    splice, out, done = splice or _splice, [], 0
+    for match in table().marks.finditer(text):
+        start = max(match.start() - 1, done)
+        out += text[done:start], splice(text[start : match.end()])
+        done = match.end()
+    return "".join((*out, text[done:])) if out else text
 
 
 class Scripts:
@@ -235,7 +246,7 @@ def consistent(text: str) -> str:
         return text
     if _EARLY.search(text):
         text = _turned(text)
-    return _turned(table().segment.sub(_splice, text))
+    return _turned(spliced(text))
 
 
 def analysed(text: str) -> tuple[str, list[bool]]:
@@ -254,8 +265,8 @@ def analysed(text: str) -> tuple[str, list[bool]]:
     found[6] = prepared != text
     kind = table().kind
 
-    def splice(match: re.Match) -> str:
-        part, new = match.group(), _splice(match)
+    def splice(part: str) -> str:
+        new = _splice(part)
         if new != part:
             for char in part:
                 k = kind.get(char)
@@ -263,9 +274,9 @@ def analysed(text: str) -> tuple[str, list[bool]]:
                     found[k] = True
         return new
 
-    spliced = table().segment.sub(splice, prepared)
-    form = _turned(spliced)
-    found[6] = found[6] or (form != spliced and not found[5])
+    straight = spliced(prepared, splice)
+    form = _turned(straight)
+    found[6] = found[6] or (form != straight and not found[5])
     return form, found
 
 
