@@ -14,7 +14,7 @@ from tracelake.operators import manifest as M
 from tracelake.operators import replay as R
 from tracelake.plans import analyze as A
 from tracelake.plans import history as H
-from tracelake.runtime import cut, session
+from tracelake.runtime import clear, cut, session
 from tracelake.sources import cases as C
 from tracelake.sources import inventory as I
 
@@ -196,7 +196,11 @@ def main(argv: list[str] | None = None) -> int:
     command("workspace", workspace, ("--workspace", {"default": "."}), ("--state-dir", {}), ("--document-root", many), ("--revisions", {}))
     args = parser.parse_args(argv)
     try:
-        return args.run(session("tracelake"), args)
+        spark = session("tracelake")
+        try:
+            return args.run(spark, args)
+        finally:
+            clear(spark)
     except H.Rejected as e:
         print(e, file=sys.stderr)
         return 1

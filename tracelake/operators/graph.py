@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.text import match_key
 from tracelake.functions.tiers import decayed
-from tracelake.operators.matching import first_by, similar_keys, weight_of
+from tracelake.operators.matching import first_by, piece_index, similar_keys, weight_of
 from tracelake.runtime import cut
 
 #: Least similarity of a relation's endpoint to a frontier term.
@@ -39,10 +39,12 @@ def propagate_relations(relations: DataFrame, seeds: DataFrame, max_depth: int =
     frontier = cut(seeds.where("key <> ''").select("spec_id", "key").distinct(), "graph-frontier")
     seen, hits = frontier, None
     everywhere = F.lit(1).alias("_all")
+    # the endpoints' pieces are made once and met at every depth
+    index = piece_index(entries.select(everywhere, "key"), ["_all"], ENDPOINT, keep=True) if max_depth > 0 else None
     for depth in range(1, max(0, max_depth) + 1):
         if frontier.isEmpty():
             break
-        similar = similar_keys(frontier.select(everywhere, "key"), entries.select(everywhere, "key"), ["_all"], ENDPOINT, max_broadcast=0)
+        similar = similar_keys(frontier.select(everywhere, "key"), index, ["_all"], ENDPOINT)
         reached = entries.join(similar, "key").join(frontier.withColumnRenamed("key", "wanted_key"), "wanted_key")
         best = reached.groupBy("spec_id", "relation_ord", "case_id").agg(F.min(F.struct((-F.col("score")).alias("low"), "side", "other")).alias("x"))
         step = cut(best.select("spec_id", F.lit(depth).alias("depth"), "relation_ord", "case_id", F.col("x.other").alias("key")), "graph-hop")

@@ -9,11 +9,13 @@ from equi-joins on the rarest pieces that any two similar keys must share.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import lexical_tokens, match_key, similarity
+from tracelake.runtime import cut
 
 # Weight of each field of a spec, in the order scores are added up.
 WEIGHTS = {
@@ -28,8 +30,9 @@ TERM_TYPES = {
 }
 #: Least similarity of a matched term.
 MATCH = 0.5
-#: Spec terms up to this number are broadcast.
+#: Wanted keys up to this number are broadcast, and met with every key, where that makes no more than MAX_PAIRS.
 MAX_BROADCAST = 20_000
+MAX_PAIRS = 20_000_000
 
 
 def weight_of(field: Column) -> Column:
@@ -114,23 +117,53 @@ def _rare_pieces(flat: DataFrame, counts: DataFrame, on: list[str], threshold: f
     return lists.select(*on, "key", "kind", F.explode(F.slice("l", F.lit(1), keep)).alias("p")).select(*on, "key", "kind", "p.piece")
 
 
-def similar_keys(wanted: DataFrame, actual: DataFrame, on: list[str], threshold: float = MATCH, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+@dataclass
+class PieceIndex:
+    """Keys (*on, key, tokens) prepared to be met by their pieces: all pieces, how many keys have each, and each key's rare ones."""
+
+    on: list[str]
+    threshold: float
+    keys: DataFrame
+    pieces: DataFrame
+    counts: DataFrame
+    rare: DataFrame
+
+
+def _flat(keys: DataFrame, on: list[str]) -> DataFrame:
+    return keys.select(*on, "key", F.explode(pieces(F.col("key"), F.col("tokens"))).alias("p")).select(*on, "key", "p.*")
+
+
+def piece_index(actual: DataFrame, on: list[str], threshold: float = MATCH, keep: bool = False) -> PieceIndex:
+    """The index over the distinct keys of actual (*on, key); keep writes it out, to be met more than once."""
+    kept = (lambda df, name: cut(df, f"pieces-{name}")) if keep else (lambda df, name: df)
+    keys = kept(actual.select(*on, "key").distinct().withColumn("tokens", lexical_tokens("key")), "keys")
+    flat = kept(_flat(keys, on), "all")
+    counts = kept(flat.groupBy(*on, "kind", "piece").agg(F.count(F.lit(1)).alias("n")), "counts")
+    return PieceIndex(on, threshold, keys, flat, counts, kept(_rare_pieces(flat, counts, on, threshold), "rare"))
+
+
+def similar_keys(
+    wanted: DataFrame, actual: DataFrame | PieceIndex, on: list[str], threshold: float = MATCH, max_broadcast: int = MAX_BROADCAST, max_pairs: int = MAX_PAIRS
+) -> DataFrame:
     """(*on, wanted_key, key, score, match_type) of distinct keys that reach the threshold.
 
     wanted and actual: *on, key. The join is a hash join on `on` with the broadcast wanted
-    keys up to max_broadcast of them, else an equi-join on (on, piece).
+    keys where they are few and make few pairs with the others, else, and with an index in
+    place of actual, an equi-join on (on, piece).
     """
     left = wanted.select(*on, F.col("key").alias("wanted_key")).distinct().withColumn("wanted_tokens", lexical_tokens("wanted_key"))
-    right = actual.select(*on, "key").distinct().withColumn("tokens", lexical_tokens("key"))
-    if left.limit(max_broadcast + 1).count() <= max_broadcast:
+    index, few = actual if isinstance(actual, PieceIndex) else None, 0
+    if index is None:
+        right = actual.select(*on, "key").distinct().withColumn("tokens", lexical_tokens("key"))
+        few = left.limit(max_broadcast + 1).count() if max_broadcast else 1
+    if index is None and few <= max_broadcast and few * right.limit(max_pairs // max(few, 1) + 1).count() <= max_pairs:
         pairs = right.join(F.broadcast(left), on)
     else:
-        flat = lambda df: df.select(*on, "key", F.explode(pieces(F.col("key"), F.col("tokens"))).alias("p")).select(*on, "key", "p.*")
-        w, a = flat(left.withColumnsRenamed({"wanted_key": "key", "wanted_tokens": "tokens"})), flat(right)
-        counts = a.groupBy(*on, "kind", "piece").agg(F.count(F.lit(1)).alias("n"))
+        index = index or piece_index(actual, on, threshold)
+        w, right = _flat(left.withColumnsRenamed({"wanted_key": "key", "wanted_tokens": "tokens"}), on), index.keys
         by = [*on, "kind", "piece"]
-        met = _rare_pieces(w, counts, on, threshold).withColumnRenamed("key", "wanted_key").join(a, by).select(*on, "wanted_key", "key")
-        met = met.unionByName(w.withColumnRenamed("key", "wanted_key").join(_rare_pieces(a, counts, on, threshold), by).select(*on, "wanted_key", "key"))
+        met = _rare_pieces(w, index.counts, on, threshold).withColumnRenamed("key", "wanted_key").join(index.pieces, by).select(*on, "wanted_key", "key")
+        met = met.unionByName(w.withColumnRenamed("key", "wanted_key").join(index.rare, by).select(*on, "wanted_key", "key"))
         pairs = met.distinct().join(left, [*on, "wanted_key"]).join(right, [*on, "key"])
     scored = pairs.withColumn("s", similarity(F.col("wanted_key"), F.col("key"), F.col("wanted_tokens"), F.col("tokens")))
     return scored.where(F.col("s.score") >= threshold).select(*on, "wanted_key", "key", F.col("s.score").alias("score"), F.col("s.match_type").alias("match_type"))

@@ -38,9 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "tracelake", spark.sparkContext.applicationId)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return os.path.join(shared_dir(spark), "tracelake", uuid.uuid4().hex, name)
+    """A new path in this application's part of the shared folder."""
+    return os.path.join(_own_folder(spark), uuid.uuid4().hex, name)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written by cut() and scratch(); for its end, when no result is to be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
