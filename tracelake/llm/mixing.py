@@ -12,6 +12,7 @@ to rates within one at every size, and tokens within the greatest size of a bloc
 from __future__ import annotations
 
 import os
+import warnings
 from functools import lru_cache
 
 import pandas as pd
@@ -131,6 +132,8 @@ def solve(histogram: DataFrame, wanted: dict[str, tuple[float, int]], total: flo
                 else:
                     new = (low[s] + high[s]) / 2
             x[s] = new
+    if open_:
+        warnings.warn(f"the rates of {', '.join(sorted(open_))} are not within {TOLERANCE} of their share after {ROUNDS} rounds", stacklevel=2)
     multipliers = {s: x[s] / scale[s] for s in x} | dict.fromkeys(full, float("inf"))
     return multipliers, caps, total
 
