@@ -59,7 +59,7 @@ def test_no_rows_and_long_texts(rows):
     assert got(K.cut_texts(rows([(1, long + "."), (2, long), (3, "x" * 300_000)], "doc_id int, text string")), "doc_id") in ([], [(2,)])
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=3000, deadline=None)
 @given(st.lists(st.sampled_from([" ", "\n", "…", ".", "..", "-", "--", ">", "[cut]", "(more)", "<read more here>", "[", "]", "wort", "a.", "[…]", "(..)", "�", "~", ")"]), max_size=9).map("".join))
 def test_marks_are_stripped_from_the_end(text):
     assert K.stripped(text) == K.MARKS.sub("", text)

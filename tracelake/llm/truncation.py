@@ -74,17 +74,26 @@ def stripped(text: str) -> str:
         if last.isspace() or last in _TRAILING:
             end -= 1
         elif last in ".-–—>»~" and (n := _repeated(text, end, last)):
-            end -= n
+            # the first of the arrows may close a bracket, with no or several marks behind it
+            arrow = text.find(">", end - n, end)
+            start = _opened(text, arrow + 1) if arrow >= 0 and end - arrow - 1 != 1 else -1
+            end = start if start >= 0 else end - n
         elif last in "])>}":
-            opened = max(text.rfind(c, 0, end) for c in "[(<{")
-            if opened < 0 or not _BRACKETED.match(text, opened, end):
+            start = _opened(text, end)
+            if start < 0:
                 break
-            end = opened
+            end = start
         else:
             break
     return text[:end]
 
 
+def _opened(text: str, end: int) -> int:
+    """Where the bracketed mark of a cut begins that ends at end; -1 if none does."""
+    start = max(text.rfind(c, 0, end) for c in "[(<{")
+    return start if start >= 0 and _BRACKETED.match(text, start, end) else -1
+
+
 def _repeated(text: str, end: int, last: str) -> int:
     """How many characters of the mark that ends at end there are: dots, or dashes and arrows; 0 if it is but one."""
     run = "." if last == "." else "-–—>»~"
