@@ -114,15 +114,19 @@ def _seeds(spark, d):
 # ---- queries ----------------------------------------------------------------------------
 
 
+def _deltas(spark, d):
+    """The delta of each of the eight snapshots to the one before it."""
+    one = lambda n: manifest.manifest_delta(_manifest(spark, d, n), _manifest(spark, d, n - 1)).select(F.lit(n).alias("snapshot_no"), "path", "from_path", "change_kind")
+    return rules.union([one(n) for n in range(2, 9)])
+
+
 def r_manifest_delta(spark, d):
-    """JN4, JN5, SO1: two listings compared, moves told from additions and removals."""
-    delta = manifest.manifest_delta(_manifest(spark, d, 8), _manifest(spark, d, 7))
-    return delta.select("path", "from_path", "change_kind")
+    """JN4, JN5, SO1: listings compared, moves told from additions and removals."""
+    return _deltas(spark, d)
 
 
 def r_delta_counts(spark, d):
-    delta = manifest.manifest_delta(_manifest(spark, d, 8), _manifest(spark, d, 7))
-    return delta.groupBy("change_kind").agg(F.count(F.lit(1)).alias("n_documents"))
+    return _deltas(spark, d).groupBy("snapshot_no", "change_kind").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 def r_case_lifecycle(spark, d):

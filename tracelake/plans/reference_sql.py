@@ -32,6 +32,11 @@ delta AS (
   FROM plain p LEFT JOIN moves t ON t.to_path = p.path AND p.change_kind = 'added'
   WHERE NOT (p.change_kind = 'removed' AND p.path IN (SELECT from_path FROM moves)))
 """
+#: The delta of each snapshot to the one before it.
+_EVERY_DELTA = " UNION ALL ".join(
+    f"SELECT * FROM (WITH {_DELTA.replace('snapshot_no = 7', f'snapshot_no = {n - 1}').replace('snapshot_no = 8', f'snapshot_no = {n}')} SELECT {n} AS snapshot_no, path, from_path, change_kind FROM delta)"
+    for n in range(2, 9)
+)
 _LIFE = f"""
 {_DOCS},
 spread AS (SELECT sha256, count(*) AS n, min(path) AS to_path FROM cur WHERE sha256 IS NOT NULL GROUP BY 1),
@@ -192,8 +197,8 @@ _WORDS = ", ".join(_q(w) for w in DESIGN_WORDS)
 _VERSION = r"(?i)(?:^|[\s._-])((?:v|version|版本|版)[\s._-]*(?:\d+(?:[._-]\d+)*|[一二三四五六七八九十]+)|20\d{2}[._-]\d{1,2}(?:[._-]\d{1,2})?)"
 
 SQL = {
-    "r_manifest_delta": f"WITH {_DELTA} SELECT path, from_path, change_kind FROM delta",
-    "r_delta_counts": f"WITH {_DELTA} SELECT change_kind, count(*) AS n_documents FROM delta GROUP BY 1",
+    "r_manifest_delta": _EVERY_DELTA,
+    "r_delta_counts": f"SELECT snapshot_no, change_kind, count(*) AS n_documents FROM ({_EVERY_DELTA}) GROUP BY ALL",
     "r_case_lifecycle": f"WITH {_LIFE} SELECT case_id, status, CASE WHEN status = 'moved' THEN to_path END AS new_path FROM life",
     "r_lifecycle_counts": f"WITH {_LIFE} SELECT status, count(*) AS n_cases FROM life GROUP BY 1",
     "r_pending_extraction": f"""WITH {_DOCS} SELECT path FROM cur c WHERE sha256 IS NOT NULL AND path NOT LIKE '%.yaml'
