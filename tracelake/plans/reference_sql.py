@@ -281,9 +281,10 @@ UNION ALL SELECT 'review_queue', count(*) FROM c WHERE knowledge_tier IN ('candi
     "r_code_seeds": f"WITH {_CODE} SELECT 'code' AS spec_id, entity_id, score FROM seed",
     "r_code_walk": f"""WITH {_CODE} SELECT 'code' AS spec_id, entity_id, 0 AS depth, score, 'offline-code-mapping' AS source FROM seed
       UNION ALL SELECT 'code', entity_id, 1, 0.7, 'offline-code-propagation' FROM reach1 UNION ALL SELECT 'code', entity_id, 2, 0.49, 'offline-code-propagation' FROM reach2""",
-    "r_code_paths": f"WITH {_CODE} SELECT 'code' AS spec_id, 1 AS depth, a AS source_id, b AS target_id FROM path1",
+    "r_code_paths": f"""WITH {_CODE} SELECT 'code' AS spec_id, 1 AS depth, a AS source_id, b AS target_id FROM path1
+      UNION ALL SELECT 'code', 2, a, b FROM both_ways WHERE a IN (SELECT entity_id FROM reach1)""",
     "r_code_services": f"""WITH {_CODE} SELECT 'code' AS spec_id, entity_id AS service_key, entity_id AS service, 1::BIGINT AS n_types, 1::BIGINT AS n_entities
-      FROM entities WHERE entity_id IN (SELECT entity_id FROM seed UNION SELECT entity_id FROM reach1)""",
+      FROM entities WHERE entity_id IN (SELECT entity_id FROM seed UNION SELECT entity_id FROM reach1 UNION SELECT entity_id FROM reach2)""",
     "r_replay_metrics": f"WITH {_PREDICTED} SELECT case_id, tp, fp, fn, {_METRICS} FROM counts",
     "r_replay_overall": f"WITH {_OVERALL} SELECT * FROM rated",
     "r_threshold_misses": f"""WITH {_OVERALL},
@@ -296,7 +297,7 @@ UNION ALL SELECT 'review_queue', count(*) FROM c WHERE knowledge_tier IN ('candi
 WITH c AS (SELECT DISTINCT case_id, coalesce(domain, 'none') AS replay_id FROM cases),
 s AS (SELECT DISTINCT replay_id, lower(name) AS scenario, case_id, knowledge_tier FROM scenarios JOIN c USING (case_id) WHERE name IS NOT NULL),
 p AS (SELECT DISTINCT replay_id, scenario, case_id FROM s WHERE knowledge_tier = 'trusted'),
-e AS (SELECT DISTINCT replay_id, scenario, case_id FROM s WHERE knowledge_tier <> 'rejected' AND substr(case_id, -1) IN ('1', '3', '5', '7')),
+e AS (SELECT DISTINCT replay_id, scenario, case_id FROM s WHERE knowledge_tier <> 'rejected'),
 pp AS (SELECT DISTINCT replay_id, case_id FROM p WHERE (replay_id, scenario) IN (SELECT (replay_id, scenario) FROM e)),
 ee AS (SELECT DISTINCT replay_id, case_id FROM e WHERE (replay_id, scenario) IN (SELECT (replay_id, scenario) FROM p))
 SELECT coalesce(pp.replay_id, ee.replay_id) AS replay_id, count(*) FILTER (pp.case_id IS NOT NULL AND ee.case_id IS NOT NULL) AS tp,
